@@ -239,21 +239,24 @@ def factor_neighbors(factors: DataFrame, n: int = 10, max_cells: int = 1024) ->
     )
     # targets go only to the query slices that asked for their cell
     wanted = asked.select("cell", "slice", "target").distinct()
-    targets = points.select(
-        "id", "vec", F.col("cell").alias("target"), F.col("slice").alias("tslice")
-    ).join(wanted, "target")
-    asked = asked.join(
-        slices.select(F.col("cell").alias("target"), "parts"), "target"
-    ).withColumn("tslice", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
     keys = ["cell", "slice", "target", "tslice"]
+    targets = cut(
+        points.select("id", "vec", F.col("cell").alias("target"), F.col("slice").alias("tslice"))
+        .join(wanted, "target")
+        .select("id", "vec", *keys)
+    )
+    parts = slices.select(F.col("cell").alias("target"), "parts")
+    numbers = F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))
+    queries = cut(
+        asked.join(parts, "target").withColumn("tslice", F.explode(numbers)).select("id", "vec", *keys)
+    )
 
     def meet(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         return _top_of_block(q, t, n)
 
     found = (
-        asked.select("id", "vec", *keys)
-        .groupBy(*keys)
-        .cogroup(targets.select("id", "vec", *keys).groupBy(*keys))
+        queries.groupBy(*keys)
+        .cogroup(targets.groupBy(*keys))
         .applyInPandas(meet, _NEIGHBOR)
     )
     return _best(found, n)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import RATING_WEIGHTS, half_up, labelled, long, ratio, weighted
+from trailmark.operators.hotkeys import join_spread
 from trailmark.operators.ranking import with_row_number
 from trailmark.operators.similarity import cosine_neighbors, expand_pairs
 from trailmark.session import cut, shared_dir
@@ -64,9 +65,10 @@ def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def index_ids(ratings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ratings with int ids for ALS, and the two id maps."""
+    ratings = cut(ratings)
     users = cut(dense_index(ratings, "user_id", "user_idx"))
     items = cut(dense_index(ratings, "item_id", "item_idx"))
-    indexed = ratings.join(users, "user_id").join(items, "item_id")
+    indexed = join_spread(cut(join_spread(ratings, users, "user_id")), items, "item_id")
     return indexed, users, items
 
 
@@ -179,9 +181,10 @@ def factor_neighbors(factors: DataFrame, n: int = 10, max_cells: int = 1024) ->
     """
     norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x))
     unit = cut(
-        factors.withColumn("norm", norm)
+        factors.select("id", F.col("features").cast("array<double>").alias("features"))
+        .withColumn("norm", norm)
         .filter(F.col("norm") > 0)
-        .select("id", F.transform("features", lambda x: x.cast("double") / F.col("norm")).alias("vec"))
+        .select("id", F.transform("features", lambda x: x / F.col("norm")).alias("vec"))
     )
     total = unit.count()
     cells = max(1, min(max_cells, int(np.ceil(np.sqrt(total)))))
@@ -313,7 +316,7 @@ def item_cf_recommend(
         )
         owned = history.select("user_id", F.col("item_id").alias("similar_item"))
         scores = (
-            history.join(lists, "item_id")
+            join_spread(history, lists, "item_id")
             .groupBy("user_id", "similar_item")
             .agg(F.max("similarity").alias("score"))
             .join(owned, ["user_id", "similar_item"], "left_anti")
@@ -324,7 +327,7 @@ def item_cf_recommend(
             .filter(F.col("rank_no") <= k)
             .select("user_id", F.col("similar_item").alias("item_id"), "score", "rank_no")
         )
-        unseen = history.join(cut_off, "item_id").groupBy("user_id").agg(F.max("last").alias("bound"))
+        unseen = join_spread(history, cut_off, "item_id").groupBy("user_id").agg(F.max("last").alias("bound"))
         got = top.groupBy("user_id").agg(F.count("*").alias("m"), F.min("score").alias("kth"))
         open_users = cut(
             unseen.join(got, "user_id", "left")
@@ -392,7 +395,8 @@ def _neighbor_scores(matrix: DataFrame, sim: DataFrame, k: int) -> DataFrame:
     return (
         nearest.join(items, "other")
         .groupBy("user_id", "item_id")
-        .agg(half_up(F.sum("similarity"), 6).alias("score"))
+        # similarities have nine digits, so the sum is taken over integers and has no order
+        .agg(half_up(F.sum(F.floor(F.col("similarity") * 1e9 + 0.5)) / 1e9, 6).alias("score"))
     )
 
 

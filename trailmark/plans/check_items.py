@@ -64,7 +64,7 @@ NEAREST = f"""nn AS (
   SELECT i AS user_id, j AS other, sim FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rn FROM upairs) WHERE rn <= 10),
 cand AS (
-  SELECT nn.user_id, m.item_id, {rnd("SUM(sim)", 6)} AS score FROM nn JOIN m ON nn.other = m.user_id GROUP BY ALL)"""
+  SELECT nn.user_id, m.item_id, {rnd("(SUM(CAST(floor(sim * 1e9 + 0.5) AS BIGINT)) / 1e9)", 6)} AS score FROM nn JOIN m ON nn.other = m.user_id GROUP BY ALL)"""
 
 
 def _top(scores: str, n: int) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.operators import cleaning, kpi
+from trailmark.operators.hotkeys import join_spread
 from trailmark.session import shared_dir
 from trailmark.sources.files import path_exists
 
@@ -46,16 +47,16 @@ def purchases_from_orders(orders: DataFrame, lineitem: DataFrame, part: DataFram
         F.col("p_partkey").alias("item_id"),
         F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long").alias("category_id"),
     )
-    lines = (
-        orders.select("o_orderkey", "o_custkey", seconds.alias("timestamp"), day.alias("date"))
-        .join(
-            lineitem.select("l_orderkey", F.col("l_partkey").alias("item_id")),
-            F.col("o_orderkey") == F.col("l_orderkey"),
-        )
-        .select(F.col("o_custkey").alias("user_id"), "item_id", "timestamp", "date")
-    )
-    return lines.join(brands, "item_id").select(
-        "user_id", "item_id", "category_id", F.lit("buy").alias("behavior_type"), "timestamp", "date"
+    lines = lineitem.select("l_orderkey", F.col("l_partkey").alias("item_id"))
+    lines = join_spread(lines, brands, "item_id")
+    heads = orders.select("o_orderkey", "o_custkey", seconds.alias("timestamp"), day.alias("date"))
+    return heads.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("o_custkey").alias("user_id"),
+        "item_id",
+        "category_id",
+        F.lit("buy").alias("behavior_type"),
+        "timestamp",
+        "date",
     )
 
 
@@ -75,8 +76,7 @@ class Workspace:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _staged(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
-        tag = "".join(c if c.isalnum() else "_" for c in self.folder)
-        path = f"{shared_dir(self.spark)}/tables/{tag}/{name}"
+        path = self._path(name)
         if not path_exists(self.spark, f"{path}/_SUCCESS"):
             df = build()
             if by:
@@ -85,6 +85,31 @@ class Workspace:
                 df.hint("rebalance").write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def _bucketed(self, name: str, build: Callable[[], DataFrame], key: str, sort: str) -> DataFrame:
+        """Staged as a table bucketed and sorted on ``key``: what groups or windows on it later
+        reads its bucket and needs no shuffle. The cluster's shuffle partition number sizes it."""
+        path = self._path(name)
+        app = "".join(c if c.isalnum() else "_" for c in self.spark.sparkContext.applicationId)
+        table = f"trailmark_{app}_{self._tag()}_{name}"
+        if not self.spark.catalog.tableExists(table):
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            (
+                build()
+                .repartition(buckets, key)
+                .write.mode("overwrite")
+                .bucketBy(buckets, key)
+                .sortBy(key, sort)
+                .option("path", path)
+                .saveAsTable(table)
+            )
+        return self.spark.table(table)
+
+    def _tag(self) -> str:
+        return "".join(c if c.isalnum() else "_" for c in self.folder).strip("_").lower()
+
+    def _path(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/tables/{self._tag()}/{name}"
+
     @cached_property
     def raw(self) -> DataFrame:
         return behavior_from_events(self.table("events"))
@@ -99,7 +124,10 @@ class Workspace:
 
     @cached_property
     def user_day(self) -> DataFrame:
-        return self._staged("user_day", lambda: kpi.int_user_daily_metrics(self.behavior))
+        # a user has at most one row per date, so no bucket can grow hot
+        return self._bucketed(
+            "user_day", lambda: kpi.int_user_daily_metrics(self.behavior), "user_id", "date"
+        )
 
     @cached_property
     def purchases(self) -> DataFrame:

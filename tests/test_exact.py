@@ -59,8 +59,9 @@ def brute_neighbors(rows, k):
     together = brute_pairs(rows)
     links = defaultdict(list)
     for (a, b), c in together.items():
-        links[a].append((-c * c / n[b], b, c))
-        links[b].append((-c * c / n[a], a, c))
+        sim = math.floor(c / math.sqrt(n[a] * float(n[b])) * 1e9 + 0.5)
+        links[a].append((-sim, b, c))
+        links[b].append((-sim, a, c))
     return {i: [(b, c) for _, b, c in sorted(v)[:k]] for i, v in links.items()}, n, together
 
 
@@ -73,11 +74,11 @@ def test_cosine_neighbors(spark, baskets, hot, hot_basket):
     ).orderBy("item_id", "rank_no").collect()
     for r in rows:
         got[r["item_id"]].append((r["neighbor"], r["together"]))
-        assert r["similarity"] == pytest.approx(r["together"] / math.sqrt(n[r["item_id"]] * n[r["neighbor"]]))
+        assert r["similarity"] == pytest.approx(r["together"] / math.sqrt(n[r["item_id"]] * n[r["neighbor"]]), abs=1e-8)
     assert dict(got) == want
 
 
-@pytest.mark.parametrize("depth,hot_basket", [(2, 30), (64, 1000)])
+@pytest.mark.parametrize("depth,hot_basket", [(2, 30), (20, 1000), (64, 1000)])
 def test_item_cf_recommend(spark, baskets, depth, hot_basket):
     _, n, together = brute_neighbors(baskets, 1)
     owned = defaultdict(set)

@@ -290,7 +290,7 @@ def item_cf_similarity(buys: DataFrame, k: int = 10, **tuning) -> DataFrame:
         "item_id",
         F.col("neighbor").alias("similar_item"),
         F.col("together").alias("common_buyers"),
-        half_up("similarity", 9).alias("similarity"),
+        "similarity",
         "rank_no",
     )
 
@@ -301,47 +301,115 @@ def item_cf_recommend(
     """Top ``k`` items not owned, scored by the highest similarity to any owned item.
 
     ``history`` and ``buys`` are distinct (user_id, item_id). Each owned item brings its ``depth``
-    best neighbours rather than all partners, so a best-selling item adds a bounded list. The result
-    of a user is final if the k-th score beats the last entry of every cut list; the other users go
-    round again with lists eight times as long, until nobody is left.
+    best neighbours rather than all partners, so a best-selling item adds a bounded list. A cut list
+    of an item still holds ``k`` entries the user does not own, all better than what was cut off, if
+    the user owns at most depth - k items, so the result of these users is exact. Users who own more
+    are looked at from the side of the candidates (``_collector_scores``).
     """
-    history = cut(history.select("user_id", "item_id"))
-    done = None
+    depth = max(depth, 2 * k)
+    lists = _neighbor_lists(buys, depth, tuning)
+    known = lists.select("item_id").distinct()
+    history = cut(join_spread(history.select("user_id", "item_id"), known, "item_id"))
+    sizes = history.groupBy("user_id").agg(F.count("*").alias("m"))
+    collectors = cut(sizes.filter(F.col("m") > depth - k).select("user_id"))
+    if collectors.isEmpty():
+        return _best_items(_owned_side_scores(history, lists), history, k)
+    small = history.join(collectors, "user_id", "left_anti")
+    result = _best_items(_owned_side_scores(small, lists), small, k)
+    history = cut(history.join(collectors, "user_id", "left_semi"))
     while True:
-        lists = cut(item_cf_similarity(buys, depth, **tuning).select("item_id", "similar_item", "similarity"))
-        cut_off = (
-            lists.groupBy("item_id")
-            .agg(F.count("*").alias("m"), F.min("similarity").alias("last"))
-            .filter(F.col("m") >= depth)
-        )
-        owned = history.select("user_id", F.col("item_id").alias("similar_item"))
-        scores = (
-            join_spread(history, lists, "item_id")
-            .groupBy("user_id", "similar_item")
-            .agg(F.max("similarity").alias("score"))
-            .join(owned, ["user_id", "similar_item"], "left_anti")
-        )
-        order = Window.partitionBy("user_id").orderBy(F.desc("score"), "similar_item")
-        top = (
-            scores.withColumn("rank_no", long(F.row_number().over(order)))
-            .filter(F.col("rank_no") <= k)
-            .select("user_id", F.col("similar_item").alias("item_id"), "score", "rank_no")
-        )
-        unseen = join_spread(history, cut_off, "item_id").groupBy("user_id").agg(F.max("last").alias("bound"))
-        got = top.groupBy("user_id").agg(F.count("*").alias("m"), F.min("score").alias("kth"))
-        open_users = cut(
-            unseen.join(got, "user_id", "left")
-            .filter(
-                F.col("kth").isNull() | (F.col("m") < k) | (F.col("kth") <= F.col("bound") + 1e-8)
-            )
-            .select("user_id")
-        )
-        if open_users.isEmpty():
-            return top if done is None else done.unionByName(top)
-        final = cut(top.join(open_users, "user_id", "left_anti"))
-        done = final if done is None else done.unionByName(final)
-        history = cut(history.join(open_users, "user_id", "left_semi"))
+        top, left = _collector_scores(history, lists, k, depth)
+        if left.isEmpty():
+            return result.unionByName(top)
+        result = result.unionByName(cut(top.join(left, "user_id", "left_anti")))
+        history = cut(history.join(left, "user_id", "left_semi"))
         depth *= 8
+        lists = _neighbor_lists(buys, depth, tuning)
+
+
+def _neighbor_lists(buys: DataFrame, depth: int, tuning: dict) -> DataFrame:
+    return cut(
+        item_cf_similarity(buys, depth, **tuning).select("item_id", "similar_item", "similarity")
+    )
+
+
+def _owned_side_scores(history: DataFrame, lists: DataFrame) -> DataFrame:
+    return (
+        join_spread(history, lists, "item_id")
+        .groupBy("user_id", F.col("similar_item").alias("candidate"))
+        .agg(F.max("similarity").alias("score"))
+    )
+
+
+def _best_items(scores: DataFrame, history: DataFrame, k: int) -> DataFrame:
+    owned = history.select("user_id", F.col("item_id").alias("candidate"))
+    order = Window.partitionBy("user_id").orderBy(F.desc("score"), "candidate")
+    return (
+        scores.join(owned, ["user_id", "candidate"], "left_anti")
+        .withColumn("rank_no", long(F.row_number().over(order)))
+        .filter(F.col("rank_no") <= k)
+        .select("user_id", F.col("candidate").alias("item_id"), "score", "rank_no")
+    )
+
+
+def _collector_scores(
+    history: DataFrame, lists: DataFrame, k: int, depth: int
+) -> tuple[DataFrame, DataFrame]:
+    """Top ``k`` of users with many items, and the users whose result is not yet certain.
+
+    Similarity is symmetric: the best owned item of a candidate is the first owned one in the
+    candidate's own list. A candidate found that way has its exact score. What may be missing are
+    items with a cut list without any owned entry, and their score is at most the end of that list;
+    a user is certain if every cut list that ends at or above the user's k-th score belongs to an
+    item that is owned or was found. Ends are compared in thousandths, rounded to the safe side.
+    """
+    owned = history.select("user_id", F.col("item_id").alias("similar_item"))
+    found = cut(
+        lists.join(owned, "similar_item")
+        .groupBy("user_id", F.col("item_id").alias("candidate"))
+        .agg(F.max("similarity").alias("score"))
+    )
+    top = cut(_best_items(found, history, k))
+    ends = (
+        lists.groupBy("item_id")
+        .agg(F.count("*").alias("m"), F.min("similarity").alias("last"))
+        .filter(F.col("m") >= depth)
+        .select("item_id", F.floor(F.col("last") * 1000).alias("bin"))
+    )
+    ends = cut(ends)
+    floor_of = (
+        history.select("user_id")
+        .distinct()
+        .join(top.groupBy("user_id").agg(F.count("*").alias("m"), F.min("score").alias("kth")), "user_id", "left")
+        .select(
+            "user_id",
+            F.when(F.col("m") >= k, F.floor(F.col("kth") * 1000)).otherwise(0).alias("bin"),
+        )
+    )
+    floor_of = cut(floor_of)
+    # similarities lie in [0, 1], so there are at most 1001 bins
+    bins = ends.groupBy("bin").agg(F.count("*").alias("c"))
+    grid = ends.sparkSession.range(1001).select(F.col("id").alias("bin"))
+    upward = Window.orderBy(F.desc("bin"))
+    at_least = grid.join(F.broadcast(bins), "bin", "left").select(
+        "bin", F.sum(F.coalesce("c", F.lit(0))).over(upward).alias("total")
+    )
+    covered = (
+        found.select("user_id", F.col("candidate").alias("item_id"))
+        .unionByName(history)
+        .distinct()
+        .join(ends, "item_id")
+        .join(floor_of.withColumnRenamed("bin", "floor"), "user_id")
+        .groupBy("user_id")
+        .agg(F.count_if(F.col("bin") >= F.col("floor")).alias("covered"))
+    )
+    left = (
+        floor_of.join(F.broadcast(at_least), "bin")
+        .join(covered, "user_id", "left")
+        .filter(F.coalesce("covered", F.lit(0)) < F.col("total"))
+        .select("user_id")
+    )
+    return top, cut(left)
 
 
 # --- user-based CF ------------------------------------------------------------------------------------

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.functions.columns import long
+from trailmark.functions.columns import half_up, long
 from trailmark.session import cut
 
 # Basket rows per slice on the build side of the pair join.
@@ -150,7 +150,7 @@ def cosine_neighbors(
     """(item, neighbor, together, similarity, rank_no): the ``k`` most similar items of each item.
 
     Similarity is the cosine of the binary item x basket rows: together / sqrt(n_item x n_neighbor).
-    Ordered by together^2 / n_neighbor, which is the same order and exact, then by neighbour id.
+    Similarities have nine digits; equal ones are ordered by the neighbour's id.
     ``rows`` is distinct on (item, basket).
     """
     rows = cut(rows.select(F.col(item).alias("i"), F.col(basket).alias("u")))
@@ -175,19 +175,14 @@ def cosine_neighbors(
             .agg(F.max("together").alias("together"))
         )
     ranked = links.join(counts.select(F.col("i").alias("j"), F.col("n").alias("nj")), "j")
-    strength = F.col("together") * F.col("together") / F.col("nj")
-    order = Window.partitionBy("i").orderBy(F.desc("_s"), F.asc("j"))
-    best = (
-        ranked.withColumn("_s", strength)
-        .withColumn("rank_no", F.row_number().over(order))
+    cosine = half_up(F.col("together") / F.sqrt(F.col("n") * F.col("nj").cast("double")), 9)
+    order = Window.partitionBy("i").orderBy(F.desc("similarity"), F.asc("j"))
+    return (
+        ranked.join(counts, "i")
+        .withColumn("similarity", cosine)
+        .withColumn("rank_no", long(F.row_number().over(order)))
         .filter(F.col("rank_no") <= k)
-    )
-    return best.join(counts, "i").select(
-        F.col("i").alias(item),
-        F.col("j").alias("neighbor"),
-        "together",
-        (F.col("together") / F.sqrt(F.col("n") * F.col("nj").cast("double"))).alias("similarity"),
-        long("rank_no").alias("rank_no"),
+        .select(F.col("i").alias(item), F.col("j").alias("neighbor"), "together", "similarity", "rank_no")
     )
 
 

@@ -35,11 +35,10 @@ def _bought(source: str) -> str:
 
 
 def _cosine(rows: str, item: str, basket: str, prefix: str = "") -> str:
-    """CTEs <p>pairs (i, j, together, sim, strength) over distinct (item, basket) rows."""
+    """CTEs <p>pairs (i, j, together, sim) over distinct (item, basket) rows."""
     return f"""{prefix}cnt AS (SELECT {item} AS i, COUNT(*) AS n FROM {rows} GROUP BY 1),
 {prefix}pairs AS (
-  SELECT p.i, p.j, together, {rnd("(together / sqrt(a.n * CAST(b.n AS DOUBLE)))", 9)} AS sim,
-         CAST(together * together AS DOUBLE) / b.n AS strength
+  SELECT p.i, p.j, together, {rnd("(together / sqrt(a.n * CAST(b.n AS DOUBLE)))", 9)} AS sim
   FROM (SELECT x.{item} AS i, y.{item} AS j, COUNT(*) AS together
         FROM {rows} x JOIN {rows} y ON x.{basket} = y.{basket} AND x.{item} <> y.{item} GROUP BY ALL) p
   JOIN {prefix}cnt a ON p.i = a.i JOIN {prefix}cnt b ON p.j = b.i)"""
@@ -193,7 +192,7 @@ def checks() -> dict[str, str]:
     )
     q["item_cf_similarity"] = on_orders(
         f"""SELECT i AS item_id, j AS similar_item, together AS common_buyers, sim AS similarity, rank_no FROM (
-        SELECT *, {big("ROW_NUMBER() OVER (PARTITION BY i ORDER BY strength DESC, j)")} AS rank_no FROM pairs) WHERE rank_no <= 10""",
+        SELECT *, {big("ROW_NUMBER() OVER (PARTITION BY i ORDER BY sim DESC, j)")} AS rank_no FROM pairs) WHERE rank_no <= 10""",
         "b0 AS (SELECT DISTINCT user_id, item_id FROM pu)",
         _cosine("b0", "item_id", "user_id"),
     )

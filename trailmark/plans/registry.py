@@ -21,7 +21,7 @@ from trailmark.operators import (
     retention,
     segments,
 )
-from trailmark.session import shared_dir
+from trailmark.session import cut, shared_dir
 from trailmark.sources import files
 from trailmark.sources.tables import Workspace, workspace
 
@@ -255,10 +255,13 @@ def _indexed(w: Workspace):
 
 
 def _als(w: Workspace):
-    indexed, users, items = _indexed(w)
-    split = recommend.split_ratings(indexed)
-    train, test = split.filter("is_train"), split.filter("NOT is_train")
-    return recommend.als_fit(train), test, users, items
+    def fit():
+        indexed, users, items = _indexed(w)
+        split = cut(recommend.split_ratings(indexed))
+        train, test = split.filter("is_train"), split.filter("NOT is_train")
+        return recommend.als_fit(train), test, users, items
+
+    return w.once("als", fit)
 
 
 def _als_evaluate(w: Workspace) -> DataFrame:
@@ -313,15 +316,19 @@ def _rule_predictions(w: Workspace) -> DataFrame:
     )
 
 
-def _scored(w: Workspace, fit) -> DataFrame:
-    split = churn.stratified_split(churn.churn_features(w.behavior))
-    model = fit(split.filter("NOT is_test"))
-    return churn.score(model, split)
+def _churn_model(w: Workspace, name: str, fit):
+    """Held-out split and the model fitted on the rest of it."""
+    split = w.once("churn_split", lambda: cut(churn.stratified_split(churn.churn_features(w.behavior))))
+    return split, w.once(name, lambda: fit(split.filter("NOT is_test")))
+
+
+def _scored(w: Workspace, name: str, fit) -> DataFrame:
+    split, model = _churn_model(w, name, fit)
+    return churn.score(model, split.filter("is_test"))
 
 
 def _importance(w: Workspace) -> DataFrame:
-    split = churn.stratified_split(churn.churn_features(w.behavior))
-    return churn.feature_importance(churn.fit_gbt(split.filter("NOT is_test")))
+    return churn.feature_importance(_churn_model(w, "churn_gbt", churn.fit_gbt)[1])
 
 
 CHURN: dict[str, Query] = {
@@ -329,8 +336,8 @@ CHURN: dict[str, Query] = {
     "churn_label_lastk": lambda w: churn.churn_label_lastk(w.behavior),
     "churn_sample": lambda w: churn.churn_sample(churn.churn_features(w.behavior), cap=100_000),
     "time_split": lambda w: churn.split_summary(churn.time_split(churn.churn_features(w.behavior))),
-    "churn_lr": lambda w: _scored(w, churn.fit_lr),
-    "churn_gbt": lambda w: _scored(w, churn.fit_gbt),
+    "churn_lr": lambda w: _scored(w, "churn_lr", churn.fit_lr),
+    "churn_gbt": lambda w: _scored(w, "churn_gbt", churn.fit_gbt),
     "churn_metrics": lambda w: churn.classification_metrics(_rule_predictions(w)),
     "roc_points": lambda w: churn.roc_points(_rule_predictions(w)).select("threshold", "fpr", "tpr"),
     "feature_importance": _importance,

@@ -71,6 +71,13 @@ class Workspace:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._kept: dict[str, object] = {}
+
+    def once(self, name: str, build: Callable[[], object]):
+        """A fitted model kept for the session, so several questions can be asked of one fit."""
+        if name not in self._kept:
+            self._kept[name] = build()
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import half_up, long
+from trailmark.operators.hotkeys import join_spread
 from trailmark.session import cut
 
 # Basket rows per slice on the build side of the pair join.
@@ -155,51 +156,54 @@ def cosine_neighbors(
     """
     rows = cut(rows.select(F.col(item).alias("i"), F.col(basket).alias("u")))
     counts = rows.groupBy("i").agg(F.count("*").alias("n"))
+    # the buyer count travels with the item, so the far longer pair list needs no join for it
+    rows = cut(join_spread(rows, counts, "i"))
     large = _largest_baskets(rows, "u", hot_basket, hot)
     small_rows, large_rows = _split(rows, "u", large)
-    pairs = expand_pairs(small_rows, "u", ["i"], "i")
+    pairs = expand_pairs(small_rows, "u", ["i", "n"], "i")
     if large_rows is not None:
-        sig = cut(_signature(large_rows, ["i"]))
-        pairs = _add_large(pairs, sig, ["i"])
-    both_ways = F.inline(
-        F.array(
-            F.struct(F.col("a_i").alias("i"), F.col("b_i").alias("j"), F.col("together")),
-            F.struct(F.col("b_i").alias("i"), F.col("a_i").alias("j"), F.col("together")),
+        sig = cut(_signature(large_rows, ["i", "n"]))
+        pairs = _add_large(pairs, sig, ["i", "n"])
+
+    def link(x, y):
+        return F.struct(
+            F.col(f"{x}_i").alias("i"),
+            F.col(f"{x}_n").alias("n"),
+            F.col(f"{y}_i").alias("j"),
+            F.col(f"{y}_n").alias("nj"),
+            F.col("together"),
         )
-    )
-    links = pairs.select(both_ways)
+
+    links = pairs.select(F.inline(F.array(link("a", "b"), link("b", "a"))))
     if large_rows is not None:
         links = (
-            links.unionByName(_links_in_hot_baskets(sig, counts, k))
-            .groupBy("i", "j")
+            links.unionByName(_links_in_hot_baskets(sig, k))
+            .groupBy("i", "n", "j", "nj")
             .agg(F.max("together").alias("together"))
         )
-    ranked = links.join(counts.select(F.col("i").alias("j"), F.col("n").alias("nj")), "j")
     cosine = half_up(F.col("together") / F.sqrt(F.col("n") * F.col("nj").cast("double")), 9)
     order = Window.partitionBy("i").orderBy(F.desc("similarity"), F.asc("j"))
     return (
-        ranked.join(counts, "i")
-        .withColumn("similarity", cosine)
+        links.select("i", "j", "together", cosine.alias("similarity"))
         .withColumn("rank_no", long(F.row_number().over(order)))
         .filter(F.col("rank_no") <= k)
         .select(F.col("i").alias(item), F.col("j").alias("neighbor"), "together", "similarity", "rank_no")
     )
 
 
-def _links_in_hot_baskets(sig: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+def _links_in_hot_baskets(sig: DataFrame, k: int) -> DataFrame:
     """Partners through hot baskets alone, k+1 candidates per group of items.
 
     There are at most 2^hot - 1 groups, so everything between groups is small; only the last join
     (items to the candidates of their group) is as long as the item list.
     """
-    grouped = cut(sig.join(counts, "i"))
     per_group = Window.partitionBy("sig").orderBy("n", "i")
     reps = (
-        grouped.withColumn("_r", F.row_number().over(per_group))
+        sig.withColumn("_r", F.row_number().over(per_group))
         .filter(F.col("_r") <= k + 1)
         .select(F.col("sig").alias("rsig"), F.col("i").alias("j"), F.col("n").alias("nj"))
     )
-    groups = grouped.select("sig").distinct()
+    groups = sig.select("sig").distinct()
     shared = (
         groups.select("sig", F.explode("sig").alias("_b"))
         .join(reps.select("rsig", "j", "nj", F.explode("rsig").alias("_b")), "_b")
@@ -212,11 +216,10 @@ def _links_in_hot_baskets(sig: DataFrame, counts: DataFrame, k: int) -> DataFram
     candidates = (
         shared.withColumn("_r", F.row_number().over(per_sig))
         .filter(F.col("_r") <= k + 1)
-        .select("sig", "j", "together")
+        .select("sig", "j", "nj", "together")
     )
     return (
-        grouped.select("i", "sig")
-        .join(F.broadcast(candidates), "sig")
+        sig.join(F.broadcast(candidates), "sig")
         .filter(F.col("i") != F.col("j"))
-        .select("i", "j", "together")
+        .select("i", "n", "j", "nj", "together")
     )

@@ -18,8 +18,9 @@ def test_two_proportion_z(spark):
     assert got["z"] == pytest.approx(1.8831089, abs=1e-6)
     assert got["p_value"] == pytest.approx(0.0596856, abs=1e-6)
     assert got["significant"] == 0 and got["lift_pct"] == pytest.approx(40.0)
-    wide = experiment.two_proportion_z(arms(spark, 1000, 50, 1000, 70), pooled=False).first()
-    assert wide["ci_low"] != got["ci_low"] or wide["ci_high"] != got["ci_high"] or True
+    wide = experiment.two_proportion_z(arms(spark, 100, 50, 1000, 70), pooled=False).first()
+    half = 1.96 * math.sqrt(0.5 * 0.5 / 100 + 0.07 * 0.93 / 1000)
+    assert wide["ci_high"] - wide["ci_low"] == pytest.approx(2 * half, abs=1e-5)
 
 
 def test_cohens_h(spark):

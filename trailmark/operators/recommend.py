@@ -74,7 +74,8 @@ def index_ids(ratings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def split_ratings(ratings: DataFrame, train_share: float = 0.8, seed: int = 42) -> DataFrame:
     """Adds ``is_train`` from a hash of the pair, so the split does not depend on partitioning."""
-    bucket = F.pmod(F.xxhash64("user_id", "item_id", F.lit(seed)), F.lit(10_000))
+    key = F.concat_ws("_", F.col("user_id"), F.col("item_id"), F.lit(seed))
+    bucket = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 10_000
     return ratings.withColumn("is_train", bucket < int(train_share * 10_000))
 
 
@@ -309,7 +310,8 @@ def item_cf_recommend(
     depth = max(depth, 2 * k)
     lists = _neighbor_lists(buys, depth, tuning)
     known = lists.select("item_id").distinct()
-    history = cut(join_spread(history.select("user_id", "item_id"), known, "item_id"))
+    history = cut(history.select("user_id", "item_id"))
+    history = cut(join_spread(history, known, "item_id"))
     sizes = history.groupBy("user_id").agg(F.count("*").alias("m"))
     collectors = cut(sizes.filter(F.col("m") > depth - k).select("user_id"))
     if collectors.isEmpty():

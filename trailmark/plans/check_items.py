@@ -190,6 +190,11 @@ def checks() -> dict[str, str]:
         CAST(DENSE_RANK() OVER (ORDER BY item_id) - 1 AS INTEGER) AS item_idx FROM rt""",
         _ratings("ub"),
     )
+    q["split_ratings"] = on_events(
+        """SELECT *, CAST('0x' || left(md5(CAST(user_id AS VARCHAR) || '_' || CAST(item_id AS VARCHAR) || '_42'), 8) AS BIGINT) % 10000 < 8000
+        AS is_train FROM rt""",
+        _ratings("ub"),
+    )
     q["item_cf_similarity"] = on_orders(
         f"""SELECT i AS item_id, j AS similar_item, together AS common_buyers, sim AS similarity, rank_no FROM (
         SELECT *, {big("ROW_NUMBER() OVER (PARTITION BY i ORDER BY sim DESC, j)")} AS rank_no FROM pairs) WHERE rank_no <= 10""",

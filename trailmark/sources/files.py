@@ -38,6 +38,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes under a path, from file metadata."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(target).getLength()
+
+
 def read_behavior_csv(
     spark: SparkSession,
     path: str,

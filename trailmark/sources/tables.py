@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from trailmark.operators import cleaning, kpi
 from trailmark.operators.hotkeys import join_spread
 from trailmark.session import shared_dir
-from trailmark.sources.files import path_exists
+from trailmark.sources.files import path_exists, stored_bytes
+
+BUCKET_BYTES = 128 * 1024 * 1024
+MAX_BUCKETS = 50_000
 
 # How the event types of the input map to behaviours.
 EVENT_TO_BEHAVIOR = {"view": "pv", "click": "cart", "signup": "fav", "purchase": "buy"}
@@ -94,14 +97,17 @@ class Workspace:
 
     def _bucketed(self, name: str, build: Callable[[], DataFrame], key: str, sort: str) -> DataFrame:
         """Staged as a table bucketed and sorted on ``key``: what groups or windows on it later
-        reads its bucket and needs no shuffle. The cluster's shuffle partition number sizes it."""
+        reads its bucket and needs no shuffle. Sized by the bytes of the cleaned events."""
         path = self._path(name)
         app = "".join(c if c.isalnum() else "_" for c in self.spark.sparkContext.applicationId)
         table = f"trailmark_{app}_{self._tag()}_{name}"
         if not self.spark.catalog.tableExists(table):
-            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = build()
+            size = stored_bytes(self.spark, self._path("behavior"))
+            cores = self.spark.sparkContext.defaultParallelism
+            buckets = min(MAX_BUCKETS, max(cores, -(-size // BUCKET_BYTES)))
             (
-                build()
+                df
                 .repartition(buckets, key)
                 .write.mode("overwrite")
                 .bucketBy(buckets, key)

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import held_out, labelled_sample, map_texts, sigmoid, slices, table
 
 BITS = 18  # hashed n-grams: 2^18 vectors, a 1 MB table of scores
-DIM = 8
+DIM = 4
 SIZES = (3, 4, 5, 6)  # bytes, the space at either end of a word counts
 WINDOW = 2  # words: one insult must not drown in its neighbours
 # Bound on the labelled rows that the model is fitted to, by label.
-MIN_WORDS = 4  # word types of the sample that share an n-gram
-STEPS = (10.0, 0.05, 0.02)  # longest step of an epoch: vectors, softmax weights, bias
+MIN_DOCS = 4  # documents of the sample that hold an n-gram, summed over its words
+STEPS = (0.6, 0.05, 0.02)  # longest step of an epoch: vectors, softmax weights, bias
 FIT_ROWS = {0: 900, 1: 600}
 
 _FOLD = bytes(
@@ -106,7 +106,7 @@ def _transposed(column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.searchsorted(column[order], np.arange(width))
 
 
-def fit(texts: list[bytes], y: np.ndarray, epochs: int = 40, seed: int = 7) -> Toxicity:
+def fit(texts: list[bytes], y: np.ndarray, epochs: int = 50, seed: int = 7) -> Toxicity:
     """Train n-gram vectors and softmax together, full batches with momentum.
 
     In the first third of the epochs each window carries its document's label, clean and toxic
@@ -133,8 +133,9 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 40, seed: int = 7) -> T
     order = np.argsort(owner, kind="stable")
     owner, bucket = owner[order], bucket[order]
     types = len(number)
-    # n-grams of a single word of the sample say nothing about other words and keep the score 0
-    shared = np.bincount(bucket, minlength=1 << BITS)[bucket] >= MIN_WORDS
+    # n-grams of one or two documents say nothing about others and keep the score 0
+    in_docs = np.bincount([number[w] for ws in words for w in set(ws)], minlength=types)
+    shared = np.bincount(bucket, weights=in_docs[owner], minlength=1 << BITS)[bucket] >= MIN_DOCS
     per_type = np.bincount(owner, minlength=types).astype(np.float32)[:, None]
     bucket, owner = bucket[shared], owner[shared]
     used, bucket = np.unique(bucket, return_inverse=True)
@@ -163,6 +164,8 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 40, seed: int = 7) -> T
         rng.normal(0, 0.5, (DIM, 2)).astype(np.float32),
         np.zeros(2, np.float32),
     ]
+    often = np.bincount(bucket, weights=np.bincount(flat, minlength=types)[owner])
+    calm = (1.0 / np.sqrt(often)).astype(np.float32)[:, None]
     speed = [np.zeros_like(p) for p in params]
 
     def forward() -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +190,9 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 40, seed: int = 7) -> T
         dh = d @ params[1].T * inv_len
         dz = np.add.reduceat(dh[win_by_type], type_first) / per_type
         grads = [np.add.reduceat(dz[owner_by_gram], gram_first), h.T @ d, d.sum(0)]
-        # One step length for all n-grams, set by the fastest: an n-gram moves by how often and how
-        # one-sidedly it occurs, so rare ones stay near zero.
+        # An n-gram moves by its gradient over that gradient's noise, which grows with the root of its
+        # occurrences; the clearest one sets the step length, so rare and neutral ones stay near zero.
+        grads[0] *= calm
         for k, (g, step) in enumerate(zip(grads, STEPS)):
             speed[k] = 0.8 * speed[k] + g
             params[k] -= step * speed[k] / (np.sqrt((speed[k] ** 2).sum(-1)).max() + 1e-12)

@@ -117,3 +117,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[i
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
+
+
+def flat_texts(
+    docs: DataFrame,
+    keep: list[str],
+    ddl: str,
+    work: Callable[[Iterator[tuple[pa.RecordBatch, list[bytes]]]], Iterator[dict[str, object]]],
+    text: str = "text",
+) -> DataFrame:
+    """Any number of rows from the texts: ``work`` gets a task's batches (with the columns ``keep``)
+    and their texts, and yields the columns of ``ddl``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    small_batches(docs.sparkSession)
+    schema = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for new in work((b, texts_of(b, text)) for b in batches):
+            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], type=f.type) for f in arrow], schema=arrow)
+
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]).mapInArrow(run, schema)

@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from trailmark.llm import (
+    bpe,
+    exact_dedup,
+    licenses,
+    lmscore,
+    mixing,
+    neighbours,
+    quality,
+    simhash,
+    substrings,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_neighbours": neighbours.op2_neighbours,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_quality": quality.op4_quality,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_license_scan": licenses.op6_license_scan,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
+    "op8_lm_score": lmscore.op8_lm_score,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }

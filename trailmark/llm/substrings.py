@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import flat_texts, slices, staged, table
 
-AVERAGE = 40  # bytes between cuts
+AVERAGE = 32  # bytes between cuts
 SHORTEST = 16  # shorter chunks repeat by chance and are not compared
 LONGEST = 1 << 16
 BRIDGE = 48  # bytes without a repeated chunk that a passage may have inside

@@ -16,9 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import flat_texts, map_texts, table
+from trailmark.llm.common import flat_texts, map_texts, staged, table
 
-VOCABULARY = 32_768  # most frequent words of the whole corpus; all others are one class
+VOCABULARY = 32_768  # words of the whole corpus; all others are one class
 SLOTS = 1 << 18  # bigram counts are hashed to as many slots in both models
 WEIGHT = 50.0  # pseudo-counts with which a bigram estimate leans on the unigram estimate
 
@@ -39,10 +39,38 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """Numbers 2, 3, ... of the ``size`` most frequent words, ties by the word; 0 is any other word,
-    1 the start of a text."""
-    rows = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).collect()
-    return {bytes(r["word"]): i for i, r in enumerate(rows, 2)}
+    """Numbers 2, 3, ... of the ``size`` most frequent words; 0 is any other word, 1 the start of a
+    text. Words are ranked by frequency class (sixteen to a doubling), within a class by a hash.
+
+    Two histograms of bounded size find where the list ends, so that little more than the list
+    itself reaches the driver, however many words and tasks there are.
+    """
+    ranked = staged(
+        word_counts(docs).select(
+            "word", F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int").alias("class"),
+            F.xxhash64("word").alias("h"),
+        ),
+        "words",
+    )
+    last, need = None, size
+    for r in ranked.groupBy("class").count().orderBy(F.desc("class")).collect():
+        if r["count"] > need:
+            last = r["class"]
+            break
+        need -= r["count"]
+    chosen = ranked if last is None else ranked.where(F.col("class") > last)
+    rows = [(r["class"], r["h"], bytes(r["word"])) for r in chosen.collect()]
+    if last is not None:
+        partly = ranked.where(F.col("class") == last).withColumn("top", F.shiftright("h", 48))
+        left, upto = need, None
+        for r in partly.groupBy("top").count().orderBy("top").collect():  # 65,536 at most
+            upto = r["top"]
+            left -= r["count"]
+            if left <= 0:
+                break
+        ends = sorted((r["h"], bytes(r["word"])) for r in partly.where(F.col("top") <= upto).collect())
+        rows += [(last, h, w) for h, w in ends[:need]]
+    return {w: i for i, (_, _, w) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1], r[2])), 2)}
 
 
 def _numbers(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +144,8 @@ def train(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY) -> Models
         yield {"place": place, "background": sums[0, place], "target": sums[1, place]}
 
     ids = targets.select(F.col("doc_id").alias("target__id")).where("target__id is not null").distinct()
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("target__id"), "left").select(
+    # as many target ids as the corpus may hold: never broadcast
+    marked = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("target__id"), "left").select(
         "text", F.col("target__id").isNotNull().alias("is_target")
     )
     rows = (

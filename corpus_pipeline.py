@@ -8,9 +8,8 @@ repeated with one id are one document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from trailmark.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from trailmark.llm.common import map_texts, staged, table
@@ -30,7 +29,8 @@ def _only(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     same = (F.coalesce(docs["doc_id"], F.lit(0)) == F.col("only__id")) & (
         docs["doc_id"].isNull() == F.col("only__none")
     )
-    left = docs.join(kept, same, "left_semi")
+    # as many ids as documents stay: never broadcast
+    left = docs.join(kept.hint("merge"), same, "left_semi")
     if decisions.groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     order = Window.partitionBy(F.coalesce("doc_id", F.monotonically_increasing_id() - (1 << 62))).orderBy("doc_id")

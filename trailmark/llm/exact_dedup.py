@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import fold_case, map_texts, staged, table
+from trailmark.llm.common import LOWER, UPPER, fold_case, map_texts, staged, table
 
 # Digests in one bucket of the digest space; the number of buckets grows with the data.
 BUCKET_ROWS = 20_000
@@ -172,14 +172,15 @@ def exact_dedup(docs: DataFrame, batch: Column, digest: Callable[[bytes], bytes]
     members = staged(members, "members")
     suspects = members.where("n is not null")
 
-    # byte check: only these texts move, and a hot group meets its representative in salted parts
+    # byte check: only these texts move (never broadcast: copies may be a third of the corpus), and a hot group meets its representative in salted parts
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    texts = suspects.join(
+    texts = suspects.hint("merge").join(
         docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")),
         F.col("doc_id").eqNullSafe(F.col("_id")),
     ).select("row", "digest", "top", "n", fold_case(F.col("_text")).alias("normal"))
     if digest is sha256:  # rows that share a doc_id with another text meet only their own
         texts = texts.where(F.sha2("normal", 256) == F.lower(F.hex("digest")))
+    texts = staged(texts, "suspects")
     leaders = texts.where(F.col("row") == F.col("top.row")).groupBy("digest", "n").agg(
         F.min("normal").alias("lead")
     )
@@ -231,7 +232,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = f"""
 WITH d AS (
-    SELECT doc_id, translate(coalesce(text, ''), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', '{"abcdefghijklmnopqrstuvwxyz"}') AS t
+    SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t
     FROM documents
 ), g AS (
     SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t

@@ -102,7 +102,7 @@ class Toxicity:
 
 def _transposed(column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts entries by column, and where each column starts; every column occurs."""
-    order = np.argsort(column, kind="stable")
+    order = np.argsort(column, kind="stable").astype(np.int32)
     return order, np.searchsorted(column[order], np.arange(width))
 
 
@@ -114,31 +114,35 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 50, seed: int = 7) -> T
     as its other windows are no different from clean text. With one class or no words the model is
     constant.
     """
-    words = [t.translate(_FOLD).split() for t in texts]
-    keep = [i for i, w in enumerate(words) if w]
+    number: dict[bytes, int] = {}
+    words = [
+        np.fromiter((number.setdefault(w, len(number)) for w in t.translate(_FOLD).split()), np.int32)
+        for t in texts
+    ]
+    keep = [i for i, w in enumerate(words) if len(w)]
     y = np.asarray(y)[keep] if keep else np.zeros(0, int)
     if len(set(y.tolist())) < 2:
         return Toxicity(np.zeros(1 << BITS, np.float32), 0.0, 4.0 if len(y) and y[0] == 1 else -4.0)
-    words = [words[i] for i in keep]
-    number: dict[bytes, int] = {}
-    flat = np.array([number.setdefault(w, len(number)) for ws in words for w in ws])
+    words, texts = [words[i] for i in keep], [texts[i] for i in keep]
+    flat = np.concatenate(words)
     buf = _spaced(list(number))
     starts = _word_starts(buf)
     owner, bucket = [], []
     for valid, b in _grams(buf):
         at = np.flatnonzero(valid)
-        owner.append(np.searchsorted(starts, at, "right") - 1)
-        bucket.append(b[at])
+        owner.append((np.searchsorted(starts, at, "right") - 1).astype(np.int32))
+        bucket.append(b[at].astype(np.int32))
     owner, bucket = np.concatenate(owner), np.concatenate(bucket)
     order = np.argsort(owner, kind="stable")
     owner, bucket = owner[order], bucket[order]
     types = len(number)
     # n-grams of one or two documents say nothing about others and keep the score 0
-    in_docs = np.bincount([number[w] for ws in words for w in set(ws)], minlength=types)
+    in_docs = np.bincount(np.concatenate([np.unique(w) for w in words]), minlength=types)
     shared = np.bincount(bucket, weights=in_docs[owner], minlength=1 << BITS)[bucket] >= MIN_DOCS
     per_type = np.bincount(owner, minlength=types).astype(np.float32)[:, None]
     bucket, owner = bucket[shared], owner[shared]
     used, bucket = np.unique(bucket, return_inverse=True)
+    bucket = bucket.astype(np.int32)
     grams = np.zeros(1 << BITS, np.float32)
     if not len(used):
         return Toxicity(grams, 0.0, -4.0)
@@ -199,7 +203,7 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 50, seed: int = 7) -> T
 
     grams[used] = params[0] @ (params[1][:, 1] - params[1][:, 0])
     model = Toxicity(grams, 1.0, 0.0)
-    return _calibrated(model, [b" ".join(w) for w in words], y)
+    return _calibrated(model, texts, y)
 
 
 def _calibrated(model: Toxicity, texts: list[bytes], y: np.ndarray) -> Toxicity:

@@ -1,5 +1,6 @@
 """The scalable algorithms against brute force, and independence of the partitioning."""
 
+import datetime
 import itertools
 import math
 import random
@@ -189,3 +190,41 @@ def test_join_spread(spark):
     lookup = spark.createDataFrame([(k, str(k)) for k in range(0, 300, 2)] + [(1, "x"), (1, "y")], "k long, t string")
     want = sorted(map(tuple, rows.join(lookup, "k").select("id", "k", "t").collect()))
     assert sorted(map(tuple, hotkeys.join_spread(rows, lookup, "k", hot=4).select("id", "k", "t").collect())) == want
+
+
+RING = [(u, i) for u in range(5) for i in (u, (u + 1) % 5)]
+
+
+def test_leave_one_out_hides_the_purchase(spark):
+    """On a ring nobody's remaining purchase leads to the hidden one by the nearest user alone."""
+    day = datetime.date(2024, 1, 1)
+    rows = [(u, i, 1, "buy", day + datetime.timedelta(days=i)) for u, i in RING]
+    ub = spark.createDataFrame(rows, "user_id long, item_id long, category_id long, behavior_type string, date date")
+    got = recommend.leave_one_out_eval(ub, k=10, neighbors=1).first()
+    assert got["evaluated_users"] == 5 and got["usercf_hits"] == 0
+
+
+def test_neighbours_do_not_depend_on_the_switch(spark):
+    """Partners with nearly equal buyer counts, met in one basket that is hot or not."""
+    n = {1: 3001, 2: 3000, 3: 3000, 4: 3000}
+    rows = [(i, -1) for i in n] + [(i, 10_000 * i + b) for i, c in n.items() for b in range(c - 1)]
+    df = spark.createDataFrame(rows, "item_id long, user_id long")
+    answers = set()
+    for hot, size in ((0, 1000), (1, 1), (8, 2), (8, 1000)):
+        out = similarity.cosine_neighbors(df, "item_id", "user_id", 1, hot=hot, hot_basket=size).collect()
+        answers.add(tuple(sorted((r["item_id"], r["neighbor"], r["rank_no"]) for r in out)))
+    assert answers == {((1, 2, 1), (2, 3, 1), (3, 2, 1), (4, 2, 1))}
+
+
+def test_zero_factor_keeps_its_row(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 1.0])], "id int, features array<float>")
+    got = {r["id"]: r["neighbor"] for r in recommend.factor_neighbors(df, n=1).collect()}
+    assert got == {0: 2, 1: None, 2: 0}
+
+
+def test_similarity_reads_every_row(spark):
+    """No cap: all users and items with two or more purchases are in the matrix."""
+    rows = [(u, (u + k) % 1200, 1, "buy") for u in range(1200) for k in range(3)]
+    ub = spark.createDataFrame(rows, "user_id long, item_id long, category_id long, behavior_type string")
+    assert recommend.active_matrix(ub).count() == len(rows)
+    assert recommend.active_buyer_ratings(ub).select("user_id").distinct().count() == 1200

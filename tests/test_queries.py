@@ -24,7 +24,7 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(CHECKS))
+@pytest.mark.parametrize("name", sorted(n for n in CHECKS if not re.match(r"op\d", n)))  # those have tests of their own
 def test_matches_sql(spark, duck, name):
     assert compare(queries()[name](spark, SF), duck, CHECKS[name]) == []
 
@@ -48,7 +48,7 @@ def test_scans_are_pruned(spark, name):
     assert schemas and all(len(s.split(",")) <= 5 for s in schemas)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - {"churn_gbt", "churn_lr", "feature_importance", "als_evaluate", "als_recommend", "item_factor_similarity"}))
+@pytest.mark.parametrize("name", sorted({n for n in queries() if not n.startswith("op") and n != "pipeline"} - {"churn_gbt", "churn_lr", "churn_model_metrics", "feature_importance", "als_evaluate", "als_recommend", "item_factor_similarity"}))
 def test_no_cartesian_product(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

@@ -345,7 +345,7 @@ def recommender_lift(
     ub: DataFrame,
     split_date: str = POST[0],
     k: int = 10,
-    train_users: int = 500,
+    train_users: int | None = None,
     salt: str = SALT,
     p_value: bool = True,
 ) -> DataFrame:
@@ -377,11 +377,11 @@ def recommender_lift(
         .groupBy("user_id")
         .agg(F.count("*").alias("c"))
         .filter(F.col("c") >= 2)
-        .orderBy(F.desc("c"), "user_id")
-        .limit(train_users)
     )
+    if train_users is not None:
+        teachers = teachers.orderBy(F.desc("c"), "user_id").limit(train_users)
     lessons = (
-        before.join(F.broadcast(teachers.select("user_id")), "user_id", "left_semi")
+        before.join(teachers.select("user_id"), "user_id", "left_semi")
         .select("user_id", "item_id")
         .distinct()
     )

@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.columns import RATING_WEIGHTS, half_up, labelled, long, ratio, weighted
 from trailmark.operators.hotkeys import join_spread
-from trailmark.operators.ranking import with_row_number
-from trailmark.operators.similarity import cosine_neighbors, expand_pairs
+from trailmark.operators.ranking import running_sums, with_row_number
+from trailmark.operators.similarity import cosine_neighbors, cross_counts
 from trailmark.session import cut, shared_dir
 
-MAX_INT = 2**31 - 1
-
 
 # --- ratings --------------------------------------------------------------------------------------
 
@@ -29,17 +27,17 @@ def implicit_ratings(ub: DataFrame, weights=None) -> DataFrame:
     )
 
 
-def active_buyer_ratings(ub: DataFrame, min_buys: int = 2, top: int = 500, weights=None) -> DataFrame:
-    """Ratings of the ``top`` users by purchases, the population of the CF study."""
+def active_buyer_ratings(ub: DataFrame, min_buys: int = 2, top: int | None = None, weights=None) -> DataFrame:
+    """Ratings of users with ``min_buys`` purchases or more; ``top`` keeps the busiest, None all."""
     users = (
         ub.filter(F.col("behavior_type") == "buy")
         .groupBy("user_id")
         .agg(F.count("*").alias("buys"))
         .filter(F.col("buys") >= min_buys)
-        .orderBy(F.desc("buys"), "user_id")
-        .limit(top)
     )
-    return implicit_ratings(ub.join(F.broadcast(users.select("user_id")), "user_id", "left_semi"), weights)
+    if top is not None:
+        users = users.orderBy(F.desc("buys"), "user_id").limit(top)
+    return implicit_ratings(ub.join(users.select("user_id"), "user_id", "left_semi"), weights)
 
 
 def matrix_sparsity(ratings: DataFrame) -> DataFrame:
@@ -178,20 +176,24 @@ def factor_neighbors(factors: DataFrame, n: int = 10, max_cells: int = 1024) ->
     a first search inside its own slice gives an upper bound on the angle of its n-th neighbour, and
     the triangle inequality leaves out every cell that lies further away. Slices meet as matrix
     products inside a task that returns n rows per vector; pairs are never rows of a join.
-    Pivots and cell radii are at most ``max_cells`` rows.
+    Pivots and cell radii are at most ``max_cells`` rows. A zero vector has no direction: it is
+    nobody's neighbour, and its one row has neither neighbour nor rank.
     """
     norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x))
+    measured = factors.select("id", F.col("features").cast("array<double>").alias("features")).withColumn("norm", norm)
+    empty = F.lit(None).cast
+    alone = measured.filter(~(F.col("norm") > 0)).select(
+        "id", empty("int").alias("neighbor"), empty("double").alias("similarity"), empty("int").alias("rank_no")
+    )
     unit = cut(
-        factors.select("id", F.col("features").cast("array<double>").alias("features"))
-        .withColumn("norm", norm)
-        .filter(F.col("norm") > 0)
+        measured.filter(F.col("norm") > 0)
         .select("id", F.transform("features", lambda x: x / F.col("norm")).alias("vec"))
     )
     total = unit.count()
     cells = max(1, min(max_cells, int(np.ceil(np.sqrt(total)))))
     sample = unit.orderBy(F.xxhash64("id"), "id").limit(cells).collect()
     if not sample:
-        return unit.sparkSession.createDataFrame([], _NEIGHBOR + ", rank_no int")
+        return alone
     pivots = np.array([r["vec"] for r in sample])
 
     def assign(batches):
@@ -263,7 +265,7 @@ def factor_neighbors(factors: DataFrame, n: int = 10, max_cells: int = 1024) ->
         .cogroup(targets.groupBy(*keys))
         .applyInPandas(meet, _NEIGHBOR)
     )
-    return _best(found, n)
+    return _best(found, n).unionByName(alone)
 
 
 def item_factor_similarity(model, items: DataFrame, n: int = 10) -> DataFrame:
@@ -272,7 +274,7 @@ def item_factor_similarity(model, items: DataFrame, n: int = 10) -> DataFrame:
     other = items.select(F.col("item_id").alias("similar_item"), F.col("item_idx").alias("neighbor"))
     return (
         similar.join(items, similar["id"] == items["item_idx"])
-        .join(other, "neighbor")
+        .join(other, "neighbor", "left")
         .select("item_id", "similar_item", "similarity", long("rank_no").alias("rank_no"))
     )
 
@@ -417,53 +419,32 @@ def _collector_scores(
 # --- user-based CF ------------------------------------------------------------------------------------
 
 
-def active_matrix(ub: DataFrame, min_cnt: int = 2, cap: int = 500) -> DataFrame:
-    """Purchase matrix of the study: the ``cap`` busiest users and items with ``min_cnt`` or more."""
+def active_matrix(ub: DataFrame, min_cnt: int = 2) -> DataFrame:
+    """Purchases of users and of items with ``min_cnt`` or more."""
     buys = cut(purchases_of(ub))
 
-    def busiest(column):
-        counts = buys.groupBy(column).agg(F.count("*").alias("c")).filter(F.col("c") >= min_cnt)
-        return F.broadcast(counts.orderBy(F.desc("c"), column).limit(cap).select(column))
+    def busy(column):
+        return buys.groupBy(column).agg(F.count("*").alias("c")).filter(F.col("c") >= min_cnt).select(column)
 
-    return buys.join(busiest("user_id"), "user_id", "left_semi").join(
-        busiest("item_id"), "item_id", "left_semi"
-    )
+    return buys.join(busy("user_id"), "user_id", "left_semi").join(busy("item_id"), "item_id", "left_semi")
 
 
-def user_similarity(matrix: DataFrame) -> DataFrame:
-    """Cosine between the users of the capped matrix, each pair once, where above 0."""
-    counts = matrix.groupBy("user_id").agg(F.count("*").alias("n"))
-    pairs = expand_pairs(matrix, "item_id", ["user_id"], "user_id")
-    a = counts.select(F.col("user_id").alias("a_user_id"), F.col("n").alias("na"))
-    b = counts.select(F.col("user_id").alias("b_user_id"), F.col("n").alias("nb"))
-    sim = F.col("together") / F.sqrt(F.col("na") * F.col("nb").cast("double"))
-    return (
-        pairs.join(a, "a_user_id")
-        .join(b, "b_user_id")
-        .select(
-            F.col("a_user_id").alias("user_a"),
-            F.col("b_user_id").alias("user_b"),
-            F.col("together").alias("common_items"),
-            half_up(sim, 9).alias("similarity"),
-        )
+def user_similarity(matrix: DataFrame, k: int = 10, **tuning) -> DataFrame:
+    """Per user the ``k`` most similar users by cosine over common items."""
+    return cosine_neighbors(matrix, "user_id", "item_id", k, **tuning).select(
+        "user_id",
+        F.col("neighbor").alias("similar_user"),
+        F.col("together").alias("common_items"),
+        "similarity",
+        "rank_no",
     )
 
 
-def _neighbor_scores(matrix: DataFrame, sim: DataFrame, k: int) -> DataFrame:
-    """(user_id, item_id, score): summed similarity of the ``k`` nearest users who own the item."""
-    both = sim.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("user_a").alias("user_id"), F.col("user_b").alias("other"), "similarity"),
-                F.struct(F.col("user_b").alias("user_id"), F.col("user_a").alias("other"), "similarity"),
-            )
-        )
-    )
-    order = Window.partitionBy("user_id").orderBy(F.desc("similarity"), "other")
-    nearest = both.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
-    items = matrix.select(F.col("user_id").alias("other"), "item_id")
+def _neighbor_scores(matrix: DataFrame, nearest: DataFrame) -> DataFrame:
+    """(user_id, item_id, score): summed similarity of the users in ``nearest`` who own the item."""
+    items = matrix.select(F.col("user_id").alias("similar_user"), "item_id")
     return (
-        nearest.join(items, "other")
+        nearest.join(items, "similar_user")
         .groupBy("user_id", "item_id")
         # similarities have nine digits, so the sum is taken over integers and has no order
         .agg(half_up(F.sum(F.floor(F.col("similarity") * 1e9 + 0.5)) / 1e9, 6).alias("score"))
@@ -478,7 +459,7 @@ def _top_per_user(scores: DataFrame, n: int) -> DataFrame:
 def user_cf_recommend(matrix: DataFrame, k: int = 10, n: int = 5) -> DataFrame:
     """Items of the ``k`` most similar users, by summed similarity, not owned, top ``n``."""
     matrix = cut(matrix)
-    scores = _neighbor_scores(matrix, user_similarity(matrix), k)
+    scores = _neighbor_scores(matrix, user_similarity(matrix, k))
     return _top_per_user(scores.join(matrix, ["user_id", "item_id"], "left_anti"), n)
 
 
@@ -559,13 +540,34 @@ def _popular_for_collectors(ratings, ranked, users, k: int, block: int, items: i
 # --- evaluation -------------------------------------------------------------------------------------------
 
 
-def leave_one_out_eval(ub: DataFrame, k: int = 10, neighbors: int = 10, min_cnt: int = 2, cap: int = 500) -> DataFrame:
+def _honest_neighbors(train: DataFrame, matrix: DataFrame, k: int) -> DataFrame:
+    """The ``k`` users nearest to each user's remaining purchases, over the others' full rows."""
+    own = train.groupBy(F.col("user_id").alias("a")).agg(F.count("*").alias("n"))
+    others = matrix.groupBy(F.col("user_id").alias("b")).agg(F.count("*").alias("nj"))
+    met = cross_counts(
+        train.select(F.col("user_id").alias("a"), "item_id"),
+        matrix.select(F.col("user_id").alias("b"), "item_id"),
+        "item_id",
+    )
+    cosine = half_up(F.col("together") / F.sqrt(F.col("n") * F.col("nj").cast("double")), 9)
+    order = Window.partitionBy("a").orderBy(F.desc(F.col("together") * F.col("together") / F.col("nj")), "b")
+    return (
+        met.join(own, "a")
+        .join(others, "b")
+        .withColumn("r", F.row_number().over(order))
+        .filter(F.col("r") <= k)
+        .select(F.col("a").alias("user_id"), F.col("b").alias("similar_user"), cosine.alias("similarity"))
+    )
+
+
+def leave_one_out_eval(ub: DataFrame, k: int = 10, neighbors: int = 10, min_cnt: int = 2) -> DataFrame:
     """Hide each user's last purchase (by date, then item) and look for it in the top ``k``.
 
-    User CF and popularity are scored on the same users; the report names user CF unless it has no
-    hit at all. One row.
+    The hidden purchase is gone from the user's own row, from its length and from the item's buyers,
+    for that user alone; all other rows stay. User CF and popularity are scored on the same users;
+    the report names user CF unless it has no hit at all. One row.
     """
-    matrix = cut(active_matrix(ub, min_cnt, cap))
+    matrix = cut(active_matrix(ub, min_cnt))
     dates = ub.filter(F.col("behavior_type") == "buy").select("user_id", "item_id", "date")
     last = (
         dates.join(matrix, ["user_id", "item_id"], "left_semi")
@@ -575,30 +577,35 @@ def leave_one_out_eval(ub: DataFrame, k: int = 10, neighbors: int = 10, min_cnt:
         .select("user_id", F.col("l.item_id").alias("item_id"))
     )
     hidden = cut(last)
-    train = cut(matrix.join(hidden, ["user_id", "item_id"], "left_anti"))
+    train = cut(
+        matrix.join(hidden, ["user_id", "item_id"], "left_anti").join(hidden.select("user_id"), "user_id", "left_semi")
+    )
     cf = _top_per_user(
-        _neighbor_scores(matrix, user_similarity(matrix), neighbors).join(
+        _neighbor_scores(matrix, _honest_neighbors(train, matrix, neighbors)).join(
             train, ["user_id", "item_id"], "left_anti"
         ),
         k,
     )
-    # at most ``cap`` items, so their numbering is a small window
-    popular = matrix.groupBy("item_id").agg(F.count("*").alias("c")).withColumn(
-        "no", F.row_number().over(Window.orderBy(F.desc("c"), "item_id"))
+    # place of each hidden item with one buyer less among all items by buyers, then by id
+    buyers = matrix.groupBy("item_id").agg(F.count("*").alias("c"))
+    wanted = hidden.select("item_id").distinct().join(buyers, "item_id")
+    line = buyers.select("c", "item_id", F.lit(1).alias("real")).unionByName(
+        wanted.select((F.col("c") - 1).alias("c"), "item_id", F.lit(0).alias("real"))
     )
-    taken = train.join(F.broadcast(popular), "item_id").groupBy("user_id").agg(
-        F.collect_set("no").alias("taken")
+    line = running_sums(line, [F.desc("c"), F.asc("item_id"), F.desc("real")], {"before": "real"})
+    # the item itself, with its full count, stands before its own lowered place
+    places = line.filter("real = 0").select("item_id", "c", (F.col("before") - 1).alias("before"))
+    taken = train.join(buyers, "item_id").groupBy("user_id").agg(
+        F.collect_list(F.struct("c", "item_id")).alias("taken")
+    )
+    ahead = F.filter(
+        "taken",
+        lambda x: (x["c"] > F.col("c")) | ((x["c"] == F.col("c")) & (x["item_id"] < F.col("item_id"))),
     )
-    # the hidden item is in the popular top k if fewer than k free items come before it
     place = (
-        hidden.join(F.broadcast(popular), "item_id")
+        hidden.join(places, "item_id")
         .join(taken, "user_id")
-        .select(
-            "user_id",
-            (
-                F.col("no") - F.size(F.filter("taken", lambda x: x < F.col("no")))
-            ).alias("place"),
-        )
+        .select("user_id", (F.col("before") - F.size(ahead) + 1).alias("place"))
     )
     hits = hidden.join(
         cf.select("user_id", "item_id", "rank_no"), ["user_id", "item_id"], "left"

@@ -104,6 +104,36 @@ def rf_scores(ud: DataFrame, as_of: str = AS_OF, top: int | None = 50) -> DataFr
     return scored.orderBy(F.desc("rf_score"), F.desc("buy_count"), "user_id").limit(top)
 
 
+def rfm_monetary(orders: DataFrame) -> DataFrame:
+    """Recency, frequency and money of every customer's orders, each in fifths, 5 the best.
+
+    ``orders`` is (user_id, date, amount decimal); recency counts from the last date of all orders.
+    """
+    latest = one_row(orders.agg(F.max("date").alias("d")))("d")
+    base = orders.groupBy("user_id").agg(
+        F.max("date").alias("last_date"), F.count("*").alias("order_count"), F.sum("amount").alias("total")
+    ).select(
+        "user_id",
+        long(F.datediff(latest, "last_date")).alias("recency_days"),
+        "order_count",
+        F.col("total").cast("double").alias("monetary"),
+    )
+    tiled = with_ntiles(
+        base,
+        "user_id",
+        {
+            "r_tile": ("recency_days", False, 5),
+            "f_score": ("order_count", False, 5),
+            "m_score": ("monetary", False, 5),
+        },
+    )
+    r, f, m = 6 - F.col("r_tile"), F.col("f_score"), F.col("m_score")
+    return tiled.select(
+        "user_id", "recency_days", "order_count", "monetary", r.alias("r_score"), "f_score", "m_score",
+        (r + f + m).alias("rfm_score"),
+    )
+
+
 def rf_segment_summary(ud: DataFrame, as_of: str = AS_OF) -> DataFrame:
     return (
         _rf_scored(ud, as_of)
@@ -372,8 +402,9 @@ def activity_bins(ud: DataFrame) -> DataFrame:
 # --- lifetime value ---------------------------------------------------------------------------------
 
 
-def ltv_estimate(ud: DataFrame, weights=None, factor: float = 3.0) -> DataFrame:
-    """Weighted behaviour value per user, extrapolated by ``factor`` (forecast / observed days)."""
+def ltv_estimate(ud: DataFrame, weights=None, forecast_days: int = 30) -> DataFrame:
+    """Weighted behaviour value per user, extrapolated from the days in ``ud`` to ``forecast_days``."""
+    days = one_row(ud.agg(F.count_distinct("date").alias("n")))("n")
     latest = one_row(ud.agg(F.max("date").alias("d")))("d")
     value = weighted_counts(weights or LTV_WEIGHTS)
     return user_totals(ud).select(
@@ -382,7 +413,7 @@ def ltv_estimate(ud: DataFrame, weights=None, factor: float = 3.0) -> DataFrame:
         "active_days",
         *[f"{b}_count" for b in BEHAVIORS],
         value.alias("value_score"),
-        (value * F.lit(float(factor))).alias("ltv_estimate"),
+        (value * (F.lit(float(forecast_days)) / days)).alias("ltv_estimate"),
         long(F.datediff(latest, "last_date")).alias("recency_days"),
         long(F.datediff("last_date", "first_date") + 1).alias("lifespan_days"),
         ratio("buy_count", "total_actions").alias("buy_conversion"),

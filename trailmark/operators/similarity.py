@@ -140,6 +140,28 @@ def top_pairs(
     return pairs.orderBy(F.desc("together"), *keys).limit(n)
 
 
+def cross_counts(left: DataFrame, right: DataFrame, basket: str) -> DataFrame:
+    """(a, b, together): baskets that ``left`` (a, basket) and ``right`` (b, basket) share, a <> b.
+
+    The left rows of a basket are hashed over slices of its right rows, as in ``expand_pairs``.
+    """
+    sizes = right.groupBy(basket).agg(F.ceil(F.count("*") / SLICE).alias("_parts"))
+    hashed = left.join(sizes, basket).withColumn("_slice", F.pmod(F.xxhash64("a"), F.col("_parts")))
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)
+    copied = right.join(sizes, basket).select("b", basket, F.explode(numbers).alias("_slice"))
+    return (
+        hashed.select("a", basket, "_slice")
+        .join(copied, [basket, "_slice"])
+        .filter("a <> b")
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("together"))
+    )
+
+
+def _closeness():
+    return F.col("together") * F.col("together") / F.col("nj")
+
+
 def cosine_neighbors(
     rows: DataFrame,
     item: str,
@@ -151,7 +173,10 @@ def cosine_neighbors(
     """(item, neighbor, together, similarity, rank_no): the ``k`` most similar items of each item.
 
     Similarity is the cosine of the binary item x basket rows: together / sqrt(n_item x n_neighbor).
-    Similarities have nine digits; equal ones are ordered by the neighbour's id.
+    Partners of one item are ranked by together^2 / n_neighbor, the square of the cosine but for a
+    factor they share, both here and where candidates are pruned, so the answer does not depend on
+    ``hot`` or ``hot_basket``; equal ones are ordered by the neighbour's id. Only the similarity that
+    is shown is rounded, to nine digits.
     ``rows`` is distinct on (item, basket).
     """
     rows = cut(rows.select(F.col(item).alias("i"), F.col(basket).alias("u")))
@@ -182,9 +207,9 @@ def cosine_neighbors(
             .agg(F.max("together").alias("together"))
         )
     cosine = half_up(F.col("together") / F.sqrt(F.col("n") * F.col("nj").cast("double")), 9)
-    order = Window.partitionBy("i").orderBy(F.desc("similarity"), F.asc("j"))
+    order = Window.partitionBy("i").orderBy(F.desc("_key"), F.asc("j"))
     return (
-        links.select("i", "j", "together", cosine.alias("similarity"))
+        links.select("i", "j", "together", cosine.alias("similarity"), _closeness().alias("_key"))
         .withColumn("rank_no", long(F.row_number().over(order)))
         .filter(F.col("rank_no") <= k)
         .select(F.col("i").alias(item), F.col("j").alias("neighbor"), "together", "similarity", "rank_no")
@@ -210,9 +235,7 @@ def _links_in_hot_baskets(sig: DataFrame, k: int) -> DataFrame:
         .groupBy("sig", "j", "nj")
         .agg(F.count("*").alias("together"))
     )
-    per_sig = Window.partitionBy("sig").orderBy(
-        F.desc(F.col("together") * F.col("together") / F.col("nj")), F.asc("j")
-    )
+    per_sig = Window.partitionBy("sig").orderBy(F.desc(_closeness()), F.asc("j"))
     candidates = (
         shared.withColumn("_r", F.row_number().over(per_sig))
         .filter(F.col("_r") <= k + 1)

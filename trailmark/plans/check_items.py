@@ -35,10 +35,10 @@ def _bought(source: str) -> str:
 
 
 def _cosine(rows: str, item: str, basket: str, prefix: str = "") -> str:
-    """CTEs <p>pairs (i, j, together, sim) over distinct (item, basket) rows."""
+    """CTEs <p>pairs (i, j, together, near, sim) over distinct (item, basket) rows; ``near`` ranks."""
     return f"""{prefix}cnt AS (SELECT {item} AS i, COUNT(*) AS n FROM {rows} GROUP BY 1),
 {prefix}pairs AS (
-  SELECT p.i, p.j, together, {rnd("(together / sqrt(a.n * CAST(b.n AS DOUBLE)))", 9)} AS sim
+  SELECT p.i, p.j, together, together * together / CAST(b.n AS DOUBLE) AS near, {rnd("(together / sqrt(a.n * CAST(b.n AS DOUBLE)))", 9)} AS sim
   FROM (SELECT x.{item} AS i, y.{item} AS j, COUNT(*) AS together
         FROM {rows} x JOIN {rows} y ON x.{basket} = y.{basket} AND x.{item} <> y.{item} GROUP BY ALL) p
   JOIN {prefix}cnt a ON p.i = a.i JOIN {prefix}cnt b ON p.j = b.i)"""
@@ -55,14 +55,15 @@ def _item_recs(history: str, pairs: str) -> str:
 MATRIX = """b0 AS (SELECT DISTINCT user_id, item_id FROM pu),
 m AS (
   SELECT * FROM b0
-  WHERE user_id IN (SELECT user_id FROM b0 GROUP BY 1 HAVING COUNT(*) >= 2 ORDER BY COUNT(*) DESC, user_id LIMIT 500)
-    AND item_id IN (SELECT item_id FROM b0 GROUP BY 1 HAVING COUNT(*) >= 2 ORDER BY COUNT(*) DESC, item_id LIMIT 500)),
+  WHERE user_id IN (SELECT user_id FROM b0 GROUP BY 1 HAVING COUNT(*) >= 2)
+    AND item_id IN (SELECT item_id FROM b0 GROUP BY 1 HAVING COUNT(*) >= 2)),
 """ + _cosine("m", "user_id", "item_id", "u")
 
-NEAREST = f"""nn AS (
+NEAREST = """nn AS (
   SELECT i AS user_id, j AS other, sim FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rn FROM upairs) WHERE rn <= 10),
-cand AS (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY i ORDER BY near DESC, j) AS rn FROM upairs) WHERE rn <= 10)"""
+
+CAND = f"""cand AS (
   SELECT nn.user_id, m.item_id, {rnd("(SUM(CAST(floor(sim * 1e9 + 0.5) AS BIGINT)) / 1e9)", 6)} AS score FROM nn JOIN m ON nn.other = m.user_id GROUP BY ALL)"""
 
 
@@ -182,7 +183,7 @@ def checks() -> dict[str, str]:
     q["implicit_ratings"] = on_events("SELECT * FROM rt WHERE rating > 0", _ratings("ub"))
     q["active_buyer_ratings"] = on_events(
         """SELECT * FROM rt WHERE user_id IN (SELECT user_id FROM ub WHERE behavior_type = 'buy' GROUP BY 1
-        HAVING COUNT(*) >= 2 ORDER BY COUNT(*) DESC, user_id LIMIT 500)""",
+        HAVING COUNT(*) >= 2)""",
         _ratings("ub"),
     )
     q["index_ids"] = on_events(
@@ -197,7 +198,7 @@ def checks() -> dict[str, str]:
     )
     q["item_cf_similarity"] = on_orders(
         f"""SELECT i AS item_id, j AS similar_item, together AS common_buyers, sim AS similarity, rank_no FROM (
-        SELECT *, {big("ROW_NUMBER() OVER (PARTITION BY i ORDER BY sim DESC, j)")} AS rank_no FROM pairs) WHERE rank_no <= 10""",
+        SELECT *, {big("ROW_NUMBER() OVER (PARTITION BY i ORDER BY near DESC, j)")} AS rank_no FROM pairs) WHERE rank_no <= 10""",
         "b0 AS (SELECT DISTINCT user_id, item_id FROM pu)",
         _cosine("b0", "item_id", "user_id"),
     )
@@ -206,12 +207,15 @@ def checks() -> dict[str, str]:
         _item_recs("b0", "pairs"), event_buys, _cosine("b0", "item_id", "user_id")
     )
     q["user_similarity"] = on_orders(
-        "SELECT i AS user_a, j AS user_b, together AS common_items, sim AS similarity FROM upairs WHERE i < j", MATRIX
+        f"""SELECT i AS user_id, j AS similar_user, together AS common_items, sim AS similarity, rank_no FROM (
+        SELECT *, {big("ROW_NUMBER() OVER (PARTITION BY i ORDER BY near DESC, j)")} AS rank_no FROM upairs) WHERE rank_no <= 10""",
+        MATRIX,
     )
     q["user_cf_recommend"] = on_orders(
         _top("(SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.user_id = c.user_id AND m.item_id = c.item_id))", 5),
         MATRIX,
         NEAREST,
+        CAND,
     )
     q["popularity_recommend"] = on_events("SELECT * FROM pr WHERE rank_no <= 10", _ratings("ub"), POPULAR)
     q["popularity_recommend_orders"] = on_orders("SELECT * FROM pr WHERE rank_no <= 10", _ratings("pu"), POPULAR)
@@ -227,17 +231,25 @@ def checks() -> dict[str, str]:
             (SELECT COUNT(*) FROM cf WHERE cf.user_id = h.user_id) AS recs,
             EXISTS (SELECT 1 FROM pp WHERE pp.user_id = h.user_id AND pp.item_id = h.item_id) AS pop FROM hid h))""",
         MATRIX,
-        NEAREST,
         f"""hid AS (
           SELECT user_id, item_id FROM (
             SELECT pu.user_id, pu.item_id, ROW_NUMBER() OVER (PARTITION BY pu.user_id ORDER BY date DESC, pu.item_id DESC) AS rn
             FROM pu JOIN m ON pu.user_id = m.user_id AND pu.item_id = m.item_id)
           WHERE rn = 1 AND user_id IN (SELECT user_id FROM m GROUP BY 1 HAVING COUNT(*) >= 2)),
-        tr AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM hid WHERE hid.user_id = m.user_id AND hid.item_id = m.item_id)),
+        tr AS (SELECT * FROM m WHERE user_id IN (SELECT user_id FROM hid)
+          AND NOT EXISTS (SELECT 1 FROM hid WHERE hid.user_id = m.user_id AND hid.item_id = m.item_id)),
+        hp AS (SELECT x.user_id, y.user_id AS other, COUNT(*) AS together FROM tr x JOIN m y ON x.item_id = y.item_id AND x.user_id <> y.user_id GROUP BY ALL),
+        nn AS (SELECT user_id, other, {rnd("(together / sqrt(n * CAST(o AS DOUBLE)))", 9)} AS sim FROM (
+          SELECT hp.*, a.n, b.n AS o, ROW_NUMBER() OVER (PARTITION BY hp.user_id ORDER BY together * together / CAST(b.n AS DOUBLE) DESC, other) AS rn
+          FROM hp JOIN (SELECT user_id, COUNT(*) AS n FROM tr GROUP BY 1) a ON hp.user_id = a.user_id
+          JOIN (SELECT user_id, COUNT(*) AS n FROM m GROUP BY 1) b ON other = b.user_id) WHERE rn <= 10)""",
+        CAND,
+        f"""
         cf AS ({_top("(SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.user_id = c.user_id AND tr.item_id = c.item_id))", 10)}),
         pc AS (SELECT item_id, COUNT(*) AS c FROM m GROUP BY 1),
         pp AS (SELECT user_id, item_id FROM (
-          SELECT h.user_id, pc.item_id, ROW_NUMBER() OVER (PARTITION BY h.user_id ORDER BY c DESC, pc.item_id) AS rn
+          SELECT h.user_id, pc.item_id, ROW_NUMBER() OVER (PARTITION BY h.user_id
+            ORDER BY CASE WHEN pc.item_id = h.item_id THEN c - 1 ELSE c END DESC, pc.item_id) AS rn
           FROM hid h, pc WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.user_id = h.user_id AND tr.item_id = pc.item_id)) WHERE rn <= 10)""",
     )
     q["matrix_sparsity"] = on_orders(
@@ -262,7 +274,7 @@ def checks() -> dict[str, str]:
         f"""pre AS (SELECT *, {HASH} AS g FROM ub WHERE behavior_type = 'buy' AND date < {day}),
         later AS (SELECT DISTINCT user_id, item_id FROM ub WHERE behavior_type = 'buy' AND date >= {day}),
         les AS (SELECT DISTINCT user_id, item_id FROM pre WHERE user_id IN (
-          SELECT user_id FROM pre WHERE g = 'control' GROUP BY 1 HAVING COUNT(*) >= 2 ORDER BY COUNT(*) DESC, user_id LIMIT 500)),
+          SELECT user_id FROM pre WHERE g = 'control' GROUP BY 1 HAVING COUNT(*) >= 2)),
         his AS (SELECT DISTINCT user_id, item_id FROM pre WHERE g = 'treatment')""",
         _cosine("les", "item_id", "user_id"),
         f"recs AS ({_item_recs('his', 'pairs')})",
@@ -278,15 +290,19 @@ def checks() -> dict[str, str]:
         _churn("TRUE", "(SELECT MAX(date) FROM ub)", "(SELECT MAX(date) FROM ub) - last_date > 2"),
     )
     q["churn_sample"] = q["churn_features"]
+    parts = """d AS (SELECT *, date_diff('day', DATE '1970-01-01', last_date) AS dn FROM ch),
+        s AS (SELECT *, CASE WHEN dn >= (SELECT quantile_cont(dn, 0.8) FROM d) THEN 1 ELSE 0 END AS t,
+              ROW_NUMBER() OVER (ORDER BY dn, user_id) AS rn, COUNT(*) OVER () AS n FROM d)"""
+    is_test = big(
+        "CASE WHEN (SELECT AVG(t) FROM s) BETWEEN 0.1 AND 0.4 THEN t = 1 ELSE rn > n - CAST(floor(n * 0.2e0) AS BIGINT) END"
+    )
     q["time_split"] = on_events(
         f"""SELECT is_test, COUNT(*) AS users, {big("SUM(churn)")} AS churned, MIN(last_date) AS min_last_date, MAX(last_date) AS max_last_date
-        FROM (SELECT churn, last_date, {big('''CASE WHEN (SELECT AVG(t) FROM s) BETWEEN 0.1 AND 0.4 THEN t = 1
-              ELSE rn > n - CAST(floor(n * 0.2e0) AS BIGINT) END''')} AS is_test FROM s) GROUP BY 1""",
+        FROM (SELECT churn, last_date, {is_test} AS is_test FROM s) GROUP BY 1""",
         CHURN,
-        """d AS (SELECT *, date_diff('day', DATE '1970-01-01', last_date) AS dn FROM ch),
-        s AS (SELECT *, CASE WHEN dn >= (SELECT quantile_cont(dn, 0.8) FROM d) THEN 1 ELSE 0 END AS t,
-              ROW_NUMBER() OVER (ORDER BY dn, user_id) AS rn, COUNT(*) OVER () AS n FROM d)""",
+        parts,
     )
+    q["time_split_users"] = on_events(f"SELECT user_id, churn, {is_test} AS is_test FROM s", CHURN, parts)
     q["roc_points"] = on_events(
         f"SELECT score AS threshold, {ratio('fp', 'n', 6)} AS fpr, {ratio('tp', 'p', 6)} AS tpr FROM cu", CHURN, PRED, CURVE
     )

@@ -83,7 +83,7 @@ prof AS (
          COALESCE({ratio("buy_count", "pv_count")}, 0e0) AS buy_conversion_rate FROM prof1)"""
 
 LTV = f"""ltv AS (
-  SELECT user_id, first_date, active_days, {", ".join(ALL4)}, value_score, value_score * 3e0 AS ltv_estimate,
+  SELECT user_id, first_date, active_days, {", ".join(ALL4)}, value_score, value_score * (30e0 / (SELECT COUNT(DISTINCT date) FROM ub)) AS ltv_estimate,
          CAST((SELECT MAX(date) FROM ub) - last_date AS BIGINT) AS recency_days,
          CAST(last_date - first_date AS BIGINT) + 1 AS lifespan_days, {ratio("buy_count", "total_actions")} AS buy_conversion
   FROM (SELECT *, pv_count + 3 * fav_count + 5 * cart_count + 10 * buy_count AS value_score FROM us))"""
@@ -267,6 +267,12 @@ def checks() -> dict[str, str]:
         "total_actions",
         [("0-10", "<= 10"), ("11-50", "BETWEEN 11 AND 50"), ("51-100", "BETWEEN 51 AND 100"), ("101-500", "BETWEEN 101 AND 500"), (">500", "> 500")],
     )
+    q["rfm_monetary"] = f"""WITH b AS (
+      SELECT o_custkey AS user_id, CAST((SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders) - MAX(CAST(o_orderdate AS DATE)) AS BIGINT) AS recency_days,
+        COUNT(*) AS order_count, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS monetary FROM orders GROUP BY 1),
+    t AS (SELECT *, 6 - {big("NTILE(5) OVER (ORDER BY recency_days, user_id)")} AS r_score,
+      {big("NTILE(5) OVER (ORDER BY order_count, user_id)")} AS f_score, {big("NTILE(5) OVER (ORDER BY monetary, user_id)")} AS m_score FROM b)
+    SELECT *, r_score + f_score + m_score AS rfm_score FROM t"""
     q["ltv_estimate"] = on_days("SELECT * FROM ltv", USERS, LTV)
     q["ltv_tiers"] = on_days(
         f"""SELECT tier, COUNT(*) AS user_count, SUM(ltv_estimate) AS total_ltv,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.functions.columns import half_up
+from trailmark.functions.columns import half_up, long
 from trailmark.operators import (
     anomaly,
     churn,
@@ -191,6 +191,13 @@ SEGMENT: dict[str, Query] = {
     ),
     "purchase_segments": lambda w: segments.purchase_segments(w.user_day),
     "activity_bins": lambda w: segments.activity_bins(w.user_day),
+    "rfm_monetary": lambda w: segments.rfm_monetary(
+        w.table("orders").select(
+            F.col("o_custkey").alias("user_id"),
+            F.to_date("o_orderdate").alias("date"),
+            F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
+        )
+    ),
     "ltv_estimate": lambda w: segments.ltv_estimate(w.user_day),
     "ltv_tiers": lambda w: segments.ltv_tiers(segments.ltv_estimate(w.user_day)),
     "ltv_segment_summary": lambda w: segments.ltv_segment_summary(segments.ltv_estimate(w.user_day)),
@@ -316,9 +323,27 @@ def _rule_predictions(w: Workspace) -> DataFrame:
     )
 
 
+def _churn_split(w: Workspace) -> DataFrame:
+    """Features and the time split, computed once for all models."""
+    return w.once("churn_split", lambda: cut(churn.time_split(cut(churn.churn_features(w.behavior)))))
+
+
+def _churn_users(w: Workspace) -> DataFrame:
+    return _churn_split(w).select("user_id", "churn", long("is_test").alias("is_test"))
+
+
+def _churn_model_metrics(w: Workspace) -> DataFrame:
+    """One row per fitted model, on the users active last."""
+    rows = [
+        churn.classification_metrics(_scored(w, name, fit)).select(F.lit(name).alias("model"), "*")
+        for name, fit in (("churn_lr", churn.fit_lr), ("churn_gbt", churn.fit_gbt))
+    ]
+    return rows[0].unionByName(rows[1])
+
+
 def _churn_model(w: Workspace, name: str, fit):
     """Held-out split and the model fitted on the rest of it."""
-    split = w.once("churn_split", lambda: cut(churn.stratified_split(churn.churn_features(w.behavior))))
+    split = _churn_split(w)
     return split, w.once(name, lambda: fit(split.filter("NOT is_test")))
 
 
@@ -335,7 +360,9 @@ CHURN: dict[str, Query] = {
     "churn_features": lambda w: churn.churn_features(w.behavior),
     "churn_label_lastk": lambda w: churn.churn_label_lastk(w.behavior),
     "churn_sample": lambda w: churn.churn_sample(churn.churn_features(w.behavior), cap=100_000),
-    "time_split": lambda w: churn.split_summary(churn.time_split(churn.churn_features(w.behavior))),
+    "time_split": lambda w: churn.split_summary(_churn_split(w)),
+    "time_split_users": _churn_users,
+    "churn_model_metrics": _churn_model_metrics,
     "churn_lr": lambda w: _scored(w, "churn_lr", churn.fit_lr),
     "churn_gbt": lambda w: _scored(w, "churn_gbt", churn.fit_gbt),
     "churn_metrics": lambda w: churn.classification_metrics(_rule_predictions(w)),

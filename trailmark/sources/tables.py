@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.operators import cleaning, kpi
-from trailmark.operators.hotkeys import join_spread
 from trailmark.session import shared_dir
 from trailmark.sources.files import path_exists, stored_bytes
 
@@ -51,7 +50,7 @@ def purchases_from_orders(orders: DataFrame, lineitem: DataFrame, part: DataFram
         F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long").alias("category_id"),
     )
     lines = lineitem.select("l_orderkey", F.col("l_partkey").alias("item_id"))
-    lines = join_spread(lines, brands, "item_id")
+    lines = lines.join(brands, "item_id")
     heads = orders.select("o_orderkey", "o_custkey", seconds.alias("timestamp"), day.alias("date"))
     return heads.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_custkey").alias("user_id"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from trailmark.llm.common import map_texts, staged, table
+from trailmark.llm.common import map_texts, named, staged, table
 
 
 def _only(docs: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cells = staged(mixing.cells_of(mixing.with_topics(docs, ["source", "lang"])), "cells")
     chances = staged(mixing.probabilities(staged(mixing.rake(cells), "raked")), "chances")
     rows = mixing.sampled(mixing.with_topics(docs, docs.columns), chances)
-    return rows.where("mix__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.where("mix__kept").select(*[named(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from trailmark.llm import (
 from trailmark.llm.components import components
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row int, digest string, `a.b` int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row int, digest string, ab int"
 RNG = random.Random(5)
 
 
@@ -49,12 +49,12 @@ EDGE = [
 
 @pytest.fixture(scope="module")
 def edge(spark):
-    return spark.createDataFrame(EDGE, SCHEMA).repartition(3)
+    return spark.createDataFrame(EDGE, SCHEMA).withColumnRenamed("ab", "a.b").repartition(3)
 
 
 @pytest.fixture(scope="module")
 def none(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame([], SCHEMA).withColumnRenamed("ab", "a.b")
 
 
 @pytest.fixture(scope="module")

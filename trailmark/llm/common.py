@@ -38,6 +38,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def named(column: str) -> Column:
+    """A column by its literal name, whatever dots or backticks it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def fold_case(text: Column) -> Column:
     """A-Z to a-z, all other characters as they are; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
@@ -78,18 +83,23 @@ def map_texts(
     one value per text.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     small_batches(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
+    names = list(dict.fromkeys([*keep, text]))
+    # mapInArrow looks columns up by name, which dots would break: they go by number
+    source = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)])
     extra = StructType.fromDDL(added)
-    schema = StructType([source.schema[c] for c in keep] + extra.fields)
+    kept = [StructField(c, source.schema[names.index(c)].dataType) for c in keep]
+    schema = StructType(kept + extra.fields)
     arrow = to_arrow_schema(extra)
+    places = [names.index(c) for c in keep]
+    text_at = f"c{names.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = work(texts_of(batch, text))
-            arrays = [batch.column(c) for c in keep]
+            new = work(texts_of(batch, text_at))
+            arrays = [batch.column(i) for i in places]
             arrays += [pa.array(new[f.name], type=f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *arrow.names])
 
@@ -139,4 +149,4 @@ def flat_texts(
         for new in work((b, texts_of(b, text)) for b in batches):
             yield pa.RecordBatch.from_arrays([pa.array(new[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]).mapInArrow(run, schema)
+    return docs.select(*[named(c) for c in dict.fromkeys([*keep, text])]).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import map_texts, slices, staged, table
+from trailmark.llm.common import map_texts, named, slices, staged, table
 
 PLANES = 3  # a topic is the cell of the document's word bag among three random hyperplanes
 LONG_WORD = 8  # bytes; shorter words say more about the language than about the topic
@@ -63,7 +63,7 @@ def with_topics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def margin(column: str) -> Column:
     """A margin's value; rows without one form a class of their own."""
-    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("(none)"))
+    return F.coalesce(named(column).cast("string"), F.lit("(none)"))
 
 
 def _tempered(mass: dict) -> dict:

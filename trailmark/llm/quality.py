@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import held_out, labelled_sample, map_texts, sigmoid, table
+from trailmark.llm.common import held_out, labelled_sample, map_texts, named, sigmoid, table
 
 # Bound on the labelled rows that the ensemble is fitted to, by label.
 FIT_ROWS = {0: 2000, 1: 2000}
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = FIT_ROWS):
 
 
 def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    return with_statistics(docs, keep).select(*[F.col(f"`{c}`") for c in keep], compiled(model).alias("score"))
+    return with_statistics(docs, keep).select(*[named(c) for c in keep], compiled(model).alias("score"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,39 +2,31 @@
 mixed to target weights, the rest encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-they were given. Documents without an id are never dropped as copies, as nothing names them; rows
-repeated with one id are one document.
+they were given. A row is named by its id and its text, so different texts under one id, or under
+none, are documents of their own; of rows that repeat both, one stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from trailmark.llm.common import map_texts, named, staged, table
-
-
-def _only(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents whose id is among ``decisions`` (doc_id, kept) as kept, and those without id.
-
-    One shuffle of the documents; ids that repeat keep one row.
-    """
-    decisions = staged(decisions.select("doc_id", "kept").where("doc_id is not null"), "decisions")
-    kept = decisions.where("kept").select(F.col("doc_id").alias("only__id")).distinct()
-    # no id stands for itself and always stays
-    absent = docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("only__id"))
-    kept = kept.unionByName(absent).withColumn("only__none", F.col("only__id").isNull())
-    kept = kept.withColumn("only__id", F.coalesce("only__id", F.lit(0)))
-    same = (F.coalesce(docs["doc_id"], F.lit(0)) == F.col("only__id")) & (
-        docs["doc_id"].isNull() == F.col("only__none")
-    )
-    # as many ids as documents stay: never broadcast
-    left = docs.join(kept.hint("merge"), same, "left_semi")
-    if decisions.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    order = Window.partitionBy(F.coalesce("doc_id", F.monotonically_increasing_id() - (1 << 62))).orderBy("doc_id")
-    return left.withColumn("only__row", F.row_number().over(order)).where("only__row = 1").drop("only__row")
+from trailmark.llm.common import fold_case, map_texts, named, staged, table
+
+
+def _only(docs: DataFrame, key: Column, keepers: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and ``key`` are among ``keepers`` (doc_id, key, rows): one shuffle
+    of the documents, and a second grouping only where a row that stays is there several times."""
+    keepers = staged(keepers, "keepers")
+    marked = docs.withColumn("only__key", key)
+    names = keepers.select(F.col("doc_id").alias("only__id"), F.col("key").alias("only__k"))
+    same = marked["doc_id"].eqNullSafe(names["only__id"]) & (marked["only__key"] == names["only__k"])
+    # as many names as documents stay: never broadcast
+    left = marked.join(names.hint("merge"), same, "left_semi")
+    if not keepers.where("rows > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "only__key"])
+    return left.drop("only__key")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +39,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text, the one with the largest id."""
-    return _only(docs, exact_dedup.exact_dedup(docs, exact_dedup.by_hash()))
+    found = exact_dedup.exact_dedup(docs, exact_dedup.by_hash())
+    keepers = found.groupBy("doc_id", F.col("digest").alias("key")).agg(
+        F.max("kept").alias("kept"), F.count("*").alias("rows")
+    )
+    return _only(docs, F.unhex(F.sha2(fold_case(F.col("text")), 256)), keepers.where("kept").drop("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the one with the smallest id."""
-    found = simhash.simhash_dedup(docs)
-    return _only(docs, found.withColumn("kept", F.col("doc_id") == F.col("component_id")))
+    """Of each group of near copies, the row with the smallest id, then the smallest hash of its text."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = simhash.simhash_dedup(docs.select("doc_id", "text", key.alias("key")), ("doc_id", "key"))
+    rows = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")
+    return _only(docs, key, rows.groupBy("root").agg(F.min(first).alias("first")).select("first.doc_id", "first.key", "first.rows"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

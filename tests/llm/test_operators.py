@@ -3,6 +3,7 @@
 import hashlib
 import random
 import string
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -441,3 +442,22 @@ def test_pipeline_edges(spark, edge, none, labels, tmp_path):
         assert docs.columns == ["doc_id", "lang", "source", "tokens"]
     kept = corpus_pipeline.drop_exact_copies(spark, edge, "").collect()
     assert sorted(str(r["doc_id"]) for r in kept) == sorted(["10", "11", "12", "13", "2", "3", "4", "6", "8", "9", "None"])
+
+
+def test_pipeline_names_rows_by_id_and_text(spark):
+    long = prose(300, 8)
+    rows = [(1, "one text"), (1, "another text"), (1, "One text"), (2, "another text"), (None, "another text"),
+            (None, "no id"), (None, "no id"), (3, long + " end"), (None, long + " end."), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k"))
+    once = corpus_pipeline.drop_exact_copies(spark, docs, "").cache()
+    found = Counter((r["doc_id"], (r["text"] or "").lower()) for r in once.collect())
+    assert found == Counter([(1, "one text"), (2, "another text"), (None, "no id"), (3, long + " end"),
+                             (None, long + " end."), (4, "")])
+    prints = [simhash.fingerprint(t.encode()) for t in (long + " end", long + " end.")]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3
+    for given in (docs, once):
+        left = corpus_pipeline.drop_near_copies(spark, given, "").collect()
+        assert sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in left) == sorted(
+            [("1", "one text"), ("2" if given is once else "1", "another text"), ("None", "no id"),
+             ("3", long + " end"), ("4", "")]
+        )

@@ -39,9 +39,9 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row; null text is empty."""
-    return map_texts(docs, ["doc_id"], "fp long", lambda ts: {"fp": [fingerprint(t) for t in ts]})
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and fp (long) of every row; null text is empty."""
+    return map_texts(docs, list(keep), "fp long", lambda ts: {"fp": [fingerprint(t) for t in ts]})
 
 
 def _ball(value: Column, bits: int) -> Column:
@@ -97,23 +97,24 @@ def _entries(prints: DataFrame) -> DataFrame:
     return prints.select("fp", F.inline(both))
 
 
-def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+def simhash_dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row of ``docs``, and the other columns of ``keep``.
 
-    component_id is the smallest doc_id reachable over links of three bits or fewer. Documents with
+    root is the smallest fingerprint, and component_id the smallest doc_id, reachable over links of
+    three bits or fewer; component_id is null where no document of the group has an id. Documents with
     the same fingerprint are linked; texts without words have fingerprint zero like any other value.
     Null text is empty, a null doc_id keeps its row and is never the smallest; repeated rows each
     get their row; an empty table gives none.
     """
-    rows = staged(fingerprints(docs), "fingerprints")
+    rows = staged(fingerprints(docs, keep), "fingerprints")
     prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     roots = components(staged(links(prints.select("fp")), "links"))
     named = prints.join(roots, prints["fp"] == roots["id"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select(*keep, "fp", "root", "component_id")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

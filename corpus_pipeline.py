@@ -12,14 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from trailmark.llm.common import fold_case, map_texts, named, staged, table
+from trailmark.llm.common import map_texts, named, staged, table
 
 
-def _only(docs: DataFrame, key: Column, keepers: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id and ``key`` are among ``keepers`` (doc_id, key, rows): one shuffle
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _only(docs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text key are among ``keepers`` (doc_id, key, rows): one shuffle
     of the documents, and a second grouping only where a row that stays is there several times."""
     keepers = staged(keepers, "keepers")
-    marked = docs.withColumn("only__key", key)
+    marked = docs.withColumn("only__key", _text_key())
     names = keepers.select(F.col("doc_id").alias("only__id"), F.col("key").alias("only__k"))
     same = marked["doc_id"].eqNullSafe(names["only__id"]) & (marked["only__key"] == names["only__k"])
     # as many names as documents stay: never broadcast
@@ -39,20 +43,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text, the one with the largest id."""
-    found = exact_dedup.exact_dedup(docs, exact_dedup.by_hash())
-    keepers = found.groupBy("doc_id", F.col("digest").alias("key")).agg(
+    found = exact_dedup.exact_dedup(docs, exact_dedup.by_hash(), text_key=_text_key())
+    keepers = found.groupBy("doc_id", F.col("text_key").alias("key")).agg(
         F.max("kept").alias("kept"), F.count("*").alias("rows")
     )
-    return _only(docs, F.unhex(F.sha2(fold_case(F.col("text")), 256)), keepers.where("kept").drop("kept"))
+    return _only(docs, keepers.where("kept").drop("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the row with the smallest id, then the smallest hash of its text."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = simhash.simhash_dedup(docs.select("doc_id", "text", key.alias("key")), ("doc_id", "key"))
+    found = simhash.simhash_dedup(docs.select("doc_id", "text", _text_key().alias("key")), ("doc_id", "key"))
     rows = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")
-    return _only(docs, key, rows.groupBy("root").agg(F.min(first).alias("first")).select("first.doc_id", "first.key", "first.rows"))
+    least = rows.groupBy("root").agg(F.min(first).alias("first"))
+    return _only(docs, least.select("first.doc_id", "first.key", "first.rows"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

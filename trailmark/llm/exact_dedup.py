@@ -119,17 +119,23 @@ def _screen(entries: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(found) if found else pd.DataFrame({"digest": [], "snapshot": []})
 
 
-def exact_dedup(docs: DataFrame, batch: Column, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
-    """For every row of ``docs``: doc_id, keep_id, group_size, kept, digest.
+def exact_dedup(
+    docs: DataFrame, batch: Column, digest: Callable[[bytes], bytes] = sha256, text_key: Column | None = None
+) -> DataFrame:
+    """For every row of ``docs``: doc_id, keep_id, group_size, kept, digest, and ``text_key`` of the row
+    as it is given, where wanted.
 
     Texts are equal if identical after lower-casing A-Z; null counts as empty. ``batch`` numbers the
     batches in the order they came. Of equal texts the row with the largest doc_id stays (null is the
     smallest). Rows repeated with the same doc_id and text are all counted, and one of them stays.
     Empty tables give no rows; other columns of ``docs`` are not looked at.
     """
-    parts = docs.select("doc_id", "text", batch.cast("int").alias("batch"))
+    carried = [] if text_key is None else ["text_key"]
+    parts = docs.select(
+        "doc_id", "text", batch.cast("int").alias("batch"), *([] if text_key is None else [text_key.alias("text_key")])
+    )
     rows = map_texts(
-        parts, ["doc_id", "batch"], "digest binary", lambda ts: {"digest": [digest(t.lower()) for t in ts]}
+        parts, ["doc_id", "batch", *carried], "digest binary", lambda ts: {"digest": [digest(t.lower()) for t in ts]}
     )
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
 
@@ -166,7 +172,7 @@ def exact_dedup(docs: DataFrame, batch: Column, digest: Callable[[bytes], bytes]
         .agg(F.max("top").alias("top"), F.sum("n").alias("n")),
         "groups",
     )
-    members = rows.select("doc_id", "row", "digest").join(
+    members = rows.select("doc_id", "row", "digest", *carried).join(
         groups.select("digest", "top", "n"), "digest", "left"
     )
     members = staged(members, "members")
@@ -198,7 +204,7 @@ def exact_dedup(docs: DataFrame, batch: Column, digest: Callable[[bytes], bytes]
     odd = staged(odd, "collisions")
     if odd.isEmpty():
         top, size = F.coalesce("top", F.struct("doc_id", "row")), F.coalesce("n", F.lit(1).cast("long"))
-        final = members.select("doc_id", "row", "digest", top.alias("top"), size.alias("n"))
+        final = members.select("doc_id", "row", "digest", *carried, top.alias("top"), size.alias("n"))
     else:
         classes = members.join(odd, "row", "left")
         heads = classes.groupBy("digest", "other").agg(
@@ -206,7 +212,8 @@ def exact_dedup(docs: DataFrame, batch: Column, digest: Callable[[bytes], bytes]
         )
         same = F.col("c.digest").eqNullSafe(F.col("h.digest")) & F.col("c.other").eqNullSafe(F.col("h.other"))
         final = classes.alias("c").join(heads.alias("h"), same).select(
-            "doc_id", "row", F.col("c.digest").alias("digest"), F.col("_top").alias("top"), F.col("_n").alias("n")
+            "doc_id", "row", F.col("c.digest").alias("digest"), *carried,
+            F.col("_top").alias("top"), F.col("_n").alias("n"),
         )
     return final.select(
         "doc_id",
@@ -214,6 +221,7 @@ def exact_dedup(docs: DataFrame, batch: Column, digest: Callable[[bytes], bytes]
         F.col("n").alias("group_size"),
         (F.col("row") == F.col("top.row")).alias("kept"),
         "digest",
+        *carried,
     )
 
 

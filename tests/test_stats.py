@@ -4,6 +4,9 @@ import math
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from trailmark.functions.stats import erfc
 from trailmark.operators import experiment
 
 
@@ -23,6 +26,16 @@ def test_two_proportion_z(spark):
     assert wide["ci_high"] - wide["ci_low"] == pytest.approx(2 * half, abs=1e-5)
 
 
+def test_erfc(spark):
+    points = [0.0, 1e-9, 0.1, 0.7, 1.0, 2.0, 2.4999999, 2.5, 2.5000001, 4.0, 10.0, 26.0, 100.0, None]
+    frame = spark.createDataFrame([(x,) for x in points], "x double").select("x", erfc(F.col("x")).alias("e"))
+    for x, e in frame.collect():
+        if x is None:
+            assert e is None
+        else:
+            assert e == pytest.approx(math.erfc(x), rel=1e-11, abs=1e-300)
+
+
 def test_cohens_h(spark):
     got = experiment.cohens_h(arms(spark, 1000, 50, 1000, 70)).first()["cohens_h"]
     assert got == pytest.approx(0.0844998, abs=1e-6)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trailmark.plans.check_kpi import COHORT, DAILY, FUNNEL, RETENTION, checks as kpi_checks
-from trailmark.plans.sqltext import big, n_of, on_days, on_events, pct, ratio, rnd, total
+from trailmark.plans.sqltext import big, erfc, n_of, on_days, on_events, pct, ratio, rnd, total
 
 ALL4 = ("pv_count", "fav_count", "cart_count", "buy_count")
 AS_OF = "DATE '2024-01-30'"
@@ -138,12 +138,16 @@ ARMS = """arms AS (
 def z_test(frame: str, by: str) -> str:
     """SELECT over a frame with n_/x_ columns; shared with the recommender check."""
     return f"""SELECT {by}, {rnd("pc", 6)} AS control_rate, {rnd("pt", 6)} AS treatment_rate, {rnd("(pt - pc)", 6)} AS diff,
-      {rnd("se", 6)} AS std_error, {rnd("CASE WHEN se > 0 THEN (pt - pc) / se ELSE 0 END", 6)} AS z,
+      {rnd("se", 6)} AS std_error, {rnd("zz", 6)} AS z,
       {rnd("(pt - pc - 1.96e0 * se)", 6)} AS ci_low, {rnd("(pt - pc + 1.96e0 * se)", 6)} AS ci_high,
-      {rnd("((pt - pc) * 100 / NULLIF(pc, 0))", 4)} AS lift_pct FROM (
+      {rnd("((pt - pc) * 100 / NULLIF(pc, 0))", 4)} AS lift_pct, {rnd("pval", 9)} AS p_value,
+      {big("pval < 0.05")} AS significant FROM (
+      SELECT *, {erfc("zx")} AS pval FROM (
+      SELECT *, ABS(zz) / sqrt(2e0) AS zx FROM (
+      SELECT *, CASE WHEN se > 0 THEN (pt - pc) / se ELSE 0 END AS zz FROM (
       SELECT *, sqrt(p * (1 - p) * (1e0 / NULLIF(n_control, 0) + 1e0 / NULLIF(n_treatment, 0))) AS se FROM (
         SELECT *, {ratio("x_control", "n_control", None)} AS pc, {ratio("x_treatment", "n_treatment", None)} AS pt,
-          (x_control + x_treatment) / NULLIF(CAST(n_control + n_treatment AS DOUBLE), 0) AS p FROM {frame}))"""
+          (x_control + x_treatment) / NULLIF(CAST(n_control + n_treatment AS DOUBLE), 0) AS p FROM {frame})))))"""
 
 
 def _expectations() -> str:
@@ -331,11 +335,13 @@ def checks() -> dict[str, str]:
     )
     chi = "((n_control - t / 2) * (n_control - t / 2) / (t / 2) + (n_treatment - t / 2) * (n_treatment - t / 2) / (t / 2))"
     q["srm_check"] = on_days(
-        f"""SELECT date, n_control, n_treatment, {rnd(chi, 6)} AS chi2, {big(f"{chi} <= 3.841458820694124")} AS balanced
-        FROM (SELECT *, CAST(n_control + n_treatment AS DOUBLE) AS t FROM arms)""",
+        f"""SELECT date, n_control, n_treatment, {rnd(chi, 6)} AS chi2, {big(f"{chi} <= 3.841458820694124")} AS balanced,
+        {rnd(erfc("cx"), 9)} AS p_value
+        FROM (SELECT *, sqrt({chi} / 2) AS cx FROM (SELECT *, CAST(n_control + n_treatment AS DOUBLE) AS t FROM arms))""",
         ARMS,
     )
     q["two_proportion_z"] = on_days(z_test("arms", "date"), ARMS)
+    q["experiment_p_values"] = q["two_proportion_z"]
     ec, et = "(n_control * b / t)", "(n_treatment * b / t)"
     gap = f"(ABS(x_control - {ec}) - LEAST(0.5e0, ABS(x_control - {ec})))"
     chi2 = (
@@ -344,8 +350,9 @@ def checks() -> dict[str, str]:
     )
     q["chi2_contingency"] = on_days(
         f"""SELECT date, {rnd(ec, 6)} AS expected_control, {rnd(et, 6)} AS expected_treatment, {rnd(chi2, 6)} AS chi2,
-        {big(f"{chi2} > 3.841458820694124")} AS dependent
-        FROM (SELECT *, CAST(n_control + n_treatment AS DOUBLE) AS t, CAST(x_control + x_treatment AS DOUBLE) AS b FROM arms)""",
+        {big(f"{chi2} > 3.841458820694124")} AS dependent, {rnd(erfc("cx"), 9)} AS p_value
+        FROM (SELECT *, sqrt({chi2} / 2) AS cx FROM (
+        SELECT *, CAST(n_control + n_treatment AS DOUBLE) AS t, CAST(x_control + x_treatment AS DOUBLE) AS b FROM arms))""",
         ARMS,
     )
     need = "((1.959963984540054e0 + 0.8416212335729143e0) * sqrt(pc * (1 - pc) + pt * (1 - pt)) / NULLIF(ABS(pc - pt), 0))"

@@ -214,6 +214,10 @@ def _arms(w: Workspace) -> DataFrame:
     return experiment.daily_arms(w.user_day)
 
 
+def _p_rounded(tested: DataFrame) -> DataFrame:
+    return tested.withColumn("p_value", half_up("p_value", 9))
+
+
 BY = ["date"]
 
 EXPERIMENT: dict[str, Query] = {
@@ -225,17 +229,17 @@ EXPERIMENT: dict[str, Query] = {
     "ab_user_diff_all": lambda w: experiment.ab_user_diff(w.user_day, top=None),
     "ab_group_stats": lambda w: experiment.ab_group_stats(w.user_day),
     "ab_conversion": lambda w: experiment.ab_conversion(w.user_day),
-    "srm_check": lambda w: experiment.srm_check(_arms(w), by=BY, p_value=False),
-    "two_proportion_z": lambda w: experiment.two_proportion_z(_arms(w), by=BY, p_value=False),
-    "chi2_contingency": lambda w: experiment.chi2_contingency(_arms(w), by=BY, p_value=False),
+    "srm_check": lambda w: _p_rounded(experiment.srm_check(_arms(w), by=BY)),
+    "two_proportion_z": lambda w: _p_rounded(experiment.two_proportion_z(_arms(w), by=BY)),
+    "chi2_contingency": lambda w: _p_rounded(experiment.chi2_contingency(_arms(w), by=BY)),
     "required_sample_size": lambda w: experiment.required_sample_size(_arms(w), by=BY),
     "proportion_ci": lambda w: experiment.proportion_ci(
         experiment.daily_groups(w.user_day), by=["date", "group_label"]
     ),
     "cohens_h": lambda w: experiment.cohens_h(_arms(w), by=BY),
-    "recommender_lift": lambda w: experiment.recommender_lift(w.behavior, p_value=False),
+    "recommender_lift": lambda w: _p_rounded(experiment.recommender_lift(w.behavior)),
     "welch_t_did": lambda w: experiment.welch_t_did(experiment.ab_user_diff(w.user_day, top=None)),
-    "experiment_p_values": lambda w: experiment.two_proportion_z(_arms(w), by=BY),
+    "experiment_p_values": lambda w: _p_rounded(experiment.two_proportion_z(_arms(w), by=BY)),
 }
 
 # --- products -----------------------------------------------------------------------------------------------

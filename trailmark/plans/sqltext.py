@@ -65,6 +65,19 @@ def pct(num: str, den: str, digits: int | None = 2) -> str:
     return e if digits is None else rnd(e, digits)
 
 
+def erfc(x: str) -> str:
+    """Complementary error function of a column x >= 0: a series below 2.5, a continued fraction above."""
+    series, fraction = "1e0", f"GREATEST({x}, 2.5e0)"
+    for k in range(50, 0, -1):
+        series = f"(1e0 + {series} * (2e0 * {x} * {x}) / {2 * k + 1}e0)"
+    for k in range(40, 0, -1):
+        fraction = f"(GREATEST({x}, 2.5e0) + {k / 2}e0 / {fraction})"
+    return (
+        f"(CASE WHEN {x} < 2.5e0 THEN 1e0 - 2e0 / sqrt(pi()) * {x} * exp(-({x} * {x})) * {series} "
+        f"ELSE exp(-({x} * {x})) / (sqrt(pi()) * {fraction}) END)"
+    )
+
+
 def big(e: str) -> str:
     return f"CAST({e} AS BIGINT)"
 

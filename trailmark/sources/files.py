@@ -38,6 +38,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def last_change(spark: SparkSession, folder: str) -> int:
+    """Newest modification time of what a folder holds directly, in milliseconds; 0 if it is empty."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return max((x.getModificationTime() for x in fs.listStatus(target)), default=0)
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Bytes under a path, from file metadata."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

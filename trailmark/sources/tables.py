@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import cleaning, kpi
 from trailmark.session import shared_dir
-from trailmark.sources.files import path_exists, stored_bytes
+from trailmark.sources.files import last_change, path_exists, stored_bytes
 
 BUCKET_BYTES = 128 * 1024 * 1024
 MAX_BUCKETS = 50_000
@@ -67,12 +67,22 @@ class Workspace:
 
     The cleaned table is written to the shared folder partitioned by date, as the batch job it
     stands for does; every later question reads only the columns and dates it needs. The table per
-    user and day is written too, because most reports need no finer grain.
+    user and day is written too, because most reports need no finer grain. ``start_ts`` and ``end_ts``
+    are the first and last second that cleaning keeps. What is written is named after the folder, its
+    last change and the window, so other data or another window never meet old tables.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        start_ts: int = cleaning.START_TS,
+        end_ts: int = cleaning.END_TS,
+    ):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.start_ts, self.end_ts = start_ts, end_ts
+        self.changed = last_change(spark, self.folder)
         self._kept: dict[str, object] = {}
 
     def once(self, name: str, build: Callable[[], object]):
@@ -117,7 +127,8 @@ class Workspace:
         return self.spark.table(table)
 
     def _tag(self) -> str:
-        return "".join(c if c.isalnum() else "_" for c in self.folder).strip("_").lower()
+        name = f"{self.folder}_{self.changed}_{self.start_ts}_{self.end_ts}"
+        return "".join(c if c.isalnum() else "_" for c in name).strip("_").lower()
 
     def _path(self, name: str) -> str:
         return f"{shared_dir(self.spark)}/tables/{self._tag()}/{name}"
@@ -130,7 +141,7 @@ class Workspace:
     def behavior(self) -> DataFrame:
         return self._staged(
             "behavior",
-            lambda: cleaning.time_features(cleaning.clean_events(self.raw)),
+            lambda: cleaning.time_features(cleaning.clean_events(self.raw, self.start_ts, self.end_ts)),
             by="date",
         )
 
@@ -151,11 +162,13 @@ class Workspace:
         )
 
 
-_OPEN: dict[tuple[str, str], Workspace] = {}
+_OPEN: dict[tuple, Workspace] = {}
 
 
-def workspace(spark: SparkSession, folder: str) -> Workspace:
-    key = (spark.sparkContext.applicationId, folder.rstrip("/"))
-    if key not in _OPEN:
-        _OPEN[key] = Workspace(spark, folder)
-    return _OPEN[key]
+def workspace(
+    spark: SparkSession, folder: str, start_ts: int = cleaning.START_TS, end_ts: int = cleaning.END_TS
+) -> Workspace:
+    """The session's workspace of a folder as it is now; a changed folder gets a new one."""
+    new = Workspace(spark, folder, start_ts, end_ts)
+    key = (spark.sparkContext.applicationId, new.folder, new.changed, start_ts, end_ts)
+    return _OPEN.setdefault(key, new)

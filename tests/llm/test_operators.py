@@ -360,6 +360,39 @@ def test_lm_edges(edge, none):
     assert lmscore.score(none, lmscore.train(none, none.select("doc_id"), size=5), ["doc_id"]).count() == 0
 
 
+def brute_losses(counted, targets, texts, weight=lmscore.WEIGHT):
+    """Both losses of ``texts`` by exact counts of ``counted`` (id, text)."""
+    split = lambda t: t.lower().split()
+    types = len({w for _, t in counted for w in split(t)}) + 1
+    sums = {}
+    for name, of in (("background", counted), ("target", [r for r in counted if r[0] in targets])):
+        steps = [p for _, t in of for p in zip([None, *split(t)], split(t))]
+        pairs, contexts, words = Counter(steps), Counter(a for a, _ in steps), Counter(b for _, b in steps)
+        sums[name] = lambda t, pairs=pairs, contexts=contexts, words=words, total=len(steps): -sum(
+            np.log((pairs[p] + weight * (words[p[1]] + 1) / (total + types)) / (contexts[p[0]] + weight))
+            for p in zip([None, *split(t)], split(t))
+        ) / max(1, len(split(t)))
+    return [(sums["background"](t), sums["target"](t)) for t in texts]
+
+
+@pytest.mark.parametrize("busy", [1, 1 << 9, 1 << 17])
+def test_lm_counts_every_word_and_bigram(spark, monkeypatch, busy):
+    """More words and bigrams than the lists of fixed size once held; busy keys change nothing."""
+    monkeypatch.setattr(lmscore, "BUSY", busy)
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(60_000) if rng.random() < 0.8 else rng.randrange(4)}" for _ in range(500))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = lmscore.train(docs, docs.where("doc_id < 60").select("doc_id"))
+    other = [(1, "w1 w2 never seen w59999"), (None, "w3"), (None, None)]
+    more = spark.createDataFrame(other, "doc_id long, text string")
+    for frame, given in ((docs, rows), (more, other)):
+        got = lmscore.score(frame, models, ["doc_id", "text"]).collect()
+        want = brute_losses(rows, set(range(60)), [t or "" for _, t in given])
+        assert len(got) == len(given)
+        by = {r["text"]: (r["loss_background"], r["loss_target"]) for r in got}
+        assert all(by[t] == pytest.approx(w, abs=1e-9) for (_, t), w in zip(given, want))
+
+
 # --- byte-level BPE -------------------------------------------------------------------------------
 
 

@@ -1,8 +1,11 @@
 """Cross-entropy difference of matched language models.
 
-A target and a background bigram model share vocabulary, hashing and smoothing, and differ only in
-the documents they were counted on. A document's score is the mean over its tokens of the target's
-loss minus the background's: the lower, the more it reads like the target.
+A target and a background bigram model share vocabulary and smoothing, and differ only in the
+documents they were counted on. A document's score is the mean over its tokens of the target's loss
+minus the background's: the lower, the more it reads like the target.
+
+All words and bigrams are counted, in Spark tables that grow with the corpus; documents meet them in
+joins. A word is a 64-bit hash, a bigram the pair of them.
 """
 
 from __future__ import annotations
@@ -13,14 +16,21 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import flat_texts, map_texts, staged, table
+from trailmark.llm.common import flat_texts, named, staged, table
 
-VOCABULARY = 32_768  # words of the whole corpus; all others are one class
-SLOTS = 1 << 18  # bigram counts are hashed to as many slots in both models
 WEIGHT = 50.0  # pseudo-counts with which a bigram estimate leans on the unigram estimate
+# A word or bigram with more than 1 / BUSY of all tokens is busy: there are fewer than BUSY of them.
+# They are looked up in a broadcast and not joined; no result depends on BUSY.
+BUSY = 1 << 17
+FLUSH = 1 << 21  # tokens whose bigrams a task adds up before it sends them
+
+_TURN = 17  # bits that the first word's hash is turned by in a bigram's key
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -38,7 +48,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return flat_texts(docs, [], "word binary, n long", work).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
+def vocabulary(docs: DataFrame, size: int) -> dict[bytes, int]:
     """Numbers 2, 3, ... of the ``size`` most frequent words; 0 is any other word, 1 the start of a
     text. Words are ranked by frequency class (sixteen to a doubling), within a class by a hash.
 
@@ -73,98 +83,201 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
     return {w: i for i, (_, _, w) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1], r[2])), 2)}
 
 
-def _numbers(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts, a start mark before each, and the number of words of each."""
-    lists = [_words(t) for t in texts]
-    get = known.get
-    flat = [1 if w is None else get(w, 0) for ws in lists for w in chain((None,), ws)]
-    return np.array(flat, dtype=np.int64), np.array([len(ws) for ws in lists], dtype=np.int64)
+def _hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
-def _slots(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    h = (before.astype(np.uint64) << np.uint64(32)) ^ word.astype(np.uint64)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(32))) & np.uint64(SLOTS - 1)).astype(np.int64)
+# white space is in no word
+START, OTHER = _hash(b" "), _hash(b"  ")
 
 
-def _pairs(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's number with the one before it; starts have none."""
-    word = np.flatnonzero(flat != 1)
-    return flat[word - 1], flat[word]
+class _Hashes(dict):
+    """Hash of a word, or of OTHER if it is not among ``known``; words seen before are remembered."""
 
+    def __init__(self, known: frozenset[bytes] | None):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        h = self[word] = _hash(word) if self.known is None or word in self.known else OTHER
+        return h
 
-@dataclass
-class Models:
-    """Counts of both models over one vocabulary; their size does not depend on the corpus."""
-
-    known: dict[bytes, int]
-    words: np.ndarray  # (2, vocabulary + 2): background, target; as context counts too
-    contexts: np.ndarray
-    pairs: np.ndarray  # (2, SLOTS)
-
-    def losses(self, texts: list[bytes]) -> dict[str, list]:
-        flat, size = _numbers(texts, self.known)
-        before, word = _pairs(flat)
-        slot = _slots(before, word)
-        ends = np.cumsum(size)
-        out = {"n_tokens": size}
-        for k, name in enumerate(("loss_background", "loss_target")):
-            total = self.words[k].sum()
-            single = (self.words[k][word] + 1.0) / (total + len(self.words[k]))
-            p = (self.pairs[k][slot] + WEIGHT * single) / (self.contexts[k][before] + WEIGHT)
-            # a slot shared by several bigrams can hold more than the context's count
-            loss = np.concatenate([[0.0], np.cumsum(-np.log(np.minimum(p, 1.0)))])
-            out[name] = (loss[ends] - loss[ends - size]) / np.maximum(size, 1)
-        out["score"] = out["loss_target"] - out["loss_background"]
-        return out
-
-
-def train(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY) -> Models:
-    """Count both models over all of ``docs``: the background on every document, the target on those
-    whose id is in ``targets`` (doc_id). Tasks send sums per word and slot; the driver gets one row
-    for each of them, at most VOCABULARY + SLOTS."""
-    known = vocabulary(docs, size)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    wide = size + 2
+
+def _pairs(texts: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's hash, that of the word (or start of a text) before it, and the words of each text."""
+    lists = [_words(t) for t in texts]
+    size = np.array([len(ws) for ws in lists], dtype=np.int64)
+    word = np.fromiter((hashes[w] for ws in lists for w in ws), np.uint64, size.sum())
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[(np.cumsum(size) - size)[size > 0]] = START
+    return before, word, size
+
+
+def _keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One number for a bigram."""
+    return ((before << np.uint64(_TURN)) | (before >> np.uint64(64 - _TURN))) ^ word
+
+
+def _key() -> Column:
+    """``_keys`` of the columns ``before`` and ``word``."""
+    turned = F.shiftleft("before", _TURN).bitwiseOR(F.shiftrightunsigned("before", 64 - _TURN))
+    return turned.bitwiseXOR(F.col("word"))
+
+
+def bigram_counts(marked: DataFrame, known: frozenset[bytes] | None = None) -> DataFrame:
+    """(before, word, background, target): how often each bigram stands in all rows of ``marked``
+    (text, is_target), and in its target rows. Words outside ``known`` are one class."""
+    shared = marked.sparkSession.sparkContext.broadcast(known)
+
+    def summed(parts: list) -> dict:
+        before, word, target = (np.concatenate(x) for x in zip(*parts))
+        key = _keys(before, word)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        at = order[first]
+        return {
+            "before": before[at].view(np.int64), "word": word[at].view(np.int64),
+            "background": np.diff(np.append(first, len(order))),
+            "target": np.add.reduceat(target[order].astype(np.int64), first),
+        }
 
     def work(batches) -> Iterator[dict]:
-        sums = np.zeros((2, 2 * wide + SLOTS), np.int64)
+        hashes, parts, held = _Hashes(shared.value), [], 0
         for batch, texts in batches:
-            marks = batch.column("is_target").to_pylist()
-            for k in (0, 1):
-                part = texts if k == 0 else [t for t, m in zip(texts, marks) if m]
-                flat, _ = _numbers(part, shared.value)
-                if not len(flat):
-                    continue
-                before, word = _pairs(flat)
-                sums[k, :wide] += np.bincount(word, minlength=wide)
-                sums[k, wide : 2 * wide] += np.bincount(before, minlength=wide)
-                sums[k, 2 * wide :] += np.bincount(_slots(before, word), minlength=SLOTS)
-        place = np.flatnonzero(sums[0])
-        yield {"place": place, "background": sums[0, place], "target": sums[1, place]}
+            before, word, size = _pairs(texts, hashes)
+            if len(word):
+                marks = np.array(batch.column("is_target").to_pylist(), bool)
+                parts.append((before, word, np.repeat(marks, size)))
+                held += len(word)
+            if held >= FLUSH:
+                yield summed(parts)
+                parts, held = [], 0
+        if parts:
+            yield summed(parts)
+
+    found = flat_texts(marked, ["is_target"], "before long, word long, background long, target long", work)
+    return found.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def _with_counts(rows: DataFrame, counts: DataFrame, key: str, names: tuple[str, str], total: int) -> DataFrame:
+    """``rows`` with the columns ``names``: background and target counts of ``key`` in ``counts``
+    (key, background, target), or 0. Busy keys meet a broadcast, so none crowds a task of the join."""
+    found = counts.select(key, F.col("background").alias(names[0]), F.col("target").alias(names[1]))
+    busy = found.where(F.col(names[0]) * F.lit(BUSY) > total)
+    rest = found.where(F.col(names[0]) * F.lit(BUSY) <= total)
+    left = rows.join(F.broadcast(busy.select(key)), key, "left_anti")
+    met = rows.join(F.broadcast(busy), key).unionByName(left.join(rest.hint("merge"), key, "left"))
+    return met.fillna(0, list(names))
+
+
+@dataclass
+class Models:
+    """Counts of both models over one vocabulary, as tables over all words and bigrams of ``docs``."""
 
+    docs: DataFrame
+    known: frozenset[bytes] | None  # None: all words
+    pairs: DataFrame  # (before, word, background, target)
+    words: DataFrame  # (word, background, target)
+    contexts: DataFrame  # (before, background, target)
+    totals: tuple[int, int]  # tokens: background, target
+    types: int  # words, and one for all that were never seen
+
+    def losses(self, pairs: DataFrame) -> DataFrame:
+        """(key, background, loss_background, loss_target) of ``pairs`` with their counts."""
+        total = self.totals[0]
+        met = _with_counts(pairs, self.words, "word", ("word_0", "word_1"), total)
+        met = _with_counts(met, self.contexts, "before", ("context_0", "context_1"), total)
+
+        def loss(k: int, count: str) -> Column:
+            single = (F.col(f"word_{k}") + 1.0) / float(self.totals[k] + self.types)
+            return -F.log((F.col(count) + WEIGHT * single) / (F.col(f"context_{k}") + WEIGHT))
+
+        return met.select(
+            _key().alias("key"), "background",
+            loss(0, "background").alias("loss_background"), loss(1, "target").alias("loss_target"),
+        )
+
+
+def train(docs: DataFrame, targets: DataFrame, size: int | None = None) -> Models:
+    """Count both models over all of ``docs``: the background on every document, the target on those
+    whose id is in ``targets`` (doc_id). With a ``size`` all but the most frequent words are one
+    class; without, every word has its own counts."""
+    known = None if size is None else frozenset(vocabulary(docs, size))
     ids = targets.select(F.col("doc_id").alias("target__id")).where("target__id is not null").distinct()
     # as many target ids as the corpus may hold: never broadcast
     marked = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("target__id"), "left").select(
         "text", F.col("target__id").isNotNull().alias("is_target")
     )
-    rows = (
-        flat_texts(marked, ["is_target"], "place int, background long, target long", work)
-        .groupBy("place")
-        .agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-        .toPandas()
-    )
-    sums = np.zeros((2, 2 * wide + SLOTS))
-    place = rows["place"].to_numpy()
-    sums[0, place], sums[1, place] = rows["background"].to_numpy(), rows["target"].to_numpy()
-    return Models(known, sums[:, :wide], sums[:, wide : 2 * wide], sums[:, 2 * wide :])
+    pairs = staged(bigram_counts(marked, known), "pairs")
+    sums = [F.sum("background").alias("background"), F.sum("target").alias("target")]
+    words = staged(pairs.groupBy("word").agg(*sums), "words")
+    contexts = staged(pairs.groupBy("before").agg(*sums), "contexts")
+    types, *totals = words.agg(F.count("*"), *sums).first()
+    return Models(docs, known, pairs, words, contexts, tuple(x or 0 for x in totals), types + 1)
 
 
 def score(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
     """Columns ``keep`` with n_tokens, both losses in nats per token, and their difference."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    added = "n_tokens long, loss_target double, loss_background double, score double"
-    return map_texts(docs, keep, added, lambda ts: shared.value.losses(ts))
+    pairs = models.pairs
+    if not docs.sameSemantics(models.docs):  # bigrams that the models have not met
+        mine = bigram_counts(docs.select("text", F.lit(False).alias("is_target")), models.known)
+        new = mine.select("before", "word").join(pairs.hint("merge"), ["before", "word"], "left_anti")
+        pairs = pairs.unionByName(new.withColumns({"background": F.lit(0), "target": F.lit(0)}))
+    losses = staged(models.losses(pairs), "losses")
+    is_busy = F.col("background") * F.lit(BUSY) > models.totals[0]
+    top = losses.where(is_busy).toPandas().sort_values("key")  # fewer than BUSY rows
+    busy = tuple(top[c].to_numpy() for c in ("key", "loss_background", "loss_target"))
+    shared = docs.sparkSession.sparkContext.broadcast((models.known, busy))
+    kept = [f"keep{i}" for i in range(len(keep))]
+
+    def work(batches) -> Iterator[dict]:
+        known, (top, *values) = shared.value
+        hashes, row = _Hashes(known), TaskContext.get().partitionId() << 40
+        for batch, texts in batches:
+            before, word, size = _pairs(texts, hashes)
+            doc, key = np.repeat(np.arange(len(texts)), size), _keys(before, word).view(np.int64)
+            place = np.minimum(np.searchsorted(top, key), max(len(top) - 1, 0))
+            met = top[place] == key if len(top) else np.zeros(len(key), bool)
+            first = [np.bincount(doc[met], v[place[met]], len(texts)) for v in values]
+            doc, key = doc[~met], key[~met]
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            at = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(key) != 0)])[: len(doc)])
+            n, doc, key = np.diff(np.append(at, len(doc))), doc[at], key[at]
+            # a row for the document, with its busy bigrams, and one for each of its others; the first
+            # has a key of its own, as null would send them all to one task
+            heads, none = np.arange(len(texts)), np.full(len(doc), -1)
+            source = np.concatenate([heads, none])
+            index = pa.array(source, mask=source < 0)
+            yield {
+                "row": row + np.concatenate([heads, doc]), "key": np.concatenate([row + heads, key]),
+                "n": np.concatenate([np.zeros(len(texts), np.int64), n]), "head": source >= 0,
+                "n_tokens": np.concatenate([size, 0 * doc]),
+                "busy_background": np.concatenate([first[0], 0.0 * doc]),
+                "busy_target": np.concatenate([first[1], 0.0 * doc]),
+                **{c: batch.column(c).take(index) for c in kept},
+            }
+            row += len(texts)
+
+    given = docs.select(*[named(c).alias(k) for c, k in zip(keep, kept)], "text")
+    types = "".join(f", {k} {given.schema[k].dataType.simpleString()}" for k in kept)
+    ddl = "row long, key long, n long, head boolean, n_tokens long, busy_background double, busy_target double"
+    rows = flat_texts(given, kept, ddl + types, work)
+    met = rows.join(losses.where(~is_busy).drop("background").hint("merge"), "key", "left")
+    mean = lambda k: F.sum(
+        F.col(f"busy_{k}") + F.when(F.col("n") > 0, F.col("n") * F.col(f"loss_{k}")).otherwise(0.0)
+    ) / F.greatest(F.sum("n_tokens"), F.lit(1))
+    out = met.groupBy("row").agg(
+        F.first(F.when(F.col("head"), F.struct(*kept)), ignorenulls=True).alias("kept"),
+        F.sum("n_tokens").alias("n_tokens"), mean("target").alias("loss_target"), mean("background").alias("loss_background"),
+    )
+    return out.select(
+        *[F.col(f"kept.{k}").alias(c) for c, k in zip(keep, kept)], "n_tokens", "loss_target", "loss_background",
+        (F.col("loss_target") - F.col("loss_background")).alias("score"),
+    )
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,11 +60,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by probabilities that rake token weights to source, language and topic targets."""
+    """Documents as often as raking their token weights to source, language and topic targets asks; a
+    row that the mix takes several times is there several times."""
     cells = staged(mixing.cells_of(mixing.with_topics(docs, ["source", "lang"])), "cells")
-    chances = staged(mixing.probabilities(staged(mixing.rake(cells), "raked")), "chances")
+    chances = staged(mixing.repeats(staged(mixing.rake(cells), "raked")), "chances")
     rows = mixing.sampled(mixing.with_topics(docs, docs.columns), chances)
-    return rows.where("mix__kept").select(*[named(c) for c in docs.columns])
+    taken = rows.where("mix__kept").withColumn("mix__time", F.explode(F.expr("sequence(1L, mix__repeats)")))
+    return taken.select(*[named(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

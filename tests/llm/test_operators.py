@@ -273,6 +273,40 @@ def test_mixing_edges(spark, edge, none):
     assert mixing.sampled(rows, mixing.probabilities(mixing.rake(mixing.cells_of(rows)))).count() == 0
 
 
+@pytest.mark.parametrize("wanted", [None, {"a": 0.5, "b": 0.5}])
+def test_mix_meets_targets_above_a_cells_tokens(spark, tmp_path, monkeypatch, wanted):
+    """Two sources of 90 and 10 %: the small one's target is more than a sample of 80 % can hold."""
+    rows = [(i, prose(20, i), "en", "b" if i % 10 == 0 else "a") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    if wanted is None:
+        norm = 0.9**mixing.TEMPER + 0.1**mixing.TEMPER
+        targets, aims = None, {"a": 0.9**mixing.TEMPER / norm, "b": 0.1**mixing.TEMPER / norm}
+    else:
+        targets, aims = spark.createDataFrame(list(wanted.items()), "source string, share double"), wanted
+    rake = mixing.rake
+    monkeypatch.setattr(mixing, "rake", lambda cells: rake(cells, targets))
+    got = registry.QUERIES["op5_mix_sources"](spark, str(tmp_path)).toPandas()
+    mass = got["n_tokens"] * got["copies"]
+    assert mass.sum() == pytest.approx(mixing.KEPT * got["n_tokens"].sum(), rel=1e-9)
+    assert (mass.groupby(got["source"]).sum() / mass.sum()).to_dict() == pytest.approx(aims, abs=1e-6)
+    topics = got.groupby("topic")["n_tokens"].sum() ** mixing.TEMPER
+    assert (mass.groupby(got["topic"]).sum() / mass.sum()).to_dict() == pytest.approx((topics / topics.sum()).to_dict(), abs=1e-6)
+    taken = got["n_tokens"] * got["repeats"]
+    assert (taken.groupby(got["source"]).sum() / taken.sum()).to_dict() == pytest.approx(aims, abs=0.03)
+    assert (got["kept"] == (got["repeats"] > 0)).all() and got["probability"].max() <= 1
+    mixed = corpus_pipeline.mix(spark, docs, "").toPandas()
+    assert mixed["doc_id"].value_counts().to_dict() == got[got["kept"]].set_index("doc_id")["repeats"].to_dict()
+
+
+def test_realised_shares(spark):
+    rows = [("a", "en", 0, 10, 2), ("a", None, 1, 10, 0), ("b", None, 1, 5, 4)]
+    taken = spark.createDataFrame(rows, "source string, lang string, mix__topic int, mix__tokens long, mix__repeats long")
+    got = {(r["margin"], r["value"]): r["share"] for r in mixing.realised(taken).collect()}
+    assert got == {("source", "a"): 0.5, ("source", "b"): 0.5, ("lang", "en"): 0.5, ("lang", "(none)"): 0.5,
+                   ("topic", "0"): 0.5, ("topic", "1"): 0.5}
+
+
 def test_token_counts():
     got = mixing.topics([b"", b" a  bb\nc ", "é ü".encode(), b"x" * 200])
     assert got["mix__tokens"].tolist() == [0, 3, 2, 1]

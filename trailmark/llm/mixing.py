@@ -17,7 +17,7 @@ from trailmark.llm.common import map_texts, named, slices, staged, table
 PLANES = 3  # a topic is the cell of the document's word bag among three random hyperplanes
 LONG_WORD = 8  # bytes; shorter words say more about the language than about the topic
 TEMPER = 0.7  # default targets: shares to this power, so that large sources weigh less
-KEPT = 0.8  # share of all tokens to keep
+KEPT = 0.8  # tokens of the mix, repeats included, as a share of all tokens
 ROUNDS = 50
 TOLERANCE = 1e-9
 MARGIN_CELLS = 100_000  # bound on languages x topics
@@ -135,7 +135,8 @@ def rake(
 
 def probabilities(raked: DataFrame, kept: float = KEPT) -> DataFrame:
     """``raked`` with ``probability``: the ratio times one rate, at most 1, such that the expected
-    tokens are ``kept`` of all, or as many as the positive cells hold."""
+    tokens are ``kept`` of all, or as many as the positive cells hold. Nothing is taken twice, so cells
+    clipped at 1 stay below their targets and the others above; ``repeats`` meets them."""
     total, top, low = raked.agg(
         F.sum("tokens"), F.max("ratio"), F.min(F.when(F.col("ratio") > 0, F.col("ratio")))
     ).first()
@@ -152,6 +153,34 @@ def probabilities(raked: DataFrame, kept: float = KEPT) -> DataFrame:
     return raked.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * float(hi)))
 
 
+def repeats(raked: DataFrame, kept: float = KEPT) -> DataFrame:
+    """``raked`` with ``copies``: the ratio times one rate, such that the expected tokens are ``kept``
+    of all and every cell has its wanted share of them; and ``probability``, at most 1, of a document
+    to be taken at all."""
+    total, wanted = raked.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("ratio"))).first()
+    rate = kept * total / wanted if wanted else 0.0
+    copies = F.col("ratio") * F.lit(float(rate))
+    return raked.withColumns({"copies": copies, "probability": F.least(F.lit(1.0), copies)})
+
+
+def realised(taken: DataFrame) -> DataFrame:
+    """(margin, value, share): shares of the tokens in the mix, by source, language and topic, of
+    ``sampled`` rows (source, lang, mix__topic, mix__tokens, mix__repeats)."""
+    mass = taken.select(
+        F.col("mix__tokens") * F.col("mix__repeats"),
+        F.explode(F.array(*[
+            F.struct(F.lit(name).alias("margin"), value.alias("value"))
+            for name, value in (
+                ("source", margin("source")), ("lang", margin("lang")), ("topic", F.col("mix__topic").cast("string")),
+            )
+        ])),
+    ).toDF("tokens", "of")
+    sums = mass.groupBy("of.margin", "of.value").agg(F.sum("tokens").alias("tokens"))
+    total = sums.where("margin = 'topic'").agg(F.sum("tokens")).first()[0]
+    share = F.col("tokens") / F.lit(float(total)) if total else F.lit(0.0)
+    return sums.select("margin", "value", share.alias("share"))
+
+
 def cells_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy(
         margin("source").alias("source"), margin("lang").alias("lang"), F.col("mix__topic").alias("topic")
@@ -159,31 +188,38 @@ def cells_of(rows: DataFrame) -> DataFrame:
 
 
 def sampled(rows: DataFrame, cells: DataFrame, seed: int = 5) -> DataFrame:
-    """``rows`` with mix__probability and mix__kept: a hash of the id is the draw, so a document's
-    fate does not depend on the order of rows, and rows with one id share it."""
+    """``rows`` with mix__probability, mix__copies, mix__repeats and mix__kept: a hash of the id is the
+    draw, so a document's fate does not depend on the order of rows, and rows with one id share it.
+
+    A document is repeated the whole number of its cell's ``copies`` (or ``probability``, if there are
+    none), and once more if the draw is below the rest."""
+    copies = "copies" if "copies" in cells.columns else "probability"
     chance = cells.select(
         F.col("source").alias("mix__s"), F.col("lang").alias("mix__l"), F.col("topic").alias("mix__t"),
-        F.col("probability").alias("mix__probability"),
+        F.col("probability").alias("mix__probability"), F.col(copies).alias("mix__copies"),
     )
     met = (
         (margin("source") == F.col("mix__s")) & (margin("lang") == F.col("mix__l"))
         & (F.col("mix__topic") == F.col("mix__t"))
     )
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return rows.join(chance, met).drop("mix__s", "mix__l", "mix__t").withColumn(
-        "mix__kept", draw < F.col("mix__probability")
-    )
+    whole = F.floor("mix__copies")
+    times = whole + (draw < F.col("mix__copies") - whole).cast("long")
+    rows = rows.join(chance, met).drop("mix__s", "mix__l", "mix__t").withColumn("mix__repeats", times)
+    return rows.withColumn("mix__kept", F.col("mix__repeats") > 0)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its cell, its probability, and whether the sample takes it.
+    """Every document with its cell, its probability, whether the mix takes it, and how often: on
+    average (copies) and by its draw (repeats).
 
     Null sources and languages are a class of their own; texts without words have topic 0 and no
     tokens, and if their cell holds no tokens their probability is 0; an empty table gives no rows.
     """
     rows = staged(with_topics(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"]), "mix")
-    cells = staged(probabilities(staged(rake(cells_of(rows)), "raked")), "chances")
+    cells = staged(repeats(staged(rake(cells_of(rows)), "raked")), "chances")
     return sampled(rows, cells).select(
         "doc_id", "source", "lang", F.col("mix__topic").alias("topic"), F.col("mix__tokens").alias("n_tokens"),
         F.col("mix__probability").alias("probability"), F.col("mix__kept").alias("kept"),
+        F.col("mix__copies").alias("copies"), F.col("mix__repeats").alias("repeats"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.compare import compare, connect
 from trailmark.llm import (
-    bpe, exact_dedup, licenses, lmscore, mixing, neighbours, quality, registry, simhash, substrings, toxicity,
+    bpe, common, exact_dedup, licenses, lmscore, mixing, neighbours, quality, registry, simhash, substrings, toxicity,
 )
 from trailmark.llm.components import components
 
@@ -195,6 +195,18 @@ def test_classifier_edges(edge, none, labels):
         assert quality.score(docs, quality.train(docs, marks), ["doc_id"]).count() == docs.count()
 
 
+def test_classifiers_keep_the_odds_of_all_labels(spark):
+    """Equal texts tell nothing, so scores are the share of the label whatever the sample's ratio is."""
+    docs = spark.createDataFrame([(i, "the same few words") for i in range(2000)], "doc_id long, text string")
+    marks = docs.select("doc_id", (F.col("doc_id") % 20 == 0).cast("int").alias("toxic")).withColumn("quality", F.col("toxic"))
+    share = marks.where(~common.held_out(F.col("doc_id"))).agg(F.avg("toxic")).first()[0]
+    for module in (toxicity, quality):
+        for rows in ({0: 30, 1: 30}, {0: 200, 1: 40}, {0: 5000, 1: 5000}):
+            model = module.train(docs, marks, rows)
+            got = module.score(docs, model, ["doc_id"]).first()["score"]
+            assert got == pytest.approx(share, abs=2e-3), (module.__name__, rows)
+
+
 def test_compiled_rules_equal_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, len(quality.STATISTICS)))

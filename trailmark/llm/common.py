@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,17 +106,35 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def _marked(labels: DataFrame, label: str, values: Iterable[int]) -> DataFrame:
+    """(doc_id, y) of the labels with one of ``values`` that are not held out, an id once."""
+    return (
+        labels.select("doc_id", F.col(label).cast("int").alias("y"))
+        .where(F.col("doc_id").isNotNull() & F.col("y").isin(*values) & ~held_out(F.col("doc_id")))
+        .groupBy("doc_id")
+        .agg(F.max("y").alias("y"))
+    )
+
+
+def prior_shift(docs: DataFrame, labels: DataFrame, label: str, sample: np.ndarray) -> float:
+    """What the log odds of label 1 over 0 are higher by among all labelled documents that are not held
+    out than in ``sample``, the labels of a ``labelled_sample``. A model fitted to the sample with
+    this added to its intercept gives the same odds however many rows the sample leaves out."""
+    taken = np.array([(sample == 0).sum(), (sample == 1).sum()])
+    if not taken.all():
+        return 0.0
+    # as many labels as documents: never broadcast
+    rows = docs.select("doc_id").join(_marked(labels, label, (0, 1)).hint("merge"), "doc_id")
+    there = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    return float(np.log(there[1] / there[0]) - np.log(taken[1] / taken[0]))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int]) -> DataFrame:
     """At most ``rows[v]`` labelled documents of each label ``v`` that are not held out, as
     (doc_id, text, y). The bound is on the labelled rows that a classifier is fitted to; which rows
     it takes depends on a hash of the id alone. Ids in ``labels`` more than once count once, with
     their larger label."""
-    marked = (
-        labels.select("doc_id", F.col(label).cast("int").alias("y"))
-        .where(F.col("doc_id").isNotNull() & F.col("y").isin(*rows) & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max("y").alias("y"))
-    )
+    marked = _marked(labels, label, rows)
     picked = None
     for value, most in rows.items():
         part = marked.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

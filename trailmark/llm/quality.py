@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import held_out, labelled_sample, map_texts, named, sigmoid, table
+from trailmark.llm.common import held_out, labelled_sample, map_texts, named, prior_shift, sigmoid, table
 
 # Bound on the labelled rows that the ensemble is fitted to, by label.
 FIT_ROWS = {0: 2000, 1: 2000}
@@ -168,11 +168,13 @@ def compiled(model: tuple[list[tuple[Rule, float]], float], prior: float = 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = FIT_ROWS):
-    """Fit on a bounded sample of labelled rows outside the held-out fold."""
+    """Fit on a bounded sample of labelled rows outside the held-out fold, at the odds of all of them."""
     sample = labelled_sample(docs, labels, "quality", rows)
     got = with_statistics(sample, ["doc_id", "y"]).orderBy("doc_id").collect()
     x = np.array([[r[s] for s in STATISTICS] for r in got]).reshape(len(got), len(STATISTICS))
-    return fit(x, np.array([r["y"] for r in got], dtype=float))
+    y = np.array([r["y"] for r in got], dtype=float)
+    rules, bias = fit(x, y)
+    return rules, bias + prior_shift(docs, labels, "quality", y)
 
 
 def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:

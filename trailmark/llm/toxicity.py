@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import held_out, labelled_sample, map_texts, sigmoid, slices, table
+from trailmark.llm.common import held_out, labelled_sample, map_texts, prior_shift, sigmoid, slices, table
 
 BITS = 18  # hashed n-grams: 2^18 vectors, a 1 MB table of scores
 DIM = 4
@@ -106,13 +106,13 @@ def _transposed(column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.searchsorted(column[order], np.arange(width))
 
 
-def fit(texts: list[bytes], y: np.ndarray, epochs: int = 50, seed: int = 7) -> Toxicity:
+def fit(texts: list[bytes], y: np.ndarray, epochs: int = 50, seed: int = 7, prior: float = 0.0) -> Toxicity:
     """Train n-gram vectors and softmax together, full batches with momentum.
 
     In the first third of the epochs each window carries its document's label, clean and toxic
     documents weighing the same. Then a toxic document is represented by its most toxic window alone,
     as its other windows are no different from clean text. With one class or no words the model is
-    constant.
+    constant. ``prior`` is added to the log odds.
     """
     number: dict[bytes, int] = {}
     words = [
@@ -203,11 +203,11 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 50, seed: int = 7) -> T
 
     grams[used] = params[0] @ (params[1][:, 1] - params[1][:, 0])
     model = Toxicity(grams, 1.0, 0.0)
-    return _calibrated(model, texts, y)
+    return _calibrated(model, texts, y, prior)
 
 
-def _calibrated(model: Toxicity, texts: list[bytes], y: np.ndarray) -> Toxicity:
-    """Logistic fit of the label to the largest window logit, with a small ridge."""
+def _calibrated(model: Toxicity, texts: list[bytes], y: np.ndarray, prior: float = 0.0) -> Toxicity:
+    """Logistic fit of the label to the largest window logit, with a small ridge; ``prior`` is added."""
     x = model.logits(texts)
     mean, spread = x.mean(), x.std() or 1.0
     design = np.stack([(x - mean) / spread, np.ones(len(x))], 1)
@@ -216,14 +216,15 @@ def _calibrated(model: Toxicity, texts: list[bytes], y: np.ndarray) -> Toxicity:
         p = sigmoid(design @ beta)
         hess = design.T @ (design * (p * (1 - p))[:, None]) + np.diag([0.05, 0.01])
         beta += np.linalg.solve(hess, design.T @ (y - p) - np.array([0.05, 0.01]) * beta)
-    model.slope, model.bias = beta[0] / spread, beta[1] - beta[0] * mean / spread
+    model.slope, model.bias = beta[0] / spread, beta[1] - beta[0] * mean / spread + prior
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = FIT_ROWS) -> Toxicity:
-    """Fit on a bounded sample of labelled rows outside the held-out fold."""
+    """Fit on a bounded sample of labelled rows outside the held-out fold, at the odds of all of them."""
     sample = labelled_sample(docs, labels, "toxic", rows).orderBy("doc_id").collect()
-    return fit([(r["text"] or "").encode() for r in sample], np.array([r["y"] for r in sample]))
+    y = np.array([r["y"] for r in sample])
+    return fit([(r["text"] or "").encode() for r in sample], y, prior=prior_shift(docs, labels, "toxic", y))
 
 
 def score(docs: DataFrame, model: Toxicity, keep: list[str]) -> DataFrame:

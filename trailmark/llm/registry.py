@@ -14,6 +14,7 @@ from trailmark.llm import (
     mixing,
     neighbours,
     quality,
+    runs,
     simhash,
     substrings,
     toxicity,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": lmscore.op8_lm_score,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_periodic_runs": runs.op11_periodic_runs,
 }
 
 CHECKS: dict[str, str] = {"op10_exact_dedup": exact_dedup.OP10_SQL}

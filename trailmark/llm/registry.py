@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.llm import (
     bpe,
+    chat,
     exact_dedup,
     licenses,
     lmscore,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_chat_format": chat.op12_chat_format,
 }
 
-CHECKS: dict[str, str] = {"op10_exact_dedup": exact_dedup.OP10_SQL}
+CHECKS: dict[str, str] = {"op10_exact_dedup": exact_dedup.OP10_SQL, "op12_chat_format": chat.OP12_SQL}

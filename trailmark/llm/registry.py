@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.llm import (
+    alignment,
     bpe,
     chat,
     exact_dedup,
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_periodic_runs": runs.op11_periodic_runs,
     "op12_chat_format": chat.op12_chat_format,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 CHECKS: dict[str, str] = {"op10_exact_dedup": exact_dedup.OP10_SQL, "op12_chat_format": chat.OP12_SQL}

@@ -82,9 +82,9 @@ def test_segments_give_the_tokens_of_whole_texts(plain, text):
     coder = alignment.aligner(*PATHS)
     split = coder.split(text.encode())
     assert "".join(split) == (" " + text if text else "")
-    made = [coder.segment(s) for s in split]
-    want = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in plain(text))
-    assert ("" if None in made else ";".join(m[4] for m in made)) == want
+    made = coder.align(split)
+    want = "".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) + ";" for a, b in plain(text))
+    assert ("".join(made.written) if made.spelt.all() else "") == want
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 1000, 100_000])
@@ -130,6 +130,23 @@ def test_edges_with_and_without_broadcast(spark, plain, hot):
     assert got == sorted((str(d[0]), r) for d, r in zip(EDGE, rows))
 
 
+def test_large_groups_count_pairs_together(monkeypatch):
+    coder = alignment.aligner(*PATHS)
+    texts = [" " + "=" * 3000 + "日本" * 50, " the", " a  b"]
+    one = coder.align(texts)
+    monkeypatch.setattr(alignment, "LARGE", 1)
+    two = coder.align(texts)
+
+    def links(x):
+        out = Counter()
+        for k, n, o in zip(x.key.tolist(), x.times.tolist(), x.owner.tolist()):
+            out[k, o] += n
+        return out
+
+    assert links(one) == links(two)
+    assert one.n_links.tolist() == two.n_links.tolist() == [sum(n for (_, o), n in links(two).items() if o == i) for i in range(3)]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align(none, ["doc_id"]).count() == 0

@@ -22,17 +22,20 @@ A vocabulary with such a piece has its texts aligned whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate, chain
+from itertools import chain
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +52,15 @@ FAN = 16
 HOT = 1 << 20
 # Pairs that a task counts, and segments of up to LONG characters that a worker remembers.
 HELD = 400_000
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 LONG = 64
 
+# Links of a group from which on equal pairs are counted together.
+LARGE = 10_000
+
+# Characters that every tokenizer's pattern takes alike: tab, line feed, carriage return, printable ASCII
+# and Latin letters up to U+024F.
+_PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ɏ]*").fullmatch
 # White space to any of the tokenizers; other characters may be in here as well, at no harm.
 _WIDE = r"\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁤　﻿"
 _SEGMENT = re.compile(rf"[{_WIDE}]*[^{_WIDE}]+(?:(?! )[{_WIDE}]+[^{_WIDE}]*)*|[{_WIDE}]+")
@@ -65,7 +74,7 @@ def _byte_level() -> dict[str, int]:
 
 
 class Aligner:
-    """Two tokenizers, and the alignment of a text's segments."""
+    """Two tokenizers, and the alignment of segments."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
@@ -79,6 +88,7 @@ class Aligner:
             i: bytes(level[c] for c in t) if all(c in level for c in t) else t.encode()
             for t, i in self.a.get_vocab(with_added_tokens=True).items()
         }
+        self.quick = _by_ranks(a_path, self.a_bytes)
         self.b = SentencePieceProcessor(model_file=b_path)
         self.width = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.width)]
@@ -89,6 +99,16 @@ class Aligner:
         self.space = [pieces.index("▁")]
         apart = not any(re.search("[^▁]▁", p) for p in pieces)
         self.segments = _SEGMENT.findall if apart else lambda text: [text]
+        a_size = max(self.a_bytes) + 1
+        self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(a_size)])
+        self.b_sizes = np.array(list(map(len, self.b_bytes)))
+
+        def decimals(n: int, mark: str) -> np.ndarray:
+            return np.array([f"{i}{mark}" for i in range(n)], object)
+
+        # a side's ids inside a group, and the last one of its group
+        self.a_text = decimals(a_size, ","), decimals(a_size, "|")
+        self.b_text = decimals(self.width, ","), decimals(self.width, ";")
 
     def split(self, raw: bytes) -> list[str]:
         """Segments of space + text, each beginning with a space; none if the text is empty or not UTF-8."""
@@ -97,31 +117,106 @@ class Aligner:
         except UnicodeDecodeError:
             return []
 
-    def segment(self, text: str) -> tuple[int, int, int, int, str, dict[int, int]] | None:
-        """Tokens of A and of B, groups, links, the groups written out, and links by pair key (A id times
-        ``width`` plus B id). None if the tokens of a side do not spell ``text``."""
-        a = self.a.encode(text, add_special_tokens=False).ids
-        b = self.b.encode(text[1:]) if len(text) > 1 else self.space
-        parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        raw = text.encode()
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        ends = {e: j for j, e in enumerate(accumulate(map(len, parts_b)))}
-        written, keys, links = [], Counter(), 0
-        a0 = b0 = 0
-        for i, e in enumerate(accumulate(map(len, parts_a))):
-            j = ends.get(e)
-            if j is None:
-                continue
-            left, right = a[a0 : i + 1], b[b0 : j + 1]
-            a0, b0 = i + 1, j + 1
-            written.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            links += len(left) * len(right)
-            times_b = Counter(right)
-            for x, n in Counter(left).items():
-                for y, m in times_b.items():
-                    keys[x * self.width + y] += n * m
-        return len(a), len(b), len(written), links, ";".join(written), dict(keys)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of both sides for segments."""
+        quick, plain = self.quick, _PLAIN
+        whole = self.a.encode
+        a = [quick(t) if quick and plain(t) else whole(t, add_special_tokens=False).ids for t in texts]
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        return a, [ids if len(t) > 1 else self.space for t, ids in zip(texts, b)]
+
+    def align(self, texts: list[str], written: bool = True) -> Aligned:
+        a, b = self.encode(texts)
+        spelt = np.ones(len(texts), bool)
+        raw = [t.encode() for t in texts]
+        for ids, table_ in ((a, self.a_bytes), (b, self.b_bytes)):
+            parts = [b"".join(map(table_.__getitem__, x)) for x in ids]
+            if parts != raw:
+                spelt &= [x == y for x, y in zip(parts, raw)]
+        if not spelt.all():
+            a, b = ([x if y else () for x, y in zip(ids, spelt)] for ids in (a, b))
+        n_a, n_b = (np.array(list(map(len, ids)), np.int64) for ids in (a, b))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
+        # both sides spell the same bytes: their ends agree wherever a segment ends
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        other = np.searchsorted(ends_b, ends_a)
+        last_a = ends_b[other] == ends_a if len(a) else np.zeros(0, bool)
+        last_b = np.zeros(len(b), bool)
+        last_b[other[last_a]] = True
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        groups = int(last_a.sum())
+        in_a, in_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
+        start_a, start_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        owner = np.repeat(np.arange(len(texts)), n_a)[last_a]  # of each group
+        links = in_a * in_b
+        key, times, of = self._links(a, b, group_a, in_a, in_b, start_a, start_b)
+        out = Aligned(
+            spelt, n_a, n_b, np.bincount(owner, minlength=len(texts)),
+            _sums(owner, links, len(texts)), key, times, owner[of], [],
+        )
+        if written:
+            tokens = np.empty(len(a) + len(b), object)
+            at_a = np.arange(len(a)) + start_b[group_a]
+            at_b = np.arange(len(b)) + (start_a + in_a)[group_b]
+            for at, ids, last, (inside, final) in (
+                (at_a, a, last_a, self.a_text), (at_b, b, last_b, self.b_text),
+            ):
+                tokens[at[~last]] = inside[ids[~last]]
+                tokens[at[last]] = final[ids[last]]
+            listed, to = tokens.tolist(), np.cumsum(n_a + n_b).tolist()
+            out.written.extend("".join(listed[x:y]) for x, y in zip([0, *to], to))
+        return out
+
+    def _links(self, a, b, group_a, in_a, in_b, start_a, start_b):
+        """Key, times and group of the links; a pair of a very large group is listed once."""
+        large = in_a * in_b > LARGE
+        partners = np.where(large, 0, in_b)[group_a]  # of each A token
+        left = np.repeat(np.arange(len(a)), partners)
+        step = np.arange(len(left)) - np.repeat(np.cumsum(partners) - partners, partners)
+        key = a[left] * self.width + b[start_b[group_a[left]] + step]
+        found = [(key, np.ones(len(key), np.int64), group_a[left])]
+        for g in np.flatnonzero(large).tolist():
+            x, n = np.unique(a[start_a[g] : start_a[g] + in_a[g]], return_counts=True)
+            y, m = np.unique(b[start_b[g] : start_b[g] + in_b[g]], return_counts=True)
+            pairs = (x[:, None] * self.width + y).ravel()
+            found.append((pairs, np.outer(n, m).ravel(), np.full(len(pairs), g)))
+        return (np.concatenate(x) for x in zip(*found))
+
+
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    np.add.at(out, at, values)
+    return out
+
+
+class Aligned(NamedTuple):
+    """By segment: whether both sides spell it, tokens of A and of B, groups, links; by link or by
+    several links of a pair: pair key (A id times the size of B's vocabulary, plus B id), how many, and
+    the segment; by segment its groups written out, each ended by a semicolon."""
+
+    spelt: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    key: np.ndarray
+    times: np.ndarray
+    owner: np.ndarray
+    written: list[str]
+
+
+def _by_ranks(path: str, tokens: dict[int, bytes]):
+    """A quicker encoder for plain segments, where the file's merges are in the order of their ids."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get(x + y) for x, y in pairs]
+    if made != list(range(256, 256 + len(pairs))) or any(len(tokens[i]) != 1 for i in range(256)):
+        return None
+    ranks = {tokens[i]: i for i in range(256 + len(pairs))}
+    return tiktoken.Encoding(
+        "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    ).encode_ordinary
 
 
 @cache
@@ -207,6 +302,21 @@ def _read_hash(row) -> tuple[MinimalHash, np.ndarray]:
 # --- first pass: counts of all pairs ----------------------------------------------------------------
 
 
+def _segments(texts: list[bytes], coder: Aligner, memo: dict, learn) -> Iterator[list[list[str]]]:
+    """The segments of each text, for slices of the texts. ``learn`` puts the slice's new segments into
+    ``memo``, where long ones stay for the slice alone."""
+    for x, y in slices(texts):
+        if len(memo) >= REMEMBERED:
+            memo.clear()
+        split = [coder.split(t) for t in texts[x:y]]
+        new = [s for s in dict.fromkeys(chain.from_iterable(split)) if s not in memo]
+        learn(new)
+        yield split
+        for s in new:
+            if len(s) > LONG:
+                del memo[s]
+
+
 def _task_counts(docs: DataFrame, paths: tuple[str, str], held: int) -> DataFrame:
     """(key, docs, part): how many documents of a task hold each pair, in one row per pair and task, or
     more where a task meets more than ``held`` pairs."""
@@ -218,14 +328,12 @@ def _task_counts(docs: DataFrame, paths: tuple[str, str], held: int) -> DataFram
         memo: dict[str, tuple[int, ...] | None] = {}
         counts: Counter = Counter()
 
-        def keys_of(segment: str):
-            made = coder.segment(segment)
-            keys = None if made is None else tuple(made[5])
-            if len(segment) <= LONG:
-                if len(memo) >= REMEMBERED:
-                    memo.clear()
-                memo[segment] = keys
-            return keys
+        def learn(new: list[str]) -> None:
+            made = coder.align(new, written=False)
+            keys = made.key[np.argsort(made.owner, kind="stable")].tolist()
+            to = np.cumsum(np.bincount(made.owner, minlength=len(new))).tolist()
+            for s, good, x, y in zip(new, made.spelt.tolist(), [0, *to], to):
+                memo[s] = tuple(keys[x:y]) if good else None
 
         def taken() -> dict:
             n = len(counts)
@@ -238,13 +346,13 @@ def _task_counts(docs: DataFrame, paths: tuple[str, str], held: int) -> DataFram
             return out
 
         for _, texts in batches:
-            for raw in texts:
-                segments = coder.split(raw)
-                keys = [memo[s] if s in memo else keys_of(s) for s in segments]
-                if None not in keys:
-                    counts.update(set(chain.from_iterable(keys)))
-                if len(counts) >= held:
-                    yield taken()
+            for split in _segments(texts, coder, memo, learn):
+                for segments in split:
+                    keys = [memo[s] for s in segments]
+                    if None not in keys:
+                        counts.update(set(chain.from_iterable(keys)))
+                    if len(counts) >= held:
+                        yield taken()
         if counts:
             yield taken()
 
@@ -372,60 +480,42 @@ def _second(paths: tuple[str, str], pairs, digest: bool):
 
     def work(texts: list[bytes]) -> dict[str, list]:
         coder, known = aligner(*paths), pairs.value
-        memo = known.memo
         groups = "groups_sha256" if digest else "groups"
         out: dict[str, list] = {n: [] for n in (*COLUMNS, groups, "cold")}
-        for x, y in slices(texts):
-            if len(memo) >= REMEMBERED:
-                memo.clear()
-            split = [coder.split(t) for t in texts[x:y]]
-            new = [s for s in dict.fromkeys(chain.from_iterable(split)) if s not in memo]
-            _remember(memo, new, coder, known)
+        for split in _segments(texts, coder, known.memo, lambda new: _remember(new, coder, known)):
             for segments in split:
-                rows = [memo[s] for s in segments]
+                rows = [known.memo[s] for s in segments]
                 if not rows or None in rows:
                     values, written, cold = (0,) * 6, "", []
                 else:
                     *numbers, texts_, colds = zip(*rows)
                     values = tuple(map(sum, numbers))
-                    joined = ";".join(texts_)
+                    joined = "".join(texts_)[:-1]
                     written = hashlib.sha256(joined.encode()).hexdigest() if digest else joined
                     rest: Counter = Counter()
-                    for c in colds:
+                    for c in filter(None, colds):
                         for k, n in c:
                             rest[k] += n
                     cold = [{"key": k, "times": n} for k, n in rest.items()]
                 for n, v in zip((*COLUMNS, groups, "cold"), (*values, written, cold)):
                     out[n].append(v)
-            for s in new:
-                if len(s) > LONG:
-                    del memo[s]
         return out
 
     return work
 
 
-def _remember(memo: dict, new: list[str], coder: Aligner, pairs: PairTable) -> None:
+def _remember(new: list[str], coder: Aligner, pairs: PairTable) -> None:
     """Alignments of new segments, with the sums over their links; one look-up for all of them."""
-    made = [coder.segment(s) for s in new]
-    good = [m for m in made if m is not None]
-    keys = np.fromiter(chain.from_iterable(m[5] for m in good), np.int64)
-    times = np.fromiter(chain.from_iterable(m[5].values() for m in good), np.int64)
-    owner = np.repeat(np.arange(len(good)), [len(m[5]) for m in good])
-    docs, best = pairs.find(keys)
-    sums, bests = np.zeros(len(good), np.int64), np.zeros(len(good), np.int64)
-    np.add.at(sums, owner, docs * times)
-    np.add.at(bests, owner, best * times)
+    made = coder.align(new)
+    docs, best = pairs.find(made.key)
+    sums = _sums(made.owner, docs * made.times, len(new))
+    bests = _sums(made.owner, best * made.times, len(new))
     cold: dict[int, list] = {}
     for i in np.flatnonzero(docs == 0).tolist():
-        cold.setdefault(int(owner[i]), []).append((int(keys[i]), int(times[i])))
-    k = 0
-    for s, m in zip(new, made):
-        if m is None:
-            memo[s] = None
-        else:
-            memo[s] = (*m[:4], int(bests[k]), int(sums[k]), m[4], cold.get(k, ()))
-            k += 1
+        cold.setdefault(int(made.owner[i]), []).append((int(made.key[i]), int(made.times[i])))
+    numbers = (x.tolist() for x in (made.spelt, made.n_a, made.n_b, made.n_groups, made.n_links, bests, sums))
+    for k, (s, text, good, *row) in enumerate(zip(new, made.written, *numbers)):
+        pairs.memo[s] = (*row, text, cold.get(k)) if good else None
 
 
 def align(

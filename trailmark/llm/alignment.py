@@ -21,6 +21,7 @@ A vocabulary with such a piece has its texts aligned whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -52,15 +53,15 @@ FAN = 16
 HOT = 1 << 20
 # Pairs that a task counts, and segments of up to LONG characters that a worker remembers.
 HELD = 400_000
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 LONG = 64
 
 # Links of a group from which on equal pairs are counted together.
 LARGE = 10_000
 
 # Characters that every tokenizer's pattern takes alike: tab, line feed, carriage return, printable ASCII
-# and Latin letters up to U+024F.
-_PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ɏ]*").fullmatch
+# and Latin letters up to U+024F. A plain segment has no others and ends with no white space.
+_PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ɏ]*[!-~À-ÖØ-öø-ɏ]").fullmatch
 # White space to any of the tokenizers; other characters may be in here as well, at no harm.
 _WIDE = r"\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁤　﻿"
 _SEGMENT = re.compile(rf"[{_WIDE}]*[^{_WIDE}]+(?:(?! )[{_WIDE}]+[^{_WIDE}]*)*|[{_WIDE}]+")
@@ -106,6 +107,8 @@ class Aligner:
         def decimals(n: int, mark: str) -> np.ndarray:
             return np.array([f"{i}{mark}" for i in range(n)], object)
 
+        # links of segments, by pair key, that the first pass has met in this worker
+        self.memo: dict[str, tuple[int, ...] | None] = {}
         # a side's ids inside a group, and the last one of its group
         self.a_text = decimals(a_size, ","), decimals(a_size, "|")
         self.b_text = decimals(self.width, ","), decimals(self.width, ";")
@@ -117,26 +120,40 @@ class Aligner:
         except UnicodeDecodeError:
             return []
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of both sides for segments."""
-        quick, plain = self.quick, _PLAIN
-        whole = self.a.encode
-        a = [quick(t) if quick and plain(t) else whole(t, add_special_tokens=False).ids for t in texts]
+    def encode(self, texts: list[str]) -> tuple[list[int], np.ndarray, list[list[int]]]:
+        """The ids of A for segments that are all plain or all not, end to end, their number by segment,
+        and the ids of B by segment."""
         b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return a, [ids if len(t) > 1 else self.space for t, ids in zip(texts, b)]
+        b = [ids if len(t) > 1 else self.space for t, ids in zip(texts, b)]
+        if self.quick and _PLAIN(texts[0]):
+            # one text of all: every segment but the first begins with a space after another character
+            joined = "".join(texts)
+            sizes = map(len, texts) if joined.isascii() else (len(t.encode()) for t in texts)
+            a = self.quick(joined)
+            to = np.searchsorted(np.cumsum(self.a_sizes[a]), np.cumsum(np.fromiter(sizes, np.int64)), "right")
+            return a, np.diff(to, prepend=0), b
+        listed = [self.a.encode(t, add_special_tokens=False).ids for t in texts]
+        return list(chain.from_iterable(listed)), np.array(list(map(len, listed)), np.int64), b
 
     def align(self, texts: list[str], written: bool = True) -> Aligned:
-        a, b = self.encode(texts)
+        """Of segments that are all plain or all not."""
+        a, n_a, b = self.encode(texts)
+        n_b = np.array(list(map(len, b)), np.int64)
+        b = list(chain.from_iterable(b))
+        raw = "".join(texts).encode()
         spelt = np.ones(len(texts), bool)
-        raw = [t.encode() for t in texts]
-        for ids, table_ in ((a, self.a_bytes), (b, self.b_bytes)):
-            parts = [b"".join(map(table_.__getitem__, x)) for x in ids]
-            if parts != raw:
-                spelt &= [x == y for x, y in zip(parts, raw)]
-        if not spelt.all():
-            a, b = ([x if y else () for x, y in zip(ids, spelt)] for ids in (a, b))
-        n_a, n_b = (np.array(list(map(len, ids)), np.int64) for ids in (a, b))
-        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
+        bytes_a, bytes_b = (b"".join(map(t.__getitem__, x)) for t, x in ((self.a_bytes, a), (self.b_bytes, b)))
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        owner_a, owner_b = np.repeat(np.arange(len(texts)), n_a), np.repeat(np.arange(len(texts)), n_b)
+        sizes_a = _sums(owner_a, self.a_sizes[a], len(texts))
+        if bytes_a != raw or bytes_b != raw or (sizes_a != _sums(owner_b, self.b_sizes[b], len(texts))).any():
+            parts_a, parts_b = (
+                [b"".join(map(t.__getitem__, x)) for x in np.split(ids, np.cumsum(n)[:-1])]
+                for t, ids, n in ((self.a_bytes, a, n_a), (self.b_bytes, b, n_b))
+            )
+            spelt = np.array([x == t.encode() == y for x, t, y in zip(parts_a, texts, parts_b)])
+            a, b = a[spelt[owner_a]], b[spelt[owner_b]]
+            n_a, n_b = n_a * spelt, n_b * spelt
         # both sides spell the same bytes: their ends agree wherever a segment ends
         ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         other = np.searchsorted(ends_b, ends_a)
@@ -222,7 +239,11 @@ def _by_ranks(path: str, tokens: dict[int, bytes]):
 @cache
 def aligner(a_path: str, b_path: str) -> Aligner:
     """One per worker process; the files are part of the installed tokenizers on every machine."""
-    return Aligner(a_path, b_path)
+    made = Aligner(a_path, b_path)
+    # its tables hold no cycles; walking them again and again takes time
+    gc.freeze()
+    gc.set_threshold(1_000_000)
+    return made
 
 
 def sides(a: str = A_SIDE, b: str = B_SIDE) -> tuple[str, str]:
@@ -310,11 +331,14 @@ def _segments(texts: list[bytes], coder: Aligner, memo: dict, learn) -> Iterator
             memo.clear()
         split = [coder.split(t) for t in texts[x:y]]
         new = [s for s in dict.fromkeys(chain.from_iterable(split)) if s not in memo]
-        learn(new)
+        plain = [bool(_PLAIN(s)) for s in new]
+        for kind in (True, False):
+            if some := [s for s, p in zip(new, plain) if p is kind]:
+                learn(some)
         yield split
         for s in new:
             if len(s) > LONG:
-                del memo[s]
+                memo.pop(s, None)
 
 
 def _task_counts(docs: DataFrame, paths: tuple[str, str], held: int) -> DataFrame:
@@ -325,7 +349,6 @@ def _task_counts(docs: DataFrame, paths: tuple[str, str], held: int) -> DataFram
         coder = aligner(*paths)
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        memo: dict[str, tuple[int, ...] | None] = {}
         counts: Counter = Counter()
 
         def learn(new: list[str]) -> None:
@@ -333,7 +356,7 @@ def _task_counts(docs: DataFrame, paths: tuple[str, str], held: int) -> DataFram
             keys = made.key[np.argsort(made.owner, kind="stable")].tolist()
             to = np.cumsum(np.bincount(made.owner, minlength=len(new))).tolist()
             for s, good, x, y in zip(new, made.spelt.tolist(), [0, *to], to):
-                memo[s] = tuple(keys[x:y]) if good else None
+                coder.memo[s] = tuple(keys[x:y]) if good else None
 
         def taken() -> dict:
             n = len(counts)
@@ -346,9 +369,9 @@ def _task_counts(docs: DataFrame, paths: tuple[str, str], held: int) -> DataFram
             return out
 
         for _, texts in batches:
-            for split in _segments(texts, coder, memo, learn):
+            for split in _segments(texts, coder, coder.memo, learn):
                 for segments in split:
-                    keys = [memo[s] for s in segments]
+                    keys = [coder.memo[s] for s in segments]
                     if None not in keys:
                         counts.update(set(chain.from_iterable(keys)))
                     if len(counts) >= held:
@@ -480,6 +503,7 @@ def _second(paths: tuple[str, str], pairs, digest: bool):
 
     def work(texts: list[bytes]) -> dict[str, list]:
         coder, known = aligner(*paths), pairs.value
+        coder.memo.clear()  # of the first pass
         groups = "groups_sha256" if digest else "groups"
         out: dict[str, list] = {n: [] for n in (*COLUMNS, groups, "cold")}
         for split in _segments(texts, coder, known.memo, lambda new: _remember(new, coder, known)):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.columns import RATING_WEIGHTS, half_up, labelled, long, ratio, weighted
 from trailmark.operators.hotkeys import join_spread
 from trailmark.operators.ranking import running_sums, with_row_number
-from trailmark.operators.similarity import cosine_neighbors, cross_counts
+from trailmark.operators.similarity import cosine, cosine_neighbors, nearest
 from trailmark.session import cut, shared_dir
 
 
@@ -542,21 +542,10 @@ def _popular_for_collectors(ratings, ranked, users, k: int, block: int, items: i
 
 def _honest_neighbors(train: DataFrame, matrix: DataFrame, k: int) -> DataFrame:
     """The ``k`` users nearest to each user's remaining purchases, over the others' full rows."""
-    own = train.groupBy(F.col("user_id").alias("a")).agg(F.count("*").alias("n"))
-    others = matrix.groupBy(F.col("user_id").alias("b")).agg(F.count("*").alias("nj"))
-    met = cross_counts(
-        train.select(F.col("user_id").alias("a"), "item_id"),
-        matrix.select(F.col("user_id").alias("b"), "item_id"),
-        "item_id",
-    )
-    cosine = half_up(F.col("together") / F.sqrt(F.col("n") * F.col("nj").cast("double")), 9)
-    order = Window.partitionBy("a").orderBy(F.desc(F.col("together") * F.col("together") / F.col("nj")), "b")
-    return (
-        met.join(own, "a")
-        .join(others, "b")
-        .withColumn("r", F.row_number().over(order))
-        .filter(F.col("r") <= k)
-        .select(F.col("a").alias("user_id"), F.col("b").alias("similar_user"), cosine.alias("similarity"))
+    rows = (train, matrix)
+    remaining, full = (x.select(F.col("user_id").alias("i"), F.col("item_id").alias("u")) for x in rows)
+    return nearest(remaining, full, k).select(
+        F.col("i").alias("user_id"), F.col("j").alias("similar_user"), cosine("together", "n", "nj").alias("similarity")
     )
 
 

@@ -1,17 +1,10 @@
-"""Co-occurrence counts, top pairs and cosine neighbours, exact, without a dense matrix.
+"""Top pairs and cosine neighbours, exact, without a dense matrix or a row per pair.
 
-A basket of s items holds s(s-1)/2 pairs, so one very large basket must not be expanded:
-
-* ``top_pairs`` wants the n most frequent pairs. A lower bound L on the n-th count comes from a few
-  popular items; items with fewer than L buyers cannot be in a top pair, and a pair that occurs only
-  in the L-1 largest baskets cannot either. Those baskets are therefore never expanded; pairs found
-  elsewhere get their contribution by intersecting, per item, the short list of large baskets that
-  hold it.
-* ``cosine_neighbors`` wants the k best partners of every item. For the few hottest baskets items
-  are grouped by which of them they occur in; all items of one group offer the same overlap, so only
-  the k+1 with the fewest buyers can be anybody's best partners.
-
-Baskets in between are expanded in slices, so no task gets a whole one.
+Pairs are counted in blocks (``overlap``). ``top_pairs`` wants the n most frequent pairs: a lower bound L on
+the n-th count comes from a few popular items, and items with fewer than L buyers cannot be in a top
+pair. ``nearest`` wants the k best partners of every item. For the few hottest baskets items are grouped by
+which of them they occur in; all items of one group offer the same overlap, so only the k+1 with the
+fewest buyers can be anybody's best partners through those baskets alone.
 """
 
 from __future__ import annotations
@@ -20,8 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import half_up, long
-from trailmark.operators.hotkeys import join_spread
-from trailmark.session import cut
+from trailmark.operators.overlap import LONG, MOST_BITS, bits, bits_of, closest, frequent, overlaps
+from trailmark.operators.ranking import with_row_number
+from trailmark.session import staged
 
 # Basket rows per slice on the build side of the pair join.
 SLICE = 256
@@ -56,28 +50,6 @@ def expand_pairs(rows: DataFrame, basket: str, node: list[str], first: str) -> D
     )
 
 
-def _signature(rows: DataFrame, node: list[str]) -> DataFrame:
-    """Per node the sorted list of large baskets (by number) that hold it."""
-    return rows.groupBy(*node).agg(F.sort_array(F.collect_set("_no")).alias("sig"))
-
-
-def _add_large(pairs: DataFrame, sig: DataFrame, node: list[str]) -> DataFrame:
-    """Add to each pair's count the large baskets that hold both items."""
-    a = sig.select(*[F.col(c).alias(f"a_{c}") for c in node], F.col("sig").alias("_sa"))
-    b = sig.select(*[F.col(c).alias(f"b_{c}") for c in node], F.col("sig").alias("_sb"))
-    both = F.coalesce(F.size(F.array_intersect("_sa", "_sb")), F.lit(0))
-    return (
-        pairs.join(a, [f"a_{c}" for c in node], "left")
-        .join(b, [f"b_{c}" for c in node], "left")
-        .withColumn(
-            "together",
-            F.col("together")
-            + F.when(F.col("_sa").isNull() | F.col("_sb").isNull(), F.lit(0)).otherwise(both),
-        )
-        .drop("_sa", "_sb")
-    )
-
-
 def _largest_baskets(rows: DataFrame, basket: str, above: int, most: int) -> list:
     """Ids of at most ``most`` baskets with more than ``above`` rows, largest first."""
     if most <= 0:
@@ -92,17 +64,12 @@ def _largest_baskets(rows: DataFrame, basket: str, above: int, most: int) -> lis
     return [r[0] for r in big.collect()]
 
 
-def _split(rows: DataFrame, basket: str, large: list) -> tuple[DataFrame, DataFrame | None]:
+def _numbered(rows: DataFrame, basket: str, large: list) -> DataFrame | None:
+    """(u, no) of the largest baskets, a list limited where it was collected."""
     if not large:
-        return rows, None
-    spark = rows.sparkSession
+        return None
     kind = rows.schema[basket].dataType.simpleString()
-    numbered = spark.createDataFrame(
-        [(v, i) for i, v in enumerate(large)], f"{basket} {kind}, _no int"
-    )
-    # the list is limited above, so broadcasting it is safe
-    small = rows.join(F.broadcast(numbered), basket, "left_anti")
-    return small, rows.join(F.broadcast(numbered), basket)
+    return rows.sparkSession.createDataFrame([(v, i) for i, v in enumerate(large)], f"u {kind}, no int")
 
 
 def top_pairs(
@@ -112,137 +79,124 @@ def top_pairs(
     first: str,
     n: int,
     seeds: int = 64,
-    large_basket: int = 200,
-    max_large: int = 1000,
+    large_basket: int = 1000,
+    max_large: int = 8,
+    **tuning,
 ) -> DataFrame:
-    """The ``n`` pairs that share the most baskets. ``rows`` is distinct on basket and node.
+    """The ``n`` pairs that share the most baskets. ``rows`` is distinct on basket and node, and ``first``
+    is the first column of ``node``; the two sides of a pair differ in it.
 
     Ties are ordered by the node columns of a, then b.
     """
-    rows = cut(rows)
-    buyers = cut(rows.groupBy(*node).agg(F.count("*").alias("_buyers")))
+    if node[0] != first:
+        raise ValueError("first must be the first column of node")
+    rows = staged(rows.select(basket, *node), "baskets")
+    buyers = staged(rows.groupBy(*node).agg(F.count("*").alias("_buyers")), "buyers")
     popular = buyers.orderBy(F.desc("_buyers"), *node).limit(seeds)
     seed_rows = rows.join(F.broadcast(popular.select(*node)), node, "left_semi")
     best = expand_pairs(seed_rows, basket, node, first).orderBy(F.desc("together")).limit(n)
     found = best.agg(F.count("*").alias("c"), F.min("together").alias("m")).first()
-    bound = found["m"] if found["c"] == n else 0
-
-    kept = rows
-    if bound > 1:
-        kept = rows.join(buyers.filter(F.col("_buyers") >= bound), node, "left_semi")
-    large = _largest_baskets(kept, basket, large_basket, min(max_large, bound - 1))
-    small_rows, large_rows = _split(kept, basket, large)
-    pairs = expand_pairs(small_rows, basket, node, first)
-    if large_rows is not None:
-        pairs = pairs.filter(F.col("together") >= bound - len(large))
-        pairs = _add_large(pairs, _signature(large_rows, node), node)
+    bound = found["m"] if found["c"] == n else 1
+
+    # numbers in the order of the node columns stand for the nodes; a node's ``n`` is its first column
+    kept = buyers.filter(F.col("_buyers") >= bound).select(*node)
+    nodes = staged(with_row_number(kept, [F.asc(c) for c in node], "no").select("no", *node), "nodes")
+    links = rows.join(nodes, node).select(F.col("no").alias("i"), F.col(basket).alias("u"))
+    links = staged(links, "links")
+    # a pair that shares only baskets without a list shares fewer than ``bound``
+    large = _largest_baskets(links, "u", large_basket, min(max_large, bound - 1))
+    side = (links, nodes.select(F.col("no").alias("i"), F.xxhash64(first).alias("n")))
+    pairs = overlaps(side, side, frequent(bound, n), _numbered(links, "u", large), **tuning)
+    pairs = pairs.filter((F.col("i") < F.col("j")) & (F.col("n") != F.col("nj")))
+    counted = pairs.groupBy("i", "j").agg((F.sum("light") + F.max("shared")).alias("together"))
+    top = counted.orderBy(F.desc("together"), "i", "j").limit(n)
+    for side, no in (("a", "i"), ("b", "j")):
+        names = nodes.select(F.col("no").alias(no), *[F.col(c).alias(f"{side}_{c}") for c in node])
+        top = names.join(F.broadcast(top), no)  # n rows
     keys = [f"a_{c}" for c in node] + [f"b_{c}" for c in node]
-    return pairs.orderBy(F.desc("together"), *keys).limit(n)
-
-
-def cross_counts(left: DataFrame, right: DataFrame, basket: str) -> DataFrame:
-    """(a, b, together): baskets that ``left`` (a, basket) and ``right`` (b, basket) share, a <> b.
-
-    The left rows of a basket are hashed over slices of its right rows, as in ``expand_pairs``.
-    """
-    sizes = right.groupBy(basket).agg(F.ceil(F.count("*") / SLICE).alias("_parts"))
-    hashed = left.join(sizes, basket).withColumn("_slice", F.pmod(F.xxhash64("a"), F.col("_parts")))
-    numbers = F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)
-    copied = right.join(sizes, basket).select("b", basket, F.explode(numbers).alias("_slice"))
-    return (
-        hashed.select("a", basket, "_slice")
-        .join(copied, [basket, "_slice"])
-        .filter("a <> b")
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("together"))
-    )
+    return top.select(*keys, "together").orderBy(F.desc("together"), *keys).limit(n)
 
 
 def _closeness():
     return F.col("together") * F.col("together") / F.col("nj")
 
 
-def cosine_neighbors(
-    rows: DataFrame,
-    item: str,
-    basket: str,
-    k: int,
-    hot: int = 8,
-    hot_basket: int = 1000,
+def nearest(
+    left: DataFrame, right: DataFrame, k: int, hot: int = 8, hot_basket: int = 1000, long: int = LONG, **tuning
 ) -> DataFrame:
+    """(i, n, j, nj, together, rank): the ``k`` items of ``right`` nearest to each item of ``left``, by
+    together^2 / nj, the square of the cosine but for a factor that is the item's own, then by id. An
+    item is not its own neighbour. Both are distinct (i, u).
+    """
+    both = left is right
+    left = staged(left, "left")
+    right = left if both else staged(right, "right")
+    count = F.count("*").alias("n")
+    items = left.groupBy("i").agg(count)
+    others = items if both else right.groupBy("i").agg(count)
+    large = _numbered(right, "u", _largest_baskets(right, "u", hot_basket, min(hot, MOST_BITS)))
+    links = overlaps((left, items), (right, others), closest(k, long), large, **tuning)
+    if large is not None:
+        links = links.unionByName(_links_in_hot_baskets((left, items), (right, others), large, k))
+    counted = links.groupBy("i", "n", "j", "nj").agg((F.sum("light") + F.max("shared")).alias("together"))
+    order = Window.partitionBy("i").orderBy(F.desc(_closeness()), F.asc("j"))
+    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def cosine(together, n, nj):
+    """The cosine of two binary rows, to nine digits."""
+    return half_up(F.col(together) / F.sqrt(F.col(n) * F.col(nj).cast("double")), 9)
+
+
+def cosine_neighbors(rows: DataFrame, item: str, basket: str, k: int, **tuning) -> DataFrame:
     """(item, neighbor, together, similarity, rank_no): the ``k`` most similar items of each item.
 
     Similarity is the cosine of the binary item x basket rows: together / sqrt(n_item x n_neighbor).
     Partners of one item are ranked by together^2 / n_neighbor, the square of the cosine but for a
     factor they share, both here and where candidates are pruned, so the answer does not depend on
-    ``hot`` or ``hot_basket``; equal ones are ordered by the neighbour's id. Only the similarity that
-    is shown is rounded, to nine digits.
-    ``rows`` is distinct on (item, basket).
+    ``tuning``; equal ones are ordered by the neighbour's id. Only the similarity that is shown is rounded,
+    to nine digits. ``rows`` is distinct on (item, basket).
     """
-    rows = cut(rows.select(F.col(item).alias("i"), F.col(basket).alias("u")))
-    counts = rows.groupBy("i").agg(F.count("*").alias("n"))
-    # the buyer count travels with the item, so the far longer pair list needs no join for it
-    rows = cut(join_spread(rows, counts, "i"))
-    large = _largest_baskets(rows, "u", hot_basket, hot)
-    small_rows, large_rows = _split(rows, "u", large)
-    pairs = expand_pairs(small_rows, "u", ["i", "n"], "i")
-    if large_rows is not None:
-        sig = cut(_signature(large_rows, ["i", "n"]))
-        pairs = _add_large(pairs, sig, ["i", "n"])
-
-    def link(x, y):
-        return F.struct(
-            F.col(f"{x}_i").alias("i"),
-            F.col(f"{x}_n").alias("n"),
-            F.col(f"{y}_i").alias("j"),
-            F.col(f"{y}_n").alias("nj"),
-            F.col("together"),
-        )
-
-    links = pairs.select(F.inline(F.array(link("a", "b"), link("b", "a"))))
-    if large_rows is not None:
-        links = (
-            links.unionByName(_links_in_hot_baskets(sig, k))
-            .groupBy("i", "n", "j", "nj")
-            .agg(F.max("together").alias("together"))
-        )
-    cosine = half_up(F.col("together") / F.sqrt(F.col("n") * F.col("nj").cast("double")), 9)
-    order = Window.partitionBy("i").orderBy(F.desc("_key"), F.asc("j"))
-    return (
-        links.select("i", "j", "together", cosine.alias("similarity"), _closeness().alias("_key"))
-        .withColumn("rank_no", long(F.row_number().over(order)))
-        .filter(F.col("rank_no") <= k)
-        .select(F.col("i").alias(item), F.col("j").alias("neighbor"), "together", "similarity", "rank_no")
+    rows = rows.select(F.col(item).alias("i"), F.col(basket).alias("u"))
+    return nearest(rows, rows, k, **tuning).select(
+        F.col("i").alias(item),
+        F.col("j").alias("neighbor"),
+        "together",
+        cosine("together", "n", "nj").alias("similarity"),
+        long(F.col("rank")).alias("rank_no"),
     )
 
 
-def _links_in_hot_baskets(sig: DataFrame, k: int) -> DataFrame:
-    """Partners through hot baskets alone, k+1 candidates per group of items.
+def _links_in_hot_baskets(left, right, large: DataFrame, k: int) -> DataFrame:
+    """Partners through the largest baskets alone, k+1 candidates per group of items in the same ones.
 
     There are at most 2^hot - 1 groups, so everything between groups is small; only the last join
     (items to the candidates of their group) is as long as the item list.
     """
-    per_group = Window.partitionBy("sig").orderBy("n", "i")
-    reps = (
-        sig.withColumn("_r", F.row_number().over(per_group))
-        .filter(F.col("_r") <= k + 1)
-        .select(F.col("sig").alias("rsig"), F.col("i").alias("j"), F.col("n").alias("nj"))
+    (rows, items), (others, other_items) = left, right
+    mine = bits(rows, large)
+    theirs = mine if rows is others else bits(others, large)
+    per_group = Window.partitionBy("rmask").orderBy("nj", "j")
+    members = theirs.join(other_items, "i").select(
+        F.col("mask").alias("rmask"), F.col("i").alias("j"), F.col("n").alias("nj")
     )
-    groups = sig.select("sig").distinct()
+    reps = staged(members.withColumn("_r", F.row_number().over(per_group)).filter(F.col("_r") <= k + 1).drop("_r"), "reps")
+    groups = mine.select("mask").distinct()
     shared = (
-        groups.select("sig", F.explode("sig").alias("_b"))
-        .join(reps.select("rsig", "j", "nj", F.explode("rsig").alias("_b")), "_b")
-        .groupBy("sig", "j", "nj")
+        groups.select("mask", F.explode(bits_of(F.col("mask"))).alias("_b"))
+        .join(reps.select("*", F.explode(bits_of(F.col("rmask"))).alias("_b")), "_b")
+        .groupBy("mask", "j", "nj")
         .agg(F.count("*").alias("together"))
     )
-    per_sig = Window.partitionBy("sig").orderBy(F.desc(_closeness()), F.asc("j"))
+    per_mask = Window.partitionBy("mask").orderBy(F.desc(_closeness()), F.asc("j"))
     candidates = (
-        shared.withColumn("_r", F.row_number().over(per_sig))
+        shared.withColumn("_r", F.row_number().over(per_mask))
         .filter(F.col("_r") <= k + 1)
-        .select("sig", "j", "nj", "together")
+        .select("mask", "j", "nj", F.col("together").alias("shared"))
     )
     return (
-        sig.join(F.broadcast(candidates), "sig")
+        mine.join(F.broadcast(candidates), "mask")
         .filter(F.col("i") != F.col("j"))
-        .select("i", "n", "j", "nj", "together")
+        .join(items, "i")
+        .select("i", "n", "j", "nj", F.lit(0).cast("long").alias("light"), "shared")
     )

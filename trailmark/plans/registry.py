@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from trailmark.operators import (
 from trailmark.session import cut, shared_dir
 from trailmark.sources import files
 from trailmark.sources.tables import Workspace, workspace
+from trailmark.streaming import live
 
 Query = Callable[[Workspace], DataFrame]
 
@@ -433,6 +435,50 @@ QUALITY: dict[str, Query] = {
     "reconcile_metrics": _reconcile,
 }
 
+# --- streaming ---------------------------------------------------------------------------------------
+
+# Longer than the events reach: the files of one folder come in any order, and none of their rows are late.
+DELAY = "100 days"
+
+
+def _event_files(w: Workspace) -> tuple[str, str, str]:
+    """A new folder with the raw events in several files, one for a table, one for a checkpoint."""
+    run = _scratch(w, f"live-{uuid.uuid4().hex}")
+    w.raw.repartitionByRange("timestamp").write.parquet(f"{run}/events")
+    return f"{run}/events", f"{run}/table", f"{run}/checkpoint"
+
+
+def _stream_window_kpi(w: Workspace) -> DataFrame:
+    events, table, checkpoint = _event_files(w)
+    windows = live.user_windows(live.event_stream(w.spark, events, files_per_batch=4), delay=DELAY)
+    live.run_available(live.upserts(windows, table, checkpoint))
+    return live.window_kpi(live.latest(w.spark, table, ["window_start", "user_id"]))
+
+
+def _stream_clean_events(w: Workspace) -> DataFrame:
+    events, table, checkpoint = _event_files(w)
+    cleaned = live.clean_stream(
+        live.event_stream(w.spark, events, files_per_batch=4), DELAY, w.start_ts, w.end_ts
+    )
+    live.run_available(live.appends(cleaned, table, checkpoint))
+    return w.spark.read.parquet(table)
+
+
+def _stream_sessions(w: Workspace) -> DataFrame:
+    events, table, checkpoint = _event_files(w)
+    last = w.raw.agg(F.max("timestamp")).first()[0] or 0
+    live.end_of_input(w.spark, events, last + 101 * 86400)
+    found = live.sessions(live.event_stream(w.spark, events, files_per_batch=4), delay=DELAY)
+    live.run_available(live.appends(found, table, checkpoint))
+    return w.spark.read.parquet(table)
+
+
+STREAMING: dict[str, Query] = {
+    "stream_window_kpi": _stream_window_kpi,
+    "stream_clean_events": _stream_clean_events,
+    "stream_sessions": _stream_sessions,
+}
+
 ALL: dict[str, Query] = {
     **INGEST,
     **KPI,
@@ -445,6 +491,7 @@ ALL: dict[str, Query] = {
     **RECOMMEND,
     **CHURN,
     **QUALITY,
+    **STREAMING,
 }
 
 

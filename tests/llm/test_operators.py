@@ -246,13 +246,31 @@ def test_neighbours_recall(spark, monkeypatch, shard, scaled):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 20 * len(want)
 
 
+def test_neighbours_verify_few_of_clustered_vectors():
+    """Recall over several groups, and how much of the shard is verified, by the product's own count."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(200, 32))
+    x = centres[rng.integers(0, 200, 8000)] + 0.1 * rng.normal(size=(8000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asked = np.arange(0, 8000, 100)
+    hits = 0
+    for row, near, _ in neighbours.nearest(np.arange(8000), x, asked, x[asked], 10, np.arange(8000)):
+        products = x @ x[row]
+        products[row] = -9
+        hits += len(set(near) & set(np.argsort(-products)[:10]))
+    assert hits >= 0.9 * 10 * len(asked)
+
+
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [nan, 1.0]),
             (6, [inf, 1.0]), (7, [None, 1.0]), (8, [2.0, 0.0]), (9, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (20, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in neighbours.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 2.0), (0, 2, 8, 2.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 8, 0.0)]
+    # both rows of id 0 are queries, and candidates of one another; the row without an id is a candidate
+    each = [(0, 1, 1, 2.0), (0, 2, 8, 2.0), (0, 3, 0, 1.0), (0, 4, None, 1.0), (0, 5, 20, 0.0)]
+    last = [(20, 1, None, 1.0), (20, 2, 0, 0.0), (20, 3, 0, 0.0), (20, 4, 1, 0.0), (20, 5, 8, 0.0)]
+    assert got == [r for r in each for _ in range(2)] + last
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
 
 

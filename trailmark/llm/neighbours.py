@@ -22,8 +22,8 @@ from trailmark.llm.common import staged, table
 LINES = 64
 THRESHOLD = 0.5  # share of lines that must collide
 SURE = 1.28  # standard deviations: a neighbour at the last distance is met 9 times out of 10
-FIRST, FINE = 0.05, 1.03  # half width of the first window, and the step of the grid of widths
-COARSE, NEAR = 6, 3  # grid steps of a round before and after a query has found its k
+FIRST, FINE = 0.05, 1.05  # half width of the first window, and the step of the grid of widths
+COARSE, NEAR = 8, 4  # grid steps of a round before and after a query has found its k
 SHARD, SHARD_BYTES = 32_768, 1 << 26  # vectors indexed together, and bytes of them
 BLOCK = 4_096  # queries answered together
 BATCH = 128  # queries whose windows are looked up together
@@ -78,7 +78,7 @@ def nearest(rows: np.ndarray, x: np.ndarray, qrows: np.ndarray, q: np.ndarray, k
                 new = np.flatnonzero((count >= need) & ~seen)
                 seen[new] = True
                 found = np.concatenate([found, new])
-                scores = np.concatenate([scores, x[new] @ query])
+                scores = np.concatenate([scores, x.take(new, axis=0) @ query])
                 last = len(widths) - 1
                 if len(found) >= k:
                     worst = np.partition(scores, -k)[-k]

@@ -388,14 +388,49 @@ def test_repeated_passages_are_found(edge, none):
     assert substrings.repeated_passages(none).count() == 0
 
 
+def test_passages_held_piecewise_by_others_are_found(spark):
+    """Half of a passage stands in a third document too: both holders of the whole are found, and what one
+    document keeps is cut from the others only."""
+    rows, trios = [], []
+    for i in range(30):
+        words, n = prose(60, 700 + i), 3 * i
+        trios.append((n, n + 1, n + 2))
+        rows.append((n, prose(30, 800 + n) + " " + " ".join(words.split()[:30]) + " " + prose(30, 900 + n)))
+        rows += [(n + c, prose(30, 800 + n + c) + " " + words + " " + prose(30, 900 + n + c)) for c in (1, 2)]
+    docs = spark.createDataFrame(rows + [(1000 + i, prose(100, 5000 + i)) for i in range(20)], "doc_id long, text string")
+    passages = substrings.repeated_passages(docs)
+    got = passages.collect()
+    assert {i for t in trios for i in t[1:]} <= {r["doc_id"] for r in got} <= {i for t in trios for i in t}
+    assert all(r["kept"] == (r["first_doc"] == r["doc_id"]) for r in got)
+    cut = {r["doc_id"]: r["text"] for r in substrings.cut_repeats(docs, passages).collect()}
+    texts = dict(rows)
+    for _, b, c in trios:
+        # the second half is kept by the first whole holder alone
+        kept = [r for r in got if r["doc_id"] == b and r["kept"]]
+        assert kept and all(texts[b].encode()[r["start"] : r["start"] + r["n_bytes"]].decode() in cut[b] for r in kept)
+        gone = [len(texts[i]) - len(cut[i]) for i in (b, c)]
+        assert 0 < gone[0] < gone[1]
+
+
+def test_passages_of_51_words_are_found(spark):
+    rows = [
+        (2 * i + c, " ".join((prose(20 + i % 40, 3000 + 2 * i + c), prose(51, 9000 + i), prose(30, 6000 + 2 * i + c))))
+        for i in range(200) for c in range(2)
+    ]
+    clean = [(1000 + i, prose(200, 20_000 + i)) for i in range(30)]
+    docs = spark.createDataFrame(rows + clean, "doc_id long, text string")
+    found = {r["doc_id"] for r in substrings.repeated_passages(docs).collect()}
+    assert len(found & set(range(400))) >= 398 and not found & {i for i, _ in clean}
+
+
 def test_cuts_do_not_depend_on_neighbours_or_shifts():
     text = prose(400, 8).encode()
     alone = [d for *_, d in substrings.chunks([text])][0]
     shifted = b"".join(d for *_, d in substrings.chunks([b"other", b"inserted words " + text]))
-    pieces = lambda d: {d[i : i + 16] for i in range(0, len(d), 16)}
+    pieces = lambda d: {d[i : i + 8] for i in range(0, len(d), 8)}
     assert len(pieces(alone) - pieces(shifted)) <= 1
     big = list(substrings.chunks([b"a" * 300_000]))
-    assert sum(int(x[2].sum()) for x in big) >= 299_000
+    assert sum(int(x[2].sum()) for x in big) >= 299_000  # sizes
 
 
 # --- language models ------------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunking.
 
 A gear hash rolls over the bytes and cuts where it is small, so cuts depend on the 16 bytes before
-them and an insertion moves only the cuts around it. Chunks are compared by a 128-bit digest; runs
+them and an insertion moves only the cuts around it. Chunks are compared by a 64-bit digest; runs
 of chunks that also stand in another document make a repeated passage.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import flat_texts, slices, staged, table
 
-AVERAGE = 32  # bytes between cuts
-SHORTEST = 16  # shorter chunks repeat by chance and are not compared
+AVERAGE = 24  # bytes between cuts
+SHORTEST = 12  # shorter chunks repeat by chance and are not compared
 LONGEST = 1 << 16
 BRIDGE = 48  # bytes without a repeated chunk that a passage may have inside
 MIN_WORDS = 20  # words in the repeated chunks of a passage; its ends lie in chunks that differ
@@ -38,8 +38,9 @@ def gear(buf: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
-    """(text number, start, size, words, digests) of the chunks of at least SHORTEST bytes."""
+def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
+    """(text number, start, size, words before, words, digests) of the chunks of at least SHORTEST bytes.
+    A word belongs to the chunk in which it begins."""
     for lo, hi in slices(texts):
         part = texts[lo:hi]
         gap = bytes(_REACH)  # every text starts from the same state
@@ -63,56 +64,72 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             continue
         space = _GAP[buf]
         heads = np.concatenate([[0], np.cumsum(~space[1:] & space[:-1])])  # word starts up to a place
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_digest
         digests = b"".join([digest(joined[i:j]) for i, j in zip(a.tolist(), b.tolist())])
-        yield lo + owner, a - begin[owner], b - a, heads[b - 1] - heads[a - 1], digests
+        before = heads[a - 1] - heads[begin[owner] - 1]
+        yield lo + owner, a - begin[owner], b - a, before, heads[b - 1] - heads[a - 1], digests
 
 
 def _rows(batches) -> Iterator[dict]:
     for batch, texts in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for owner, start, size, words, digests in chunks(texts):
-            h = np.frombuffer(digests, dtype=">i8").astype(np.int64).reshape(-1, 2)
+        for owner, start, size, before, words, digests in chunks(texts):
+            h = np.frombuffer(digests, dtype=">i8").astype(np.int64)
             # one number for the place: start, size and words
             place = (start.astype(np.int64) << 31) | (size.astype(np.int64) << 14) | np.minimum(words, (1 << 14) - 1)
-            yield {"h1": h[:, 0], "h2": h[:, 1], "doc_id": ids[owner], "place": place}
+            yield {"h": h, "doc_id": ids[owner], "place": place, "before": before}
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, n_bytes, n_words, first_doc, kept): passages that stand in more than one
-    document, as byte spans of the UTF-8 text.
+    """(doc_id, start, n_bytes, n_words, first_doc, kept): passages that stand in other documents, as byte
+    spans of the UTF-8 text, a passage of which different documents keep parts in a row per part.
 
-    ``kept`` is true for the document with the smallest id among those that hold the passage, which
+    A passage may stand in one other document or piecewise in several. ``n_words`` are the words of the
+    whole passage from its first repeated chunk to its last, which must be ``min_words`` or more.
+    ``kept`` is true for the document with the smallest id among those that hold the part, which
     keeps its copy. Documents without such a passage have no row. Null texts are empty, documents
     without an id take no part, repeated rows are one document, an empty table gives no rows.
     """
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = flat_texts(known, ["doc_id"], "h1 long, h2 long, doc_id long, place long", _rows)
+    found = flat_texts(known, ["doc_id"], "h long, doc_id long, place long, before int", _rows)
     found = staged(found, "chunks")
     # a digest may stand in a third of all documents: two ids per task and digest are shuffled
     shared = (
-        found.groupBy("h1", "h2")
+        found.groupBy("h")
         .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
         .where("first_doc <> last_doc")
-        .select("h1", "h2", "first_doc")
+        .select("h", "first_doc")
     )
     size, words = F.expr("(place >> 14) & 131071L"), F.expr("place & 16383L")
-    met = found.join(shared, ["h1", "h2"]).select(
-        "doc_id", F.expr("place >> 31").alias("start"), size.alias("size"), words.alias("words"), "first_doc"
+    met = found.join(shared, "h").select(
+        "doc_id",
+        F.expr("place >> 31").alias("start"),
+        size.alias("size"),
+        "before",
+        (F.col("before") + words).alias("after"),
+        "first_doc",
     )
     met = met.dropDuplicates(["doc_id", "start"]).withColumn("kept", F.col("doc_id") == F.col("first_doc"))
-    order = Window.partitionBy("doc_id", "kept").orderBy("start")
-    before = F.max(F.col("start") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = (F.col("start") - F.coalesce(before, F.lit(-BRIDGE - 1)) > BRIDGE).cast("int")
-    runs = met.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    # whoever else holds a chunk: a passage goes on where its next chunk stands in any other document
+    order = Window.partitionBy("doc_id").orderBy("start")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    end = F.max(F.col("start") + F.col("size")).over(earlier)
+    fresh = F.col("start") - F.coalesce(end, F.lit(-BRIDGE - 1)) > BRIDGE
+    turned = fresh | (F.col("kept") != F.lag("kept").over(order))
+    runs = met.withColumn("fresh", fresh.cast("int")).withColumn("turned", turned.cast("int"))
+    runs = runs.withColumn("run", F.sum("fresh").over(order)).withColumn("piece", F.sum("turned").over(order))
+    pieces = runs.groupBy("doc_id", "run", "piece", "kept").agg(
+        F.min("start").alias("start"),
+        (F.max(F.col("start") + F.col("size")) - F.min("start")).alias("n_bytes"),
+        F.min("before").alias("before"),
+        F.max("after").alias("after"),
+        F.min("first_doc").alias("first_doc"),
+    )
+    whole = Window.partitionBy("doc_id", "run")
+    length = (F.max("after").over(whole) - F.min("before").over(whole)).cast("long")
+    # pieces of one passage that different documents keep are rows of their own
     return (
-        runs.groupBy("doc_id", "kept", "run")
-        .agg(
-            F.min("start").alias("start"),
-            (F.max(F.col("start") + F.col("size")) - F.min("start")).alias("n_bytes"),
-            F.sum("words").alias("n_words"),
-            F.min("first_doc").alias("first_doc"),
-        )
+        pieces.withColumn("n_words", length)
         .where(F.col("n_words") >= min_words)
         .select("doc_id", "start", "n_bytes", "n_words", "first_doc", "kept")
     )

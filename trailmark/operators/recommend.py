@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.columns import RATING_WEIGHTS, half_up, labelled, long, ratio, weighted
 from trailmark.operators.hotkeys import join_spread
 from trailmark.operators.ranking import running_sums, with_row_number
+from trailmark.operators.retrieval import largest_products
 from trailmark.operators.similarity import cosine, cosine_neighbors, nearest
 from trailmark.session import cut, shared_dir
 
@@ -108,21 +109,17 @@ def als_evaluate(model, test: DataFrame) -> DataFrame:
 
 
 def als_recommend(model, users: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """Top ``n`` items of every user with the original ids and the rank."""
-    recs = model.recommendForAllUsers(n).select(
-        "user_idx", F.posexplode("recommendations").alias("p", "r")
-    )
-    return (
-        recs.select(
-            "user_idx",
-            F.col("r.item_idx").alias("item_idx"),
-            F.col("r.rating").cast("double").alias("score"),
-            long(F.col("p") + 1).alias("rank_no"),
-        )
-        .join(users, "user_idx")
-        .join(items, "item_idx")
-        .select("user_id", "item_id", "score", "rank_no")
-    )
+    """Top ``n`` items of every user with the original ids and the rank, scored by the model's factors
+    without meeting every item (``retrieval``). Equal scores go to the smaller item number."""
+    recs = largest_products(model.userFactors, model.itemFactors, n).select(
+        F.col("user").alias("user_idx"),
+        F.col("item").alias("item_idx"),
+        "score",
+        long(F.col("rank")).alias("rank_no"),
+    )
+    # a best seller is in many lists
+    named = join_spread(recs.join(users, "user_idx"), items, "item_idx")
+    return named.select("user_id", "item_id", "score", "rank_no")
 
 
 def recommendations_for(recs: DataFrame, user_id: int) -> DataFrame:

@@ -48,7 +48,7 @@ def test_scans_are_pruned(spark, name):
     assert schemas and all(len(s.split(",")) <= 5 for s in schemas)
 
 
-@pytest.mark.parametrize("name", sorted({n for n in queries() if not n.startswith("op") and n != "pipeline"} - {"churn_gbt", "churn_lr", "churn_model_metrics", "feature_importance", "als_evaluate", "als_recommend", "item_factor_similarity"}))
+@pytest.mark.parametrize("name", sorted({n for n in queries() if not n.startswith("op") and n != "pipeline"} - {"churn_gbt", "churn_lr", "churn_model_metrics", "churn_roc_curves", "feature_importance", "als_evaluate", "als_recommend", "als_sinks", "item_factor_similarity"}))
 def test_no_cartesian_product(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

@@ -76,3 +76,29 @@ def test_proportion_ci(spark):
     half = 1.959964 * math.sqrt(0.2 * 0.8 / 100)
     assert got["ci_low"] == pytest.approx(0.2 - half, abs=1e-5)
     assert got["ci_high"] == pytest.approx(0.2 + half, abs=1e-5)
+
+
+def test_adjusted_p_values(spark):
+    """Against the definition, with ties and an absent p-value."""
+    p = [0.01, 0.04, 0.03, 0.03, 0.5, 0.9, None]
+    frame = spark.createDataFrame([(f"s{i}", v) for i, v in enumerate(p)], "slice string, p_value double")
+    got = {r["slice"]: (r["p_adjusted"], r["discovery"]) for r in experiment.adjusted(frame, ["slice"], 0.06).collect()}
+    known = sorted(v for v in p if v is not None)
+    for i, v in enumerate(p[:-1]):
+        want = min(1.0, min(w * 6 / (k + 1) for k, w in enumerate(known) if w >= v))
+        assert got[f"s{i}"] == (pytest.approx(want, abs=1e-9), int(want <= 0.06))
+    assert got["s6"] == (None, None)
+
+
+def test_segment_arms_count_users_once_a_slice(spark):
+    rows = [(1, "pv", "noon", 7), (1, "buy", "noon", 7), (1, "pv", "night", 8), (2, "buy", "night", 7), (3, "pv", "noon", 7)]
+    behavior = spark.createDataFrame(rows, "user_id long, behavior_type string, time_period string, category_id long")
+    segments = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "user_id long, user_segment string")
+    by = {"segment": "user_segment", "period": "time_period", "category": "category_id"}
+    arms = experiment.segment_arms(behavior, segments, by).collect()
+    got = {(r["dimension"], r["slice"]): (r["n_control"], r["x_control"], r["n_treatment"], r["x_treatment"]) for r in arms}
+    assert got == {
+        ("all", "all"): (1, 1, 2, 1), ("segment", "a"): (1, 1, 1, 1), ("segment", None): (0, 0, 1, 0),
+        ("period", "noon"): (0, 0, 2, 1), ("period", "night"): (1, 1, 1, 0),
+        ("category", "7"): (1, 1, 2, 1), ("category", "8"): (0, 0, 1, 0),
+    }

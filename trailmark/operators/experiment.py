@@ -7,16 +7,16 @@ arithmetic on one row per segment; an ``arms`` frame has, per segment, the colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import (
+    all_rows,
     half_up,
     labelled,
     long,
     nonzero,
     one_row,
-
     ratio,
     sum_counts,
 )
@@ -172,9 +172,56 @@ def daily_arms(ud: DataFrame, group: Column | None = None) -> DataFrame:
     )
 
 
+def segment_arms(behavior: DataFrame, segments: DataFrame, by: dict[str, str], group: Column | None = None) -> DataFrame:
+    """Arms of everyone and of every slice: (dimension, slice) with active users and buyers of each group.
+
+    ``by`` maps dimension names to columns of ``behavior`` or of ``segments``, a row per user. A user is in
+    each slice the user is active in, and a buyer there if an event of the slice is a purchase. Events are
+    grouped once to a row per user and combination of slices, and only those rows meet the grouping sets.
+    """
+    g = parity_group() if group is None else group
+    columns = list(by.values())
+    bought = (F.col("behavior_type") == "buy").cast("int")
+    own = [c for c in columns if c in behavior.columns]
+    units = behavior.groupBy("user_id", *own).agg(F.max(bought).alias("bought")).join(segments, "user_id")
+    units = units.select("user_id", "bought", *[F.col(c).cast("string").alias(c) for c in columns])
+    user = F.col("user_id")
+    sets = [[user], *[[user, F.col(c)] for c in columns]]
+    of = F.lit("all")
+    for name, c in by.items():
+        of = F.when(F.grouping(c) == 0, F.lit(name)).otherwise(of)
+    per_user = units.groupingSets(sets, user, *[F.col(c) for c in columns]).agg(
+        F.max("bought").alias("bought"), of.alias("dimension")
+    )
+    # a slice may be a missing value of its dimension; no set has two dimensions
+    slice_ = F.when(F.col("dimension") == "all", F.lit("all")).otherwise(F.coalesce(*columns))
+    per_user = per_user.select("user_id", "bought", "dimension", slice_.alias("slice"))
+    return per_user.groupBy("dimension", "slice").agg(
+        F.count_if(g == "control").alias("n_control"),
+        F.count_if((g == "control") & (F.col("bought") == 1)).alias("x_control"),
+        F.count_if(g == "treatment").alias("n_treatment"),
+        F.count_if((g == "treatment") & (F.col("bought") == 1)).alias("x_treatment"),
+    )
+
+
 # --- tests -------------------------------------------------------------------------------------------
 
 
+def adjusted(tested: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """Benjamini-Hochberg over all rows of ``tested``, a frame of one row per slice: ``p_adjusted`` is the least
+    p x rows / rank of this row and of those with larger p; ``discovery`` marks those up to ``alpha``. Rows
+    without a p-value are not of the family and get null."""
+    order = [F.asc_nulls_last("p_value"), *[F.asc(c) for c in by]]
+    n = F.count("p_value").over(all_rows())
+    ranked = tested.withColumn("_rank", F.row_number().over(all_rows().orderBy(*order)))
+    ranked = ranked.withColumn("_step", F.col("p_value") * n / F.col("_rank"))
+    larger = all_rows().orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    least = F.when(F.col("p_value").isNotNull(), F.least(F.min("_step").over(larger), F.lit(1.0)))
+    return ranked.select(
+        *tested.columns, half_up(least, 9).alias("p_adjusted"), long(half_up(least, 9) <= alpha).alias("discovery")
+    )
+
+
 def srm_check(arms: DataFrame, share: float = 0.5, by=(), p_value: bool = True) -> DataFrame:
     """Sample-ratio mismatch: chi-square of the observed split against the planned one."""
     total = (F.col("n_control") + F.col("n_treatment")).cast("double")

@@ -150,6 +150,31 @@ def z_test(frame: str, by: str) -> str:
           (x_control + x_treatment) / NULLIF(CAST(n_control + n_treatment AS DOUBLE), 0) AS p FROM {frame})))))"""
 
 
+def _by_segment() -> str:
+    """Slices written out one by one; the least of all larger steps by a join of the slices."""
+    slices = {"'all'": "'all'", "'rf_segment'": "user_segment", "'time_period'": "time_period", "'category'": "CAST(category_id AS VARCHAR)"}
+    sliced = " UNION ALL ".join(
+        f"""SELECT {name} AS dimension, {value} AS slice, user_id, MAX(CASE WHEN behavior_type = 'buy' THEN 1 ELSE 0 END) AS bought
+        FROM ub JOIN (SELECT user_id, user_segment FROM rf) USING (user_id) GROUP BY ALL"""
+        for name, value in slices.items()
+    )
+    counts = ", ".join(
+        f"COUNT(*) FILTER (WHERE {GROUP} = '{g}') AS n_{g}, COUNT(*) FILTER (WHERE {GROUP} = '{g}' AND bought = 1) AS x_{g}"
+        for g in ("control", "treatment")
+    )
+    arms = f"sarms AS (SELECT dimension, slice, {counts} FROM ({sliced}) GROUP BY 1, 2)"
+    tested = f"tested AS ({z_test('sarms', 'dimension, slice')})"
+    steps = """steps AS (SELECT *, p_value * COUNT(p_value) OVER ()
+        / ROW_NUMBER() OVER (ORDER BY p_value NULLS LAST, dimension, slice) AS step,
+        ROW_NUMBER() OVER (ORDER BY p_value NULLS LAST, dimension, slice) AS no FROM tested)"""
+    least = "(CASE WHEN p_value IS NOT NULL THEN (SELECT LEAST(MIN(b.step), 1e0) FROM steps b WHERE b.no >= a.no) END)"
+    return on_days(
+        f"""SELECT * EXCLUDE (adj), {rnd("adj", 9)} AS p_adjusted, {big(f"{rnd('adj', 9)} <= 0.05")} AS discovery
+        FROM (SELECT * EXCLUDE (step, no), {least} AS adj FROM steps a)""",
+        USERS, RF, arms, tested, steps,
+    )
+
+
 def _expectations() -> str:
     """One row per check; predicates written out independently of the library."""
     row = []
@@ -342,6 +367,7 @@ def checks() -> dict[str, str]:
     )
     q["two_proportion_z"] = on_days(z_test("arms", "date"), ARMS)
     q["experiment_p_values"] = q["two_proportion_z"]
+    q["experiment_by_segment"] = _by_segment()
     ec, et = "(n_control * b / t)", "(n_treatment * b / t)"
     gap = f"(ABS(x_control - {ec}) - LEAST(0.5e0, ABS(x_control - {ec})))"
     chi2 = (

@@ -222,7 +222,17 @@ def _p_rounded(tested: DataFrame) -> DataFrame:
 
 BY = ["date"]
 
+def _experiment_by_segment(w: Workspace) -> DataFrame:
+    """Readouts of everyone and of each RF segment, time period and category, with p-values adjusted for all."""
+    rf = segments.rf_scores(w.user_day, top=None).select("user_id", "user_segment")
+    by = {"rf_segment": "user_segment", "time_period": "time_period", "category": "category_id"}
+    arms = experiment.segment_arms(w.behavior, rf, by)
+    keys = ["dimension", "slice"]
+    return experiment.adjusted(_p_rounded(experiment.two_proportion_z(arms, by=keys)), keys)
+
+
 EXPERIMENT: dict[str, Query] = {
+    "experiment_by_segment": _experiment_by_segment,
     "assign_parity": lambda w: experiment.assign_parity(w.user_day),
     "assign_hash": lambda w: experiment.assign_hash(w.user_day),
     "ab_period_summary_pre": lambda w: experiment.ab_period_summary(w.user_day, experiment.PRE),
@@ -287,6 +297,20 @@ def _als_recommend(w: Workspace) -> DataFrame:
     return recommend.als_recommend(model, users, items)
 
 
+def _als_sinks(w: Workspace) -> DataFrame:
+    """Rows and users or items of each file set the ALS job leaves, read back from the files."""
+    folder = _scratch(w, "als")
+    recommend.write_recommendations(_als_recommend(w), _factor_similarity(w), _als_evaluate(w), folder)
+    read = w.spark.read.option("header", True)
+    rows = [
+        read.csv(f"{folder}/recommendations").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("keys")),
+        read.csv(f"{folder}/item_similarity").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("keys")),
+        w.spark.read.json(f"{folder}/metrics").agg(F.count("*").alias("n"), F.count("rmse").alias("keys")),
+    ]
+    named = [r.select(F.lit(x).alias("sink"), "n", "keys") for x, r in zip(("recommendations", "item_similarity", "metrics"), rows)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 def _factor_similarity(w: Workspace) -> DataFrame:
     model, _, _, items = _als(w)
     return recommend.item_factor_similarity(model, items)
@@ -299,6 +323,7 @@ RECOMMEND: dict[str, Query] = {
     "split_ratings": lambda w: recommend.split_ratings(recommend.implicit_ratings(w.behavior)),
     "als_evaluate": _als_evaluate,
     "als_recommend": _als_recommend,
+    "als_sinks": _als_sinks,
     "item_factor_similarity": _factor_similarity,
     "item_cf_similarity": lambda w: recommend.item_cf_similarity(recommend.purchases_of(w.purchases)),
     "item_cf_recommend": lambda w: recommend.item_cf_recommend(
@@ -347,6 +372,15 @@ def _churn_model_metrics(w: Workspace) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def _churn_roc(w: Workspace) -> DataFrame:
+    """The ROC curve of each fitted model, on the users active last."""
+    curves = [
+        churn.roc_points(_scored(w, name, fit)).select(F.lit(name).alias("model"), "threshold", "fpr", "tpr")
+        for name, fit in (("churn_lr", churn.fit_lr), ("churn_gbt", churn.fit_gbt))
+    ]
+    return curves[0].unionByName(curves[1])
+
+
 def _churn_model(w: Workspace, name: str, fit):
     """Held-out split and the model fitted on the rest of it."""
     split = _churn_split(w)
@@ -372,6 +406,7 @@ CHURN: dict[str, Query] = {
     "churn_lr": lambda w: _scored(w, "churn_lr", churn.fit_lr),
     "churn_gbt": lambda w: _scored(w, "churn_gbt", churn.fit_gbt),
     "churn_metrics": lambda w: churn.classification_metrics(_rule_predictions(w)),
+    "churn_roc_curves": _churn_roc,
     "roc_points": lambda w: churn.roc_points(_rule_predictions(w)).select("threshold", "fpr", "tpr"),
     "feature_importance": _importance,
 }

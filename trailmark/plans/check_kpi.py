@@ -112,6 +112,10 @@ def checks() -> dict[str, str]:
         for c in RAW_COLS.split(", ")
     )
     q["clean_events"] = on_events(f"SELECT {RAW_COLS} FROM ub")
+    q["incremental_load"] = on_events(
+        f"""SELECT date, COUNT(*) AS events, COUNT(DISTINCT user_id) AS users, COUNT(*) AS total_actions,
+        {n_of("buy")} AS buy_count FROM ub GROUP BY date"""
+    )
     q["clean_positive"] = f"""WITH {RAW} SELECT DISTINCT {RAW_COLS} FROM raw
         WHERE user_id > 0 AND item_id > 0 AND category_id > 0 AND timestamp > 0
           AND behavior_type IN ('pv', 'fav', 'cart', 'buy')"""

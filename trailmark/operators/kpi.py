@@ -232,8 +232,8 @@ def behavior_ratio(ub: DataFrame) -> DataFrame:
 def behavior_type_stats(ub: DataFrame, approx: bool = False) -> DataFrame:
     """Events, users and items per behaviour.
 
-    The frame has four rows, so each distinct count is reduced per (behaviour, key) first; with
-    ``approx`` a sketch replaces both shuffles on the key.
+    Rows are reduced per (behaviour, key) first, once for each key, so that a busy behaviour is spread over
+    its users or items and no event is copied; with ``approx`` a sketch replaces both shuffles.
     """
     if approx:
         return ub.groupBy("behavior_type").agg(
@@ -241,11 +241,13 @@ def behavior_type_stats(ub: DataFrame, approx: bool = False) -> DataFrame:
             F.approx_count_distinct("user_id").alias("unique_users"),
             F.approx_count_distinct("item_id").alias("unique_items"),
         )
-    return ub.groupBy("behavior_type").agg(
-        F.count("*").alias("total_count"),
-        F.count_distinct("user_id").alias("unique_users"),
-        F.count_distinct("item_id").alias("unique_items"),
+    by_user = ub.groupBy("behavior_type", "user_id").agg(F.count("*").alias("n"))
+    by_user = by_user.groupBy("behavior_type").agg(
+        F.sum("n").alias("total_count"), F.count("user_id").alias("unique_users")
     )
+    by_item = ub.select("behavior_type", "item_id").distinct()
+    by_item = by_item.groupBy("behavior_type").agg(F.count("item_id").alias("unique_items"))
+    return by_user.join(by_item, "behavior_type")  # a row per behaviour on both sides
 
 
 def behavior_distribution(ub: DataFrame) -> DataFrame:
@@ -289,15 +291,20 @@ def hourly_by_behavior(ub: DataFrame) -> DataFrame:
 
 
 def dataset_overview(ub: DataFrame, approx: bool = False) -> DataFrame:
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    return ub.agg(
-        F.count("*").alias("row_count"),
-        distinct("user_id").alias("users"),
-        distinct("item_id").alias("items"),
-        distinct("category_id").alias("categories"),
-        F.min("date").alias("min_date"),
-        F.max("date").alias("max_date"),
-    )
+    """Rows, users, items, categories and dates; each distinct count groups its own column, so no event is
+    copied for another."""
+
+    def distinct(column: str) -> Column:
+        if approx:
+            return F.approx_count_distinct(column)
+        found = ub.select(column).distinct()
+        return one_row(found.agg(F.count(column).alias("n")))("n")
+
+    ends = [F.count("*").alias("row_count"), F.min("date").alias("min_date"), F.max("date").alias("max_date")]
+    names = {"users": "user_id", "items": "item_id", "categories": "category_id"}
+    counts = [distinct(c).alias(n) for n, c in names.items()]
+    one = ub.agg(*ends, *counts) if approx else ub.agg(*ends).select("*", *counts)
+    return one.select("row_count", *names, "min_date", "max_date")
 
 
 # --- slices and cards -------------------------------------------------------------------------------

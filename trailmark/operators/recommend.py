@@ -8,7 +8,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.functions.columns import RATING_WEIGHTS, half_up, labelled, long, ratio, weighted
+from trailmark.functions.columns import RATING_WEIGHTS, half_up, labelled, long, one_row, ratio, weighted
 from trailmark.operators.hotkeys import join_spread
 from trailmark.operators.ranking import running_sums, with_row_number
 from trailmark.operators.retrieval import largest_products
@@ -42,10 +42,10 @@ def active_buyer_ratings(ub: DataFrame, min_buys: int = 2, top: int | None = Non
 
 
 def matrix_sparsity(ratings: DataFrame) -> DataFrame:
-    one = ratings.agg(
-        F.count_distinct("user_id").alias("users"),
-        F.count_distinct("item_id").alias("items"),
-        F.count("*").alias("cells"),
+    by_user = ratings.groupBy("user_id").agg(F.count("*").alias("n"))
+    by_item = ratings.select("item_id").distinct()
+    one = by_user.agg(F.count("user_id").alias("users"), F.coalesce(F.sum("n"), F.lit(0)).alias("cells")).select(
+        "users", one_row(by_item.agg(F.count("item_id").alias("n")))("n").alias("items"), "cells"
     )
     return one.withColumn(
         "sparsity",

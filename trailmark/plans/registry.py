@@ -21,6 +21,7 @@ from trailmark.operators import (
     recommend,
     retention,
     segments,
+    sketches,
 )
 from trailmark.session import cut, shared_dir
 from trailmark.sources import files, incremental
@@ -91,6 +92,10 @@ INGEST: dict[str, Query] = {
     "behavior_type_stats": lambda w: kpi.behavior_type_stats(w.behavior),
     "weekend_purchases": lambda w: kpi.weekend_purchases(w.behavior),
     "validate_dataset": _validate,
+    # estimates from a row per day; the exact figures are those of dataset_overview
+    "sketch_overview": lambda w: sketches.range_overview(
+        sketches.daily_sketches(w.behavior, w.user_day), cleaning.START_DATE, cleaning.END_DATE
+    ),
     "dataset_overview": lambda w: kpi.dataset_overview(w.behavior),
 }
 

@@ -4,12 +4,15 @@ A target and a background bigram model share vocabulary and smoothing, and diffe
 documents they were counted on. A document's score is the mean over its tokens of the target's loss
 minus the background's: the lower, the more it reads like the target.
 
-All words and bigrams are counted, in Spark tables that grow with the corpus; documents meet them in
-joins. A word is a 64-bit hash, a bigram the pair of them.
+All words and bigrams are counted, in Spark jobs that grow with the corpus. A word is a 64-bit hash, a
+bigram the pair of them. Counting and scoring share one shuffle: the places of a text go to buckets of
+their second word, where that word, its bigrams and it as a context are counted, and the counts
+go back to the texts. A place is a few packed bytes on either way, never a row.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,19 +21,24 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark import TaskContext
 
 from trailmark.llm.common import flat_texts, named, staged, table
 
 WEIGHT = 50.0  # pseudo-counts with which a bigram estimate leans on the unigram estimate
-# A word or bigram with more than 1 / BUSY of all tokens is busy: there are fewer than BUSY of them.
-# They are looked up in a broadcast and not joined; no result depends on BUSY.
-BUSY = 1 << 17
-FLUSH = 1 << 21  # tokens whose bigrams a task adds up before it sends them
+# A word with more than 1 / BUSY of all tokens is busy: there are fewer than BUSY of them. Their
+# counts are broadcast, and their bigrams are dealt out one by one. A bigram of a busy word with more than
+# 1 / (BUSY / 4) of all tokens is looked up as well and never sent. No result depends on BUSY.
+BUSY = 1 << 16
+FLUSH = 1 << 20  # tokens that a task packs together
+BUCKET = 1 << 20  # tokens of a bucket, on average
+BUCKETS = 128  # at least
 
 _TURN = 17  # bits that the first word's hash is turned by in a bigram's key
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -121,161 +129,317 @@ def _keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return ((before << np.uint64(_TURN)) | (before >> np.uint64(64 - _TURN))) ^ word
 
 
-def _key() -> Column:
-    """``_keys`` of the columns ``before`` and ``word``."""
-    turned = F.shiftleft("before", _TURN).bitwiseOR(F.shiftrightunsigned("before", 64 - _TURN))
-    return turned.bitwiseXOR(F.col("word"))
+def _packed(*columns: np.ndarray) -> bytes:
+    """The columns byte by byte of their numbers, compressed: high bytes are mostly zero."""
+    planes = [(a.dtype.str, a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for a in columns]
+    return zstandard.compress(pickle.dumps(planes), 1)
 
 
-def bigram_counts(marked: DataFrame, known: frozenset[bytes] | None = None) -> DataFrame:
-    """(before, word, background, target): how often each bigram stands in all rows of ``marked``
-    (text, is_target), and in its target rows. Words outside ``known`` are one class."""
-    shared = marked.sparkSession.sparkContext.broadcast(known)
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    columns = []
+    for kind, data in pickle.loads(zstandard.decompress(blob)):
+        planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+        columns.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+    return columns
 
-    def summed(parts: list) -> dict:
-        before, word, target = (np.concatenate(x) for x in zip(*parts))
-        key = _keys(before, word)
-        order = np.argsort(key)
-        first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-        at = order[first]
-        return {
-            "before": before[at].view(np.int64), "word": word[at].view(np.int64),
-            "background": np.diff(np.append(first, len(order))),
-            "target": np.add.reduceat(target[order].astype(np.int64), first),
-        }
 
-    def work(batches) -> Iterator[dict]:
-        hashes, parts, held = _Hashes(shared.value), [], 0
-        for batch, texts in batches:
-            before, word, size = _pairs(texts, hashes)
-            if len(word):
-                marks = np.array(batch.column("is_target").to_pylist(), bool)
-                parts.append((before, word, np.repeat(marks, size)))
-                held += len(word)
-            if held >= FLUSH:
-                yield summed(parts)
-                parts, held = [], 0
-        if parts:
-            yield summed(parts)
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in ``sorted_keys``, or their number if it is not there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64)
+    at = np.searchsorted(sorted_keys, keys)
+    return np.where(sorted_keys[np.minimum(at, len(sorted_keys) - 1)] == keys, at, len(sorted_keys))
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts ``keys``, and where each key starts in it."""
+    order = np.argsort(keys, kind="stable")
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = np.diff(keys[order]) != 0
+    return order, np.flatnonzero(fresh)
+
+
+def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, how often each stands, and its sums of ``columns``."""
+    order, first = _runs(keys)
+    if not len(first):
+        return keys, np.zeros(0, np.int64), *[np.zeros(0, np.int64) for _ in columns]
+    sums = [np.add.reduceat(c[order].astype(np.int64), first) for c in columns]
+    return keys[order[first]], np.diff(np.append(first, len(keys))), *sums
 
-    found = flat_texts(marked, ["is_target"], "before long, word long, background long, target long", work)
-    return found.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
+def _ends(size: np.ndarray) -> np.ndarray:
+    """True at the last word of each text."""
+    ends = np.zeros(size.sum(), bool)
+    ends[np.cumsum(size)[size > 0] - 1] = True
+    return ends
 
-def _with_counts(rows: DataFrame, counts: DataFrame, key: str, names: tuple[str, str], total: int) -> DataFrame:
-    """``rows`` with the columns ``names``: background and target counts of ``key`` in ``counts``
-    (key, background, target), or 0. Busy keys meet a broadcast, so none crowds a task of the join."""
-    found = counts.select(key, F.col("background").alias(names[0]), F.col("target").alias(names[1]))
-    busy = found.where(F.col(names[0]) * F.lit(BUSY) > total)
-    rest = found.where(F.col(names[0]) * F.lit(BUSY) <= total)
-    left = rows.join(F.broadcast(busy.select(key)), key, "left_anti")
-    met = rows.join(F.broadcast(busy), key).unionByName(left.join(rest.hint("merge"), key, "left"))
-    return met.fillna(0, list(names))
+
+def _flushes(batches, hashes: _Hashes) -> Iterator[tuple]:
+    """Batches and texts joined to about FLUSH tokens: (batches, before, word, size, target of each word)."""
+    held, parts, n = [], [], 0
+    for batch, texts in batches:
+        before, word, size = _pairs(texts, hashes)
+        held.append(batch)
+        parts.append((before, word, size, np.repeat(np.array(batch.column("is_target").to_pylist(), bool), size)))
+        n += len(word) + len(texts)
+        if n >= FLUSH:
+            yield held, *map(np.concatenate, zip(*parts))
+            held, parts, n = [], [], 0
+    if held:
+        yield held, *map(np.concatenate, zip(*parts))
 
 
 @dataclass
 class Models:
-    """Counts of both models over one vocabulary, as tables over all words and bigrams of ``docs``."""
+    """What is known of both models before the bigrams are counted over ``docs``, all of bounded size;
+    pairs of numbers and of arrays are those of the background and of the target."""
 
     docs: DataFrame
+    targets: DataFrame  # (doc_id)
     known: frozenset[bytes] | None  # None: all words
-    pairs: DataFrame  # (before, word, background, target)
-    words: DataFrame  # (word, background, target)
-    contexts: DataFrame  # (before, background, target)
-    totals: tuple[int, int]  # tokens: background, target
+    totals: tuple[int, int]  # tokens
     types: int  # words, and one for all that were never seen
+    names: np.ndarray  # sorted hashes of the busy words and START
+    singles: tuple[np.ndarray, np.ndarray]  # how often each stands
+    contexts: tuple[np.ndarray, np.ndarray]  # how often a word follows it
+    keys: np.ndarray  # sorted keys of the busy bigrams
+    pairs: tuple[np.ndarray, np.ndarray]  # how often each stands
+
+    def constants(self) -> tuple:
+        return self.known, self.totals, self.types, self.names, self.singles, self.contexts, self.keys, self.pairs
+
+
+def _marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """``docs`` with is_target: whether lm__id is an id in ``targets``. Whether the ids are sent to
+    all tasks or both sides are shuffled is left to Spark's check of their size."""
+    ids = targets.select(F.col("doc_id").alias("lm__target")).where("lm__target is not null").distinct()
+    met = docs.join(ids, F.col("lm__id") == F.col("lm__target"), "left")
+    return met.withColumn("is_target", F.col("lm__target").isNotNull()).drop("lm__id", "lm__target")
+
+
+def _tallies(marked: DataFrame, known) -> DataFrame:
+    """(pair, key, n_0, n_1, ends_0, ends_1): every word with its counts, and how often it ends a text;
+    as pairs, bigrams with more than 2 / BUSY of a flush's tokens. A bigram with more than 4 / BUSY of
+    all tokens is among them with more than half its count."""
+    shared = marked.sparkSession.sparkContext.broadcast(known)
+
+    def work(batches) -> Iterator[dict]:
+        for _, before, word, size, target in _flushes(batches, _Hashes(shared.value)):
+            ends = _ends(size)
+            key, n, t, e, te = _sums(word, target, ends, ends & target)
+            yield {"pair": np.zeros(len(key), bool), "key": key.view(np.int64), "n_0": n, "n_1": t, "ends_0": e, "ends_1": te}
+            key, n = _sums(_keys(before, word))
+            often = n * BUSY > 2 * len(word)
+            zero = np.zeros(often.sum(), np.int64)
+            yield {"pair": zero == 0, "key": key[often].view(np.int64), "n_0": n[often], "n_1": zero, "ends_0": zero, "ends_1": zero}
+
+    names = ["n_0", "n_1", "ends_0", "ends_1"]
+    found = flat_texts(marked, ["is_target"], "pair boolean, key long, " + ", ".join(f"{c} long" for c in names), work)
+    return found.groupBy("pair", "key").agg(*[F.sum(c).alias(c) for c in names])
+
 
-    def losses(self, pairs: DataFrame) -> DataFrame:
-        """(key, background, loss_background, loss_target) of ``pairs`` with their counts."""
-        total = self.totals[0]
-        met = _with_counts(pairs, self.words, "word", ("word_0", "word_1"), total)
-        met = _with_counts(met, self.contexts, "before", ("context_0", "context_1"), total)
+def _busy_pairs(marked: DataFrame, known, names: np.ndarray, keys: np.ndarray) -> DataFrame:
+    """(key, n_0, n_1): exact counts of the bigrams ``keys`` whose second word is in ``names``."""
+    shared = marked.sparkSession.sparkContext.broadcast((known, names, keys))
+
+    def work(batches) -> Iterator[dict]:
+        known, names, keys = shared.value
+        for _, before, word, _, target in _flushes(batches, _Hashes(known)):
+            key = _keys(before, word)
+            take = (_find(keys, key) < len(keys)) & (_find(names, word) < len(names))
+            key, n, t = _sums(key[take], target[take])
+            yield {"key": key.view(np.int64), "n_0": n, "n_1": t}
 
-        def loss(k: int, count: str) -> Column:
-            single = (F.col(f"word_{k}") + 1.0) / float(self.totals[k] + self.types)
-            return -F.log((F.col(count) + WEIGHT * single) / (F.col(f"context_{k}") + WEIGHT))
+    found = flat_texts(marked, ["is_target"], "key long, n_0 long, n_1 long", work)
+    return found.groupBy("key").agg(F.sum("n_0").alias("n_0"), F.sum("n_1").alias("n_1"))
 
-        return met.select(
-            _key().alias("key"), "background",
-            loss(0, "background").alias("loss_background"), loss(1, "target").alias("loss_target"),
-        )
+
+def _columns(rows: DataFrame) -> list[np.ndarray]:
+    """A bounded table in the driver, sorted by its first column, which holds hashes."""
+    got = [c.combine_chunks().to_numpy() for c in rows.toArrow().columns]
+    got[0] = got[0].view(np.uint64)
+    order = np.argsort(got[0])
+    return [c[order] for c in got]
 
 
 def train(docs: DataFrame, targets: DataFrame, size: int | None = None) -> Models:
-    """Count both models over all of ``docs``: the background on every document, the target on those
+    """Both models over all of ``docs``: the background on every document, the target on those
     whose id is in ``targets`` (doc_id). With a ``size`` all but the most frequent words are one
-    class; without, every word has its own counts."""
+    class; without, every word has its own counts. Bigrams are counted by ``score``."""
     known = None if size is None else frozenset(vocabulary(docs, size))
-    ids = targets.select(F.col("doc_id").alias("target__id")).where("target__id is not null").distinct()
-    # as many target ids as the corpus may hold: never broadcast
-    marked = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("target__id"), "left").select(
-        "text", F.col("target__id").isNotNull().alias("is_target")
+    marked = _marked(docs.select(F.col("doc_id").alias("lm__id"), "text"), targets)
+    counts = staged(_tallies(marked, known), "words")
+    words = counts.where(~F.col("pair"))
+    types, *sums = words.agg(F.count("*"), *[F.sum(c) for c in ("n_0", "n_1", "ends_0", "ends_1")]).first()
+    totals, starts = [x or 0 for x in sums[:2]], [x or 0 for x in sums[2:]]
+    busy = words.where(F.col("n_0") * F.lit(BUSY) > totals[0])
+    start = np.array([START], np.uint64)  # a context like a word; as a word it does not stand anywhere
+    name, n0, n1, e0, e1 = _columns(busy.select("key", "n_0", "n_1", "ends_0", "ends_1"))  # fewer than BUSY
+    name, n0, n1 = np.append(name, start), np.append(n0, 0), np.append(n1, 0)
+    x0, x1 = np.append(n0[:-1] - e0, starts[0]), np.append(n1[:-1] - e1, starts[1])
+    order = np.argsort(name)
+    name = name[order]
+    often = counts.where(F.col("pair") & (F.col("n_0") * F.lit(BUSY) > 2 * totals[0]))  # fewer than BUSY / 2
+    keys = _columns(often.select("key"))[0]
+    pairs = _columns(_busy_pairs(marked, known, name, keys)) if len(keys) else [keys, np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    return Models(
+        docs, targets, known, tuple(totals), types + 1, name, (n0[order], n1[order]), (x0[order], x1[order]), pairs[0], tuple(pairs[1:])
     )
-    pairs = staged(bigram_counts(marked, known), "pairs")
-    sums = [F.sum("background").alias("background"), F.sum("target").alias("target")]
-    words = staged(pairs.groupBy("word").agg(*sums), "words")
-    contexts = staged(pairs.groupBy("before").agg(*sums), "contexts")
-    types, *totals = words.agg(F.count("*"), *sums).first()
-    return Models(docs, known, pairs, words, contexts, tuple(x or 0 for x in totals), types + 1)
 
 
-def score(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with n_tokens, both losses in nats per token, and their difference."""
-    pairs = models.pairs
-    if not docs.sameSemantics(models.docs):  # bigrams that the models have not met
-        mine = bigram_counts(docs.select("text", F.lit(False).alias("is_target")), models.known)
-        new = mine.select("before", "word").join(pairs.hint("merge"), ["before", "word"], "left_anti")
-        pairs = pairs.unionByName(new.withColumns({"background": F.lit(0), "target": F.lit(0)}))
-    losses = staged(models.losses(pairs), "losses")
-    is_busy = F.col("background") * F.lit(BUSY) > models.totals[0]
-    top = losses.where(is_busy).toPandas().sort_values("key")  # fewer than BUSY rows
-    busy = tuple(top[c].to_numpy() for c in ("key", "loss_background", "loss_target"))
-    shared = docs.sparkSession.sparkContext.broadcast((models.known, busy))
-    kept = [f"keep{i}" for i in range(len(keep))]
+def _sent(rows: DataFrame, shared, kept: list[str], counted: bool, asked: bool, buckets: int) -> DataFrame:
+    """(bucket, flush, head, blob): the places of ``rows`` packed by bucket, and for each flush a head
+    with the columns ``kept``, each text's tokens, and the part of its losses that needs no bucket."""
 
     def work(batches) -> Iterator[dict]:
-        known, (top, *values) = shared.value
-        hashes, row = _Hashes(known), TaskContext.get().partitionId() << 40
-        for batch, texts in batches:
-            before, word, size = _pairs(texts, hashes)
-            doc, key = np.repeat(np.arange(len(texts)), size), _keys(before, word).view(np.int64)
-            place = np.minimum(np.searchsorted(top, key), max(len(top) - 1, 0))
-            met = top[place] == key if len(top) else np.zeros(len(key), bool)
-            first = [np.bincount(doc[met], v[place[met]], len(texts)) for v in values]
-            doc, key = doc[~met], key[~met]
-            order = np.lexsort((key, doc))
-            doc, key = doc[order], key[order]
-            at = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(key) != 0)])[: len(doc)])
-            n, doc, key = np.diff(np.append(at, len(doc))), doc[at], key[at]
-            # a row for the document, with its busy bigrams, and one for each of its others; the first
-            # has a key of its own, as null would send them all to one task
-            heads, none = np.arange(len(texts)), np.full(len(doc), -1)
-            source = np.concatenate([heads, none])
-            index = pa.array(source, mask=source < 0)
-            yield {
-                "row": row + np.concatenate([heads, doc]), "key": np.concatenate([row + heads, key]),
-                "n": np.concatenate([np.zeros(len(texts), np.int64), n]), "head": source >= 0,
-                "n_tokens": np.concatenate([size, 0 * doc]),
-                "busy_background": np.concatenate([first[0], 0.0 * doc]),
-                "busy_target": np.concatenate([first[1], 0.0 * doc]),
-                **{c: batch.column(c).take(index) for c in kept},
-            }
-            row += len(texts)
-
-    given = docs.select(*[named(c).alias(k) for c, k in zip(keep, kept)], "text")
-    types = "".join(f", {k} {given.schema[k].dataType.simpleString()}" for k in kept)
-    ddl = "row long, key long, n long, head boolean, n_tokens long, busy_background double, busy_target double"
-    rows = flat_texts(given, kept, ddl + types, work)
-    met = rows.join(losses.where(~is_busy).drop("background").hint("merge"), "key", "left")
-    mean = lambda k: F.sum(
-        F.col(f"busy_{k}") + F.when(F.col("n") > 0, F.col("n") * F.col(f"loss_{k}")).otherwise(0.0)
-    ) / F.greatest(F.sum("n_tokens"), F.lit(1))
-    out = met.groupBy("row").agg(
-        F.first(F.when(F.col("head"), F.struct(*kept)), ignorenulls=True).alias("kept"),
-        F.sum("n_tokens").alias("n_tokens"), mean("target").alias("loss_target"), mean("background").alias("loss_background"),
-    )
+        known, totals, types, names, singles, contexts, keys, pairs = shared.value
+        flush = (TaskContext.get().partitionId() * 2 + counted) << 32
+        code = np.uint16 if len(names) < 1 << 16 else np.uint32
+        for held, before, word, size, target in _flushes(batches, _Hashes(known)):
+            doc = np.repeat(np.arange(len(size)), size)
+            of_word, of_before, key = _find(names, word), _find(names, before), _keys(before, word)
+            place = np.where(of_word < len(names), _find(keys, key), len(keys))
+            looked, given = place < len(keys), of_before < len(names)
+            out = {"bucket": [], "flush": [], "head": [], "blob": []}
+            if asked:
+                head = pa.Table.from_batches(held).select(kept).append_column("n_tokens", pa.array(size))
+                for k in (0, 1):
+                    single = (singles[k][of_word[looked]] + 1.0) / (totals[k] + types)
+                    gain = np.log(pairs[k][place[looked]] + WEIGHT * single)
+                    norm = np.log(contexts[k][of_before[given]] + WEIGHT)
+                    part = np.bincount(doc[given], norm, len(size)) - np.bincount(doc[looked], gain, len(size))
+                    head = head.append_column(f"part_{k}", pa.array(part))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, head.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(head)
+                out = {"bucket": [flush % buckets], "flush": [flush], "head": [True], "blob": [sink.getvalue().to_pybytes()]}
+            flags = target * 1 + _ends(size) * 2 + counted * 4 + asked * 8
+            # a word that is not busy goes to one bucket with all its bigrams and as a context
+            mixed = np.where(of_word < len(names), key, word) * _MIX
+            bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            # a busy word as a context is known here, and its busy bigrams too
+            rest = np.flatnonzero(~looked)
+            rest = rest[np.lexsort((doc[rest], word[rest], of_word[rest], bucket[rest]))]
+            cuts = np.searchsorted(bucket[rest], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)):
+                at = rest[cuts[b] : cuts[b + 1]]
+                rare = word[at][of_word[at] == len(names)]
+                fresh = np.flatnonzero(np.append(True, rare[1:] != rare[:-1])) if len(rare) else np.zeros(0, np.int64)
+                blob = _packed(
+                    doc[at].astype(np.uint32), flags[at].astype(np.uint8), of_word[at].astype(code), of_before[at].astype(code),
+                    rare[fresh], np.diff(np.append(fresh, len(rare))).astype(np.uint32), before[at][of_before[at] == len(names)],
+                )
+                out["bucket"].append(b)
+                out["flush"].append(flush)
+                out["head"].append(False)
+                out["blob"].append(blob)
+            yield out
+            flush += 1
+
+    return flat_texts(rows, [*kept, "is_target"], "bucket long, flush long, head boolean, blob binary", work)
+
+
+def _per_key(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """For each row, the sums of ``columns`` over the rows of its key."""
+    order, first = _runs(keys)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return [np.bincount(which, c, len(first)).astype(np.int64)[which] for c in columns]
+
+
+def _answers(sent: DataFrame, shared) -> DataFrame:
+    """(flush, head, blob): heads as they came; for each flush's places in a bucket the counts
+    of its bigram and, if the second word is not busy, of the word and of it as a context."""
+    schema = pa.schema([("flush", pa.int64()), ("head", pa.bool_()), ("blob", pa.binary())])
+
+    def work(given: pa.Table) -> pa.Table:
+        names = shared.value[3]
+        out, parts = {"flush": [], "head": [], "blob": []}, []
+
+        def send(flush: int, head: bool, blob: bytes) -> None:
+            for c, v in zip(out, (flush, head, blob)):
+                out[c].append(v)
+
+        for flush, head, blob in zip(*(given.column(c).to_pylist() for c in ("flush", "head", "blob"))):
+            if head:
+                send(flush, head, blob)
+                continue
+            doc, flags, of_word, of_before, rare, times, others = _unpacked(blob)
+            word, before = (np.append(names, names[:1])[c.astype(np.int64)] for c in (of_word, of_before))
+            word[of_word == len(names)] = np.repeat(rare, times)
+            before[of_before == len(names)] = others
+            parts.append((np.full(len(doc), len(parts)), np.full(len(doc), flush), doc, flags, of_word, word, before))
+        if parts:
+            part, flush, doc, flags, of_word, word, before = map(np.concatenate, zip(*parts))
+            del parts
+            counted, target, last = flags & 4 > 0, flags & 5 == 5, flags & 2 > 0
+            pairs = _per_key(_keys(before, word), counted, target)
+            del before
+            own = _per_key(word, counted, target, counted & ~last, target & ~last)
+            ask = np.flatnonzero(flags & 8 > 0)
+            ask = ask[np.lexsort((doc[ask], part[ask]))]
+            cuts = np.flatnonzero(np.append(True, np.diff(part[ask]) != 0)) if len(ask) else []
+            for i, j in zip(cuts, [*cuts[1:], len(ask)]):
+                at = ask[i:j]
+                rare = at[of_word[at] == len(names)]
+                numbers = [last[rare].astype(np.uint8), *(c[rare] for c in own)]
+                step = np.diff(doc[at].astype(np.int64), prepend=0).astype(np.uint32)
+                send(int(flush[at[0]]), False, _packed(step, of_word[at], *(c[at] for c in pairs), *numbers))
+        return pa.table(out, schema)
+
+    return sent.groupBy("bucket").applyInArrow(work, "flush long, head boolean, blob binary")
+
+
+def score(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` with n_tokens, both losses in nats per token, and their difference.
+
+    The models' bigrams are counted in the same shuffle; other documents than those of the models go
+    along with them. Rows must come in the same order when a lost task is run again, as they do from files.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shared = docs.sparkSession.sparkContext.broadcast(models.constants())
+    buckets = max(BUCKETS, -(-models.totals[0] // BUCKET))
+    kept = [f"keep{i}" for i in range(len(keep))]
+    columns = [*[named(c).alias(k) for c, k in zip(keep, kept)], "text"]
+    if docs.sameSemantics(models.docs):
+        rows = _marked(docs.select(*columns, F.col("doc_id").alias("lm__id")), models.targets)
+        sent = _sent(rows, shared, kept, True, True, buckets)
+    else:
+        rows = docs.select(*columns, F.lit(False).alias("is_target"))
+        counted = _marked(models.docs.select("text", F.col("doc_id").alias("lm__id")), models.targets)
+        sent = _sent(rows, shared, kept, False, True, buckets).unionByName(_sent(counted, shared, [], True, False, buckets))
+    result = docs.select(
+        *columns[:-1], F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("loss_target"), F.lit(0.0).alias("loss_background")
+    ).schema
+    arrow = to_arrow_schema(result)
+
+    def work(given: pa.Table) -> pa.Table:
+        _, totals, types, names, singles, *_ = shared.value
+        heads = given.filter(given.column("head")).column("blob").to_pylist()
+        head = pa.ipc.open_stream(heads[0]).read_all()
+        sums = [head.column(f"part_{k}").to_numpy().copy() for k in (0, 1)]
+        for is_head, blob in zip(given.column("head").to_pylist(), given.column("blob").to_pylist()):
+            if is_head:
+                continue
+            step, of_word, *pairs, last, single_0, single_1, context_0, context_1 = _unpacked(blob)
+            doc, busy = np.cumsum(step.astype(np.int64)), of_word < len(names)
+            for k, own, context in ((0, single_0, context_0), (1, single_1, context_1)):
+                n = np.empty(len(doc))
+                n[busy] = singles[k][of_word[busy]]
+                n[~busy] = own
+                loss = -np.log(pairs[k] + WEIGHT * (n + 1.0) / (totals[k] + types))
+                loss[~busy] += np.where(last > 0, 0.0, np.log(context + WEIGHT))
+                sums[k] += np.bincount(doc, loss, len(sums[k]))
+        size = head.column("n_tokens").to_numpy()
+        means = [pa.array(s / np.maximum(size, 1)) for s in sums]
+        arrays = [*(head.column(k) for k in kept), head.column("n_tokens"), means[1], means[0]]
+        return pa.table([a.cast(f.type) for a, f in zip(arrays, arrow)], schema=arrow)
+
+    out = _answers(sent, shared).groupBy("flush").applyInArrow(work, result)
     return out.select(
-        *[F.col(f"kept.{k}").alias(c) for c, k in zip(keep, kept)], "n_tokens", "loss_target", "loss_background",
+        *[F.col(k).alias(c) for c, k in zip(keep, kept)], "n_tokens", "loss_target", "loss_background",
         (F.col("loss_target") - F.col("loss_background")).alias("score"),
     )
 

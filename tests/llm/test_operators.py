@@ -492,6 +492,37 @@ def test_lm_counts_every_word_and_bigram(spark, monkeypatch, busy):
         assert all(by[t] == pytest.approx(w, abs=1e-9) for (_, t), w in zip(given, want))
 
 
+@pytest.mark.parametrize("kind", ["packed", "joined", "text"])
+def test_lm_target_ids(spark, monkeypatch, kind):
+    """Target ids sent to all tasks, or joined as there are too many or they are no numbers; texts in several
+    flushes and buckets; repeated and missing ids."""
+    monkeypatch.setattr(lmscore, "TARGET_IDS", 0 if kind == "joined" else 1 << 23)
+    monkeypatch.setattr(lmscore, "FLUSH", 500)
+    rng = random.Random(4)
+    rows = [(i // 2 if i % 7 else None, " ".join(f"w{min(rng.randrange(300), rng.randrange(300))}" for _ in range(rng.randrange(90)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if kind == "text":
+        docs = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    good = docs.where("right(doc_id, 1) in ('1', '3')").select("doc_id")
+    targets = {i for i in range(60) if i % 10 in (1, 3)}
+    got = lmscore.score(docs, lmscore.train(docs, good.unionByName(good)), ["text"]).collect()
+    want = {t: w for (_, t), w in zip(rows, brute_losses(rows, targets, [t for _, t in rows]))}
+    assert sorted(r["text"] for r in got) == sorted(t for _, t in rows)
+    assert all((r["loss_background"], r["loss_target"]) == pytest.approx(want[r["text"]], abs=1e-9) for r in got)
+
+
+def test_lm_query(spark):
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    docs = [(i, (t or "").encode()) for i, t in docs]  # words are split and lowered as bytes
+    good = {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{SF}/labels.parquet' WHERE quality = 1").fetchall()}
+    want = dict(zip([i for i, _ in docs], brute_losses(docs, good, [t for _, t in docs])))
+    got = registry.QUERIES["op8_lm_score"](spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r["loss_background"], r["loss_target"]) == pytest.approx(want[r["doc_id"]], abs=1e-9)
+        assert r["score"] == r["loss_target"] - r["loss_background"]
+
+
 # --- byte-level BPE -------------------------------------------------------------------------------
 
 

@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark import TaskContext
+from pyspark.sql.types import IntegralType
 
 from trailmark.llm.common import flat_texts, named, staged, table
 
@@ -36,6 +37,9 @@ BUSY = 1 << 16
 FLUSH = 1 << 20  # tokens that a task packs together
 BUCKET = 1 << 20  # tokens of a bucket, on average
 BUCKETS = 128  # at least
+# Whole-number ids of target documents go to all tasks, 64 MB at most; if there are more, or of another
+# type, documents are joined to them, which shuffles the texts in each of the three passes over them.
+TARGET_IDS = 1 << 23
 
 _TURN = 17  # bits that the first word's hash is turned by in a bigram's key
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -175,13 +179,20 @@ def _ends(size: np.ndarray) -> np.ndarray:
     return ends
 
 
-def _flushes(batches, hashes: _Hashes) -> Iterator[tuple]:
+def _flushes(batches, hashes: _Hashes, packed: bytes | None) -> Iterator[tuple]:
     """Batches and texts joined to about FLUSH tokens: (batches, before, word, size, target of each word)."""
     held, parts, n = [], [], 0
+    ids = None if packed is None else np.cumsum(_unpacked(packed)[0])
+
+    def target(mark: pa.Array) -> np.ndarray:
+        if ids is None:
+            return np.array(mark.to_pylist(), bool)
+        return (_find(ids, mark.fill_null(0).to_numpy()) < len(ids)) & mark.is_valid().to_numpy(zero_copy_only=False)
+
     for batch, texts in batches:
         before, word, size = _pairs(texts, hashes)
         held.append(batch)
-        parts.append((before, word, size, np.repeat(np.array(batch.column("is_target").to_pylist(), bool), size)))
+        parts.append((before, word, size, np.repeat(target(batch.column("lm__mark")), size)))
         n += len(word) + len(texts)
         if n >= FLUSH:
             yield held, *map(np.concatenate, zip(*parts))
@@ -190,13 +201,37 @@ def _flushes(batches, hashes: _Hashes) -> Iterator[tuple]:
         yield held, *map(np.concatenate, zip(*parts))
 
 
+@dataclass
+class Targets:
+    """The ids of the target documents: packed, or None and a table of them (lm__target)."""
+
+    packed: bytes | None
+    ids: DataFrame
+
+    def mark(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with lm__mark in place of lm__id: what tells a task whether a row is a target."""
+        if self.packed is not None:
+            return docs.withColumn("lm__mark", F.col("lm__id").cast("long")).drop("lm__id")
+        met = docs.join(self.ids.hint("merge"), F.col("lm__id") == F.col("lm__target"), "left")
+        return met.withColumn("lm__mark", F.col("lm__target").isNotNull()).drop("lm__id", "lm__target")
+
+
+def _targets(docs: DataFrame, targets: DataFrame) -> Targets:
+    ids = targets.select(F.col("doc_id").alias("lm__target")).where("lm__target is not null").distinct()
+    whole = all(isinstance(d.schema["doc_id"].dataType, IntegralType) for d in (docs, targets))
+    if not whole or ids.count() > TARGET_IDS:
+        return Targets(None, ids)
+    values = np.sort(ids.select(F.col("lm__target").cast("long")).toArrow().column(0).combine_chunks().to_numpy())
+    return Targets(_packed(np.diff(values, prepend=0)), ids)
+
+
 @dataclass
 class Models:
     """What is known of both models before the bigrams are counted over ``docs``, all of bounded size;
     pairs of numbers and of arrays are those of the background and of the target."""
 
     docs: DataFrame
-    targets: DataFrame  # (doc_id)
+    targets: Targets
     known: frozenset[bytes] | None  # None: all words
     totals: tuple[int, int]  # tokens
     types: int  # words, and one for all that were never seen
@@ -210,22 +245,15 @@ class Models:
         return self.known, self.totals, self.types, self.names, self.singles, self.contexts, self.keys, self.pairs
 
 
-def _marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """``docs`` with is_target: whether lm__id is an id in ``targets``. Whether the ids are sent to
-    all tasks or both sides are shuffled is left to Spark's check of their size."""
-    ids = targets.select(F.col("doc_id").alias("lm__target")).where("lm__target is not null").distinct()
-    met = docs.join(ids, F.col("lm__id") == F.col("lm__target"), "left")
-    return met.withColumn("is_target", F.col("lm__target").isNotNull()).drop("lm__id", "lm__target")
-
-
-def _tallies(marked: DataFrame, known) -> DataFrame:
+def _tallies(marked: DataFrame, known, packed) -> DataFrame:
     """(pair, key, n_0, n_1, ends_0, ends_1): every word with its counts, and how often it ends a text;
     as pairs, bigrams with more than 2 / BUSY of a flush's tokens. A bigram with more than 4 / BUSY of
     all tokens is among them with more than half its count."""
-    shared = marked.sparkSession.sparkContext.broadcast(known)
+    shared = marked.sparkSession.sparkContext.broadcast((known, packed))
 
     def work(batches) -> Iterator[dict]:
-        for _, before, word, size, target in _flushes(batches, _Hashes(shared.value)):
+        known, packed = shared.value
+        for _, before, word, size, target in _flushes(batches, _Hashes(known), packed):
             ends = _ends(size)
             key, n, t, e, te = _sums(word, target, ends, ends & target)
             yield {"pair": np.zeros(len(key), bool), "key": key.view(np.int64), "n_0": n, "n_1": t, "ends_0": e, "ends_1": te}
@@ -235,23 +263,23 @@ def _tallies(marked: DataFrame, known) -> DataFrame:
             yield {"pair": zero == 0, "key": key[often].view(np.int64), "n_0": n[often], "n_1": zero, "ends_0": zero, "ends_1": zero}
 
     names = ["n_0", "n_1", "ends_0", "ends_1"]
-    found = flat_texts(marked, ["is_target"], "pair boolean, key long, " + ", ".join(f"{c} long" for c in names), work)
+    found = flat_texts(marked, ["lm__mark"], "pair boolean, key long, " + ", ".join(f"{c} long" for c in names), work)
     return found.groupBy("pair", "key").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def _busy_pairs(marked: DataFrame, known, names: np.ndarray, keys: np.ndarray) -> DataFrame:
+def _busy_pairs(marked: DataFrame, known, packed, names: np.ndarray, keys: np.ndarray) -> DataFrame:
     """(key, n_0, n_1): exact counts of the bigrams ``keys`` whose second word is in ``names``."""
-    shared = marked.sparkSession.sparkContext.broadcast((known, names, keys))
+    shared = marked.sparkSession.sparkContext.broadcast((known, packed, names, keys))
 
     def work(batches) -> Iterator[dict]:
-        known, names, keys = shared.value
-        for _, before, word, _, target in _flushes(batches, _Hashes(known)):
+        known, packed, names, keys = shared.value
+        for _, before, word, _, target in _flushes(batches, _Hashes(known), packed):
             key = _keys(before, word)
             take = (_find(keys, key) < len(keys)) & (_find(names, word) < len(names))
             key, n, t = _sums(key[take], target[take])
             yield {"key": key.view(np.int64), "n_0": n, "n_1": t}
 
-    found = flat_texts(marked, ["is_target"], "key long, n_0 long, n_1 long", work)
+    found = flat_texts(marked, ["lm__mark"], "key long, n_0 long, n_1 long", work)
     return found.groupBy("key").agg(F.sum("n_0").alias("n_0"), F.sum("n_1").alias("n_1"))
 
 
@@ -268,8 +296,9 @@ def train(docs: DataFrame, targets: DataFrame, size: int | None = None) -> Model
     whose id is in ``targets`` (doc_id). With a ``size`` all but the most frequent words are one
     class; without, every word has its own counts. Bigrams are counted by ``score``."""
     known = None if size is None else frozenset(vocabulary(docs, size))
-    marked = _marked(docs.select(F.col("doc_id").alias("lm__id"), "text"), targets)
-    counts = staged(_tallies(marked, known), "words")
+    ids = _targets(docs, targets)
+    marked = ids.mark(docs.select(F.col("doc_id").alias("lm__id"), "text"))
+    counts = staged(_tallies(marked, known, ids.packed), "words")
     words = counts.where(~F.col("pair"))
     types, *sums = words.agg(F.count("*"), *[F.sum(c) for c in ("n_0", "n_1", "ends_0", "ends_1")]).first()
     totals, starts = [x or 0 for x in sums[:2]], [x or 0 for x in sums[2:]]
@@ -282,21 +311,22 @@ def train(docs: DataFrame, targets: DataFrame, size: int | None = None) -> Model
     name = name[order]
     often = counts.where(F.col("pair") & (F.col("n_0") * F.lit(BUSY) > 2 * totals[0]))  # fewer than BUSY / 2
     keys = _columns(often.select("key"))[0]
-    pairs = _columns(_busy_pairs(marked, known, name, keys)) if len(keys) else [keys, np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    pairs = _columns(_busy_pairs(marked, known, ids.packed, name, keys)) if len(keys) else [keys, np.zeros(0, np.int64), np.zeros(0, np.int64)]
     return Models(
-        docs, targets, known, tuple(totals), types + 1, name, (n0[order], n1[order]), (x0[order], x1[order]), pairs[0], tuple(pairs[1:])
+        docs, ids, known, tuple(totals), types + 1, name, (n0[order], n1[order]), (x0[order], x1[order]), pairs[0], tuple(pairs[1:])
     )
 
 
-def _sent(rows: DataFrame, shared, kept: list[str], counted: bool, asked: bool, buckets: int) -> DataFrame:
+def _sent(rows: DataFrame, shared, packed, kept: list[str], counted: bool, asked: bool, buckets: int) -> DataFrame:
     """(bucket, flush, head, blob): the places of ``rows`` packed by bucket, and for each flush a head
     with the columns ``kept``, each text's tokens, and the part of its losses that needs no bucket."""
+    ids = rows.sparkSession.sparkContext.broadcast(packed)
 
     def work(batches) -> Iterator[dict]:
         known, totals, types, names, singles, contexts, keys, pairs = shared.value
         flush = (TaskContext.get().partitionId() * 2 + counted) << 32
         code = np.uint16 if len(names) < 1 << 16 else np.uint32
-        for held, before, word, size, target in _flushes(batches, _Hashes(known)):
+        for held, before, word, size, target in _flushes(batches, _Hashes(known), ids.value):
             doc = np.repeat(np.arange(len(size)), size)
             of_word, of_before, key = _find(names, word), _find(names, before), _keys(before, word)
             place = np.where(of_word < len(names), _find(keys, key), len(keys))
@@ -337,7 +367,7 @@ def _sent(rows: DataFrame, shared, kept: list[str], counted: bool, asked: bool,
             yield out
             flush += 1
 
-    return flat_texts(rows, [*kept, "is_target"], "bucket long, flush long, head boolean, blob binary", work)
+    return flat_texts(rows, [*kept, "lm__mark"], "bucket long, flush long, head boolean, blob binary", work)
 
 
 def _per_key(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
@@ -404,12 +434,14 @@ def score(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
     kept = [f"keep{i}" for i in range(len(keep))]
     columns = [*[named(c).alias(k) for c, k in zip(keep, kept)], "text"]
     if docs.sameSemantics(models.docs):
-        rows = _marked(docs.select(*columns, F.col("doc_id").alias("lm__id")), models.targets)
-        sent = _sent(rows, shared, kept, True, True, buckets)
+        rows = models.targets.mark(docs.select(*columns, F.col("doc_id").alias("lm__id")))
+        sent = _sent(rows, shared, models.targets.packed, kept, True, True, buckets)
     else:
-        rows = docs.select(*columns, F.lit(False).alias("is_target"))
-        counted = _marked(models.docs.select("text", F.col("doc_id").alias("lm__id")), models.targets)
-        sent = _sent(rows, shared, kept, False, True, buckets).unionByName(_sent(counted, shared, [], True, False, buckets))
+        rows = docs.select(*columns, F.lit(False).alias("lm__mark"))
+        counted = models.targets.mark(models.docs.select("text", F.col("doc_id").alias("lm__id")))
+        sent = _sent(rows, shared, None, kept, False, True, buckets).unionByName(
+            _sent(counted, shared, models.targets.packed, [], True, False, buckets)
+        )
     result = docs.select(
         *columns[:-1], F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("loss_target"), F.lit(0.0).alias("loss_background")
     ).schema

@@ -147,6 +147,13 @@ def test_suite_passes_except_warnings(spark, w):
     assert all(r["violations"] == 0 for r in got if r["severity"] == "error" and "direction" not in r["check_name"])
 
 
+def test_reconcile_query_sees_differences(w):
+    got = {r["metric"]: r for r in registry.QUALITY["reconcile_metrics"](w).collect()}
+    assert set(got) == {"row_count", "pv_to_buy_pct", "dau_mean", "retention_d1_pct"}
+    assert all(r["passed"] == 1 and r["comparison"] == "equal" for r in got.values())
+    assert got["row_count"]["expected"] == w.behavior.count()
+
+
 def test_reconcile(spark):
     actual = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "metric string, actual double")
     expected = spark.createDataFrame(

@@ -427,13 +427,18 @@ def checks() -> dict[str, str]:
       SELECT 'pv_to_buy_pct' AS metric, pv_to_buy_pct AS actual, e.pv_to_buy AS expected, 'equal' AS comparison,
         {big("ABS(pv_to_buy_pct - e.pv_to_buy) <= 0.01")} AS passed FROM h, e
       UNION ALL SELECT 'dau_mean', dau_mean, e.dau, 'equal', {big("ABS(dau_mean - e.dau) <= 0.1")} FROM h, e
-      UNION ALL SELECT 'retention_d1_pct', retention_d1_pct, 0e0, 'above', {big("retention_d1_pct > 0")} FROM h, e"""
+      UNION ALL SELECT 'retention_d1_pct', retention_d1_pct, e.d1, 'equal', {big("ABS(retention_d1_pct - e.d1) <= 0.01")} FROM h, e
+      UNION ALL SELECT 'row_count', e.per_day, e.n, 'equal', {big("e.per_day = e.n")} FROM e"""
     q["reconcile_metrics"] = q["reconcile_metrics"].replace(
         "WITH h AS (",
         "WITH e AS ("
         + on_events(
             f"""SELECT {n_of("buy")} * 100 / CAST({n_of("pv")} AS DOUBLE) AS pv_to_buy,
-            (SELECT AVG(d) FROM (SELECT COUNT(DISTINCT user_id) AS d FROM ub GROUP BY date)) AS dau FROM ub"""
+            (SELECT AVG(d) FROM (SELECT COUNT(DISTINCT user_id) AS d FROM ub GROUP BY date)) AS dau,
+            (SELECT COUNT(DISTINCT CASE WHEN b.date = f.f + 1 THEN b.user_id END) * 100 / CAST(COUNT(DISTINCT b.user_id) AS DOUBLE)
+             FROM ub b JOIN (SELECT user_id, MIN(date) AS f FROM ub GROUP BY 1) f ON b.user_id = f.user_id) AS d1,
+            CAST((SELECT SUM(n) FROM (SELECT COUNT(*) AS n FROM ub GROUP BY user_id, date)) AS DOUBLE) AS per_day,
+            CAST(COUNT(*) AS DOUBLE) AS n FROM ub"""
         )
         + "),\nh AS (",
         1,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import half_up, long
@@ -454,34 +454,29 @@ def _expectations(w: Workspace) -> DataFrame:
 
 
 def _reconcile(w: Workspace) -> DataFrame:
-    """The headline numbers against the same ones counted from raw events, and two thresholds."""
+    """The headline numbers, and the events in the user-day table, against the same ones counted from
+    the cleaned events."""
     b = w.behavior
-    exact = b.agg(
-        F.count_if(F.col("behavior_type") == "pv").alias("pv"),
-        F.count_if(F.col("behavior_type") == "buy").alias("buy"),
-    ).select(
-        F.lit("pv_to_buy_pct").alias("metric"),
-        (F.col("buy") * 100 / F.col("pv")).alias("expected"),
-        F.lit(0.01).alias("tolerance"),
-        F.lit("equal").alias("comparison"),
-    )
-    daily = b.groupBy("date").agg(F.count_distinct("user_id").alias("d")).agg(F.avg("d").alias("m"))
-    exact = exact.unionByName(
-        daily.select(
-            F.lit("dau_mean").alias("metric"),
-            F.col("m").alias("expected"),
-            F.lit(0.1).alias("tolerance"),
-            F.lit("equal").alias("comparison"),
-        )
-    ).unionByName(
-        daily.select(
-            F.lit("retention_d1_pct").alias("metric"),
-            F.lit(0.0).alias("expected"),
-            F.lit(0.0).alias("tolerance"),
-            F.lit("above").alias("comparison"),
+
+    def expected(frame: DataFrame, metric: str, value: Column, tolerance: float) -> DataFrame:
+        return frame.agg(value.cast("double").alias("expected")).select(
+            F.lit(metric).alias("metric"), "expected", F.lit(tolerance).alias("tolerance"), F.lit("equal").alias("comparison")
         )
+
+    rate = F.count_if(F.col("behavior_type") == "buy") * 100 / F.count_if(F.col("behavior_type") == "pv")
+    days = b.select("user_id", "date").distinct()
+    first = days.groupBy("user_id").agg(F.min("date").alias("first_date"))
+    gap = days.join(first, "user_id").withColumn("gap", F.date_diff("date", "first_date"))
+    exact = (
+        expected(b, "row_count", F.count("*"), 0.0)
+        .unionByName(expected(b, "pv_to_buy_pct", rate, 0.01))
+        .unionByName(expected(days.groupBy("date").agg(F.count("*").alias("dau")), "dau_mean", F.avg("dau"), 0.1))
+        .unionByName(expected(
+            gap, "retention_d1_pct", F.count_if(F.col("gap") == 1) * 100 / F.count_if(F.col("gap") == 0), 0.01
+        ))
     )
-    return quality.reconcile_metrics(kpi.metric_rows(b, w.user_day), exact)
+    rows = w.user_day.agg(F.sum("total_actions").cast("double").alias("actual")).select(F.lit("row_count").alias("metric"), "actual")
+    return quality.reconcile_metrics(kpi.metric_rows(b, w.user_day).unionByName(rows), exact)
 
 
 QUALITY: dict[str, Query] = {

@@ -154,6 +154,13 @@ def test_reconcile_query_sees_differences(w):
     assert got["row_count"]["expected"] == w.behavior.count()
 
 
+def test_run_summary(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", None)], "metric string, value long")
+    files.write_summary([("one", rows), ("two", rows.limit(0)), ("three", rows.withColumn("more", F.lit(1)))], str(tmp_path / "s"))
+    got = {(r["section"], r["metric"], r["value"]) for r in files.read_summary(spark, str(tmp_path / "s")).collect()}
+    assert got == {("one", "a", 1.0), ("one", "b", None), ("three", "a", 1.0), ("three", "b", None)}
+
+
 def test_reconcile(spark):
     actual = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "metric string, actual double")
     expected = spark.createDataFrame(

@@ -443,6 +443,21 @@ def checks() -> dict[str, str]:
         + "),\nh AS (",
         1,
     )
+    figures = [
+        ("headline", head, [(c, c) for c in (
+            "dau_mean", "pv_to_buy_pct", "pv_to_cart_pct", "cart_to_buy_pct", "retention_d1_pct",
+            "zero_conversion_items", "zero_conversion_item_share_pct",
+        )]),
+        ("reconciliation", q["reconcile_metrics"], [("metrics", "COUNT(*)"), ("passed", "SUM(passed)")]),
+        ("experiment", q["two_proportion_z"], [
+            ("days", "COUNT(*)"), ("significant_days", "COUNT(*) FILTER (WHERE p_value < 0.05)"),
+        ]),
+        ("experiment", q["srm_check"], [("unbalanced_days", "COUNT(*) FILTER (WHERE balanced = 0)")]),
+    ]
+    q["run_summary"] = "\nUNION ALL ".join(
+        f"SELECT '{section}' AS section, '{metric}' AS metric, CAST({value} AS DOUBLE) AS value FROM ({sql})"
+        for section, sql, values in figures for metric, value in values
+    )
     q["validate_dataset"] = on_events(
         """SELECT 'missing columns' AS "check", c AS detail, CAST(1 AS BIGINT) AS violations
         FROM (VALUES ('date'), ('hour'), ('day_of_week'), ('is_weekend'), ('time_period')) t(c)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.functions.columns import half_up, long
+from trailmark.functions.columns import half_up, long, unpivot_row
 from trailmark.operators import (
     anomaly,
     churn,
@@ -479,7 +479,28 @@ def _reconcile(w: Workspace) -> DataFrame:
     return quality.reconcile_metrics(kpi.metric_rows(b, w.user_day).unionByName(rows), exact)
 
 
+def _run_summary(w: Workspace) -> DataFrame:
+    """The headline numbers, how many were reconciled, and on how many days the experiment's arms
+    differ or are out of balance, written as a file and read back."""
+    tests = _p_rounded(experiment.two_proportion_z(_arms(w), by=BY))
+    srm = _p_rounded(experiment.srm_check(_arms(w), by=BY))
+
+    def counted(frame: DataFrame, **values: Column) -> DataFrame:
+        one = frame.agg(*[v.alias(k) for k, v in values.items()])
+        return unpivot_row(one, [(k, F.col(k)) for k in values], ["metric", "value"])
+
+    path = _scratch(w, f"summary-{uuid.uuid4().hex}")
+    files.write_summary([
+        ("headline", kpi.metric_rows(w.behavior, w.user_day).withColumnRenamed("actual", "value")),
+        ("reconciliation", counted(_reconcile(w), metrics=F.count("*"), passed=F.sum("passed"))),
+        ("experiment", counted(tests, days=F.count("*"), significant_days=F.count_if(F.col("p_value") < 0.05))),
+        ("experiment", counted(srm, unbalanced_days=F.count_if(F.col("balanced") == 0))),
+    ], path)
+    return files.read_summary(w.spark, path)
+
+
 QUALITY: dict[str, Query] = {
+    "run_summary": _run_summary,
     "expectations": _expectations,
     "reconcile_metrics": _reconcile,
 }

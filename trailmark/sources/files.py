@@ -114,6 +114,20 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", single_file: bool =
     writer.format(fmt).save(path)
 
 
+def write_summary(metrics: list[tuple[str, DataFrame]], path: str) -> None:
+    """Leave the figures of a run as JSON lines (section, metric, value) in one file; each of ``metrics``
+    is a section with its few (metric, value) rows."""
+    rows = None
+    for section, frame in metrics:
+        part = frame.select(F.lit(section).alias("section"), "metric", F.col("value").cast("double").alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    write_report(rows, path, "json")
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("section string, metric string, value double").json(path)
+
+
 def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
     """Materialise a modelled table in the catalog (``append`` for an incremental load)."""
     if mode == "append" and df.sparkSession.catalog.tableExists(name):

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,31 @@ def test_two_hundred_baskets_of_five_thousand(spark):
     assert got == {i: [(5000 * (i // 5000) + d, 1) for d in (1, 2, 3)] for i in range(12346, 1_000_000, 25000)}
 
 
+@pytest.mark.parametrize("tuning", [dict(), dict(hot=3, hot_basket=20, busy=100)], ids=str)
+def test_baskets_may_lie_in_several_packed_rows(spark, tuning):
+    """Rows are packed a few at a time, with negative ids among them."""
+    rows = [(i - 70, u) for i, u in skewed(5)]
+    got = similarity.nearest(frame(spark, rows), frame(spark, rows), 5, held=7, **tuning).collect()
+    assert {(r["i"], r["j"], r["together"], r["rank"]) for r in got} == brute_nearest(rows, rows, 5)
+
+
+def test_lists_travel_packed():
+    """A block gets one row for all its lists, with as many bytes a number as the largest one needs."""
+    rng = np.random.default_rng(1)
+    i = np.concatenate([np.sort(rng.choice(60_000, 40, replace=False)) for _ in range(500)])
+    rows = pa.table({
+        "u": np.repeat(np.arange(500), 40), "i": i, "nj": np.full(len(i), 30),
+        "kind": np.full(len(i), overlap.LISTED + overlap.ASKED), "to_block": i % 10,
+    })
+    for later, most in ((False, 4), (True, 3)):
+        pack, _ = overlap._packing(later, 1 << 20)
+        out = pa.Table.from_batches(pack(iter(rows.to_batches())))
+        assert sorted(out["to_block"].to_pylist()) == list(range(10))
+        sent = sum(overlap._numbers(r["sizes"], r["lists"]).sum() for r in out.to_pylist())
+        assert out.nbytes < most * sent + 6 * len(i)
+        assert (sent < 0.85 * 500 * 10 * 40) == later
+
+
 def test_lists_go_to_few_blocks(spark):
     """A list is sent to the blocks of the items it is the largest of, not to all blocks."""
     rows = frame(spark, [(i, i // 500) for i in range(5000)])

@@ -229,3 +229,24 @@ def test_similarity_reads_every_row(spark):
     ub = spark.createDataFrame(rows, "user_id long, item_id long, category_id long, behavior_type string")
     assert recommend.active_matrix(ub).count() == len(rows)
     assert recommend.active_buyer_ratings(ub).select("user_id").distinct().count() == 1200
+
+
+def test_neighbour_scores_shuffle_no_row_per_item(spark):
+    """Sums over the neighbours' lists, without owned items; equal rounded scores stay side by side."""
+    rng = random.Random(6)
+    owned = sorted({(u, rng.randrange(40)) for u in range(30) for _ in range(8)})
+    near = [(u, v, s) for u in range(30) for v, s in ((v, rng.choice([0.5, 0.250000001, 0.25])) for v in rng.sample(range(30), 4))]
+    matrix = spark.createDataFrame(owned, "user_id long, item_id long")
+    met = spark.createDataFrame(near, "user_id long, similar_user long, similarity double")
+    scores = recommend._neighbor_scores(matrix, met, matrix, 3)
+    assert "item_id" not in " ".join(x for x in scores._jdf.queryExecution().toString().splitlines() if "hashpartitioning" in x.split("[")[0])
+    lists = defaultdict(set)
+    for u, i in owned:
+        lists[u].add(i)
+    want = defaultdict(lambda: defaultdict(float))
+    for u, v, s in near:
+        for i in lists[v] - lists[u]:
+            want[u][i] += s
+    want = {(u, i, x + 1) for u, c in want.items() for x, i in enumerate(sorted(c, key=lambda i: (-round(c[i], 6), i))[:3])}
+    got = recommend._top_per_user(scores, 3).collect()
+    assert {(r["user_id"], r["item_id"], r["rank_no"]) for r in got} == want

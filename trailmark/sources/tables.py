@@ -101,7 +101,7 @@ class Workspace:
             if by:
                 df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
             else:
-                df.hint("rebalance").write.mode("overwrite").parquet(path)
+                df.write.mode("overwrite").parquet(path)  # as the last join leaves it: no shuffle for the files' sake
         return self.spark.read.parquet(path)
 
     def _bucketed(self, name: str, build: Callable[[], DataFrame], key: str, sort: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -511,6 +512,32 @@ def test_lm_target_ids(spark, monkeypatch, kind):
     assert all((r["loss_background"], r["loss_target"]) == pytest.approx(want[r["text"]], abs=1e-9) for r in got)
 
 
+@pytest.mark.parametrize("top", [3, 1 << 20, 1 << 40])  # the last does not fit one number with the others
+def test_lm_orders_by_one_number(top):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 40, 5000), rng.integers(0, top, 5000)
+    assert lmscore._order(a, b).tolist() == np.lexsort((b, a)).tolist()
+    assert lmscore._order(a[:0], b[:0]).tolist() == []
+
+
+def test_lm_numbers_words_once_for_all_flushes(monkeypatch):
+    monkeypatch.setattr(lmscore, "FLUSH", 4)
+    hashed = []
+    real = lmscore._hash
+    monkeypatch.setattr(lmscore, "_hash", lambda w: hashed.append(w) or real(w))
+    batch = pa.RecordBatch.from_pydict({"lm__mark": pa.array([1, None], pa.int64())})
+    texts = [[b"a B a", b"b c"], [b"", b"c a"], [b"B", b"x"]]
+    for known, start in ((None, ["a", "b", "c", "x"]), (frozenset([b"a", b"b"]), ["a", "b"])):
+        hashed.clear()
+        got = list(lmscore._flushes(((batch, t) for t in texts), known, lmscore._packed(np.array([1]))))
+        assert [w.decode() for w in hashed] == start
+        words = [real(w) if known is None or w in known else lmscore.OTHER for t in texts for x in t for w in x.lower().split()]
+        assert np.concatenate([h[w] for _, h, _, w, _, _ in got]).tolist() == words
+        befores = np.concatenate([h[b] for _, h, b, _, _, _ in got])
+        assert (befores == lmscore.START).tolist() == [True, False, False, True, False, True, False, True, True]
+        assert np.concatenate([t for *_, t in got]).tolist() == [True] * 3 + [False] * 4 + [True, False]
+
+
 def test_lm_query(spark):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
     docs = [(i, (t or "").encode()) for i, t in docs]  # words are split and lowered as bytes

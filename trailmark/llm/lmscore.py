@@ -12,7 +12,9 @@ go back to the texts. A place is a few packed bytes on either way, never a row.
 
 from __future__ import annotations
 
+import math
 import pickle
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +45,7 @@ TARGET_IDS = 1 << 23
 
 _TURN = 17  # bits that the first word's hash is turned by in a bigram's key
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SCREEN = np.uint64(42)  # a key without these low bits is one of 2^22
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -103,28 +106,39 @@ def _hash(word: bytes) -> int:
 START, OTHER = _hash(b" "), _hash(b"  ")
 
 
-class _Hashes(dict):
-    """Hash of a word, or of OTHER if it is not among ``known``; words seen before are remembered."""
+class _Numbers(dict):
+    """A small number for each word as it comes, with each number's hash in ``hashes``: 0 is the start of
+    a text, 1 any word that is not among ``known``."""
 
     def __init__(self, known: frozenset[bytes] | None):
         super().__init__()
         self.known = known
+        self.hashes = array("Q", [START, OTHER])
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if self.known is not None and word not in self.known:
+            n = 1
+        else:
+            n = len(self.hashes)
+            self.hashes.append(_hash(word))
+        self[word] = n
+        return n
+
+    def forget(self) -> None:
+        """Begins anew when there are many words; numbers given out before mean nothing from then on."""
+        if len(self) >= 1 << 19:
             self.clear()
-        h = self[word] = _hash(word) if self.known is None or word in self.known else OTHER
-        return h
+            self.hashes = array("Q", [START, OTHER])
 
 
-def _pairs(texts: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's hash, that of the word (or start of a text) before it, and the words of each text."""
+def _pairs(texts: list[bytes], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's number, that of the word (or start of a text) before it, and the words of each text."""
     lists = [_words(t) for t in texts]
     size = np.array([len(ws) for ws in lists], dtype=np.int64)
-    word = np.fromiter((hashes[w] for ws in lists for w in ws), np.uint64, size.sum())
+    word = np.fromiter(map(numbers.__getitem__, chain.from_iterable(lists)), np.int32, size.sum())
     before = np.empty_like(word)
     before[1:] = word[:-1]
-    before[(np.cumsum(size) - size)[size > 0]] = START
+    before[(np.cumsum(size) - size)[size > 0]] = 0
     return before, word, size
 
 
@@ -155,21 +169,39 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[np.minimum(at, len(sorted_keys) - 1)] == keys, at, len(sorted_keys))
 
 
+def _screen(keys: np.ndarray) -> np.ndarray:
+    """For the upper bits of a key, whether any of ``keys`` has them: most others need not be looked up."""
+    maybe = np.zeros(1 << (64 - int(_SCREEN)), bool)
+    maybe[keys >> _SCREEN] = True
+    return maybe
+
+
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that sorts ``keys``, and where each key starts in it."""
-    order = np.argsort(keys, kind="stable")
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = np.diff(keys[order]) != 0
-    return order, np.flatnonzero(fresh)
+    """An order that sorts ``keys``, and where each key starts in it; equal keys come in any order."""
+    order = np.argsort(keys)
+    return order, _firsts(keys[order])
 
 
-def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, how often each stands, and its sums of ``columns``."""
-    order, first = _runs(keys)
-    if not len(first):
-        return keys, np.zeros(0, np.int64), *[np.zeros(0, np.int64) for _ in columns]
-    sums = [np.add.reduceat(c[order].astype(np.int64), first) for c in columns]
-    return keys[order[first]], np.diff(np.append(first, len(keys))), *sums
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each key of a sorted column starts."""
+    fresh = np.ones(len(ordered), bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """The order of rows by ``keys``, whole numbers from 0 on, the first of them foremost; then as they come."""
+    n = len(keys[0])
+    tops = [int(k.max()) + 1 if n else 1 for k in keys]
+    if math.prod(tops) * (n + 1) >= 1 << 63:
+        return np.lexsort(keys[::-1])
+    # one number holds keys and place: sorting numbers is several times faster than sorting by columns
+    packed = np.zeros(n, np.int64)
+    for k, top in zip(keys, tops):
+        packed = packed * top + k
+    packed = packed * (n + 1) + np.arange(n)
+    packed.sort()
+    return packed % (n + 1)
 
 
 def _ends(size: np.ndarray) -> np.ndarray:
@@ -179,8 +211,16 @@ def _ends(size: np.ndarray) -> np.ndarray:
     return ends
 
 
-def _flushes(batches, hashes: _Hashes, packed: bytes | None) -> Iterator[tuple]:
-    """Batches and texts joined to about FLUSH tokens: (batches, before, word, size, target of each word)."""
+def _last_words(word: np.ndarray, size: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last word of each text, and of each target document's."""
+    last = np.cumsum(size)[size > 0] - 1
+    return word[last], word[last[target[last]]]
+
+
+def _flushes(batches, known: frozenset[bytes] | None, packed: bytes | None) -> Iterator[tuple]:
+    """Batches and texts joined to about FLUSH tokens: (batches, hash of each number, before, word, size,
+    target of each word), words as numbers."""
+    numbers = _Numbers(known)
     held, parts, n = [], [], 0
     ids = None if packed is None else np.cumsum(_unpacked(packed)[0])
 
@@ -190,15 +230,16 @@ def _flushes(batches, hashes: _Hashes, packed: bytes | None) -> Iterator[tuple]:
         return (_find(ids, mark.fill_null(0).to_numpy()) < len(ids)) & mark.is_valid().to_numpy(zero_copy_only=False)
 
     for batch, texts in batches:
-        before, word, size = _pairs(texts, hashes)
+        before, word, size = _pairs(texts, numbers)
         held.append(batch)
         parts.append((before, word, size, np.repeat(target(batch.column("lm__mark")), size)))
         n += len(word) + len(texts)
         if n >= FLUSH:
-            yield held, *map(np.concatenate, zip(*parts))
+            yield held, np.array(numbers.hashes, np.uint64), *map(np.concatenate, zip(*parts))
             held, parts, n = [], [], 0
+            numbers.forget()
     if held:
-        yield held, *map(np.concatenate, zip(*parts))
+        yield held, np.array(numbers.hashes, np.uint64), *map(np.concatenate, zip(*parts))
 
 
 @dataclass
@@ -253,11 +294,14 @@ def _tallies(marked: DataFrame, known, packed) -> DataFrame:
 
     def work(batches) -> Iterator[dict]:
         known, packed = shared.value
-        for _, before, word, size, target in _flushes(batches, _Hashes(known), packed):
-            ends = _ends(size)
-            key, n, t, e, te = _sums(word, target, ends, ends & target)
-            yield {"pair": np.zeros(len(key), bool), "key": key.view(np.int64), "n_0": n, "n_1": t, "ends_0": e, "ends_1": te}
-            key, n = _sums(_keys(before, word))
+        for _, hashes, before, word, size, target in _flushes(batches, known, packed):
+            n, t, e, te = (np.bincount(w, minlength=len(hashes)) for w in (word, word[target], *_last_words(word, size, target)))
+            there = np.flatnonzero(n)
+            key = hashes[there].view(np.int64)
+            yield {"pair": np.zeros(len(key), bool), "key": key, "n_0": n[there], "n_1": t[there], "ends_0": e[there], "ends_1": te[there]}
+            keys = np.sort(_keys(hashes[before], hashes[word]))
+            first = _firsts(keys)
+            key, n = keys[first], np.diff(np.append(first, len(keys)))
             often = n * BUSY > 2 * len(word)
             zero = np.zeros(often.sum(), np.int64)
             yield {"pair": zero == 0, "key": key[often].view(np.int64), "n_0": n[often], "n_1": zero, "ends_0": zero, "ends_1": zero}
@@ -273,11 +317,16 @@ def _busy_pairs(marked: DataFrame, known, packed, names: np.ndarray, keys: np.nd
 
     def work(batches) -> Iterator[dict]:
         known, packed, names, keys = shared.value
-        for _, before, word, _, target in _flushes(batches, _Hashes(known), packed):
-            key = _keys(before, word)
-            take = (_find(keys, key) < len(keys)) & (_find(names, word) < len(names))
-            key, n, t = _sums(key[take], target[take])
-            yield {"key": key.view(np.int64), "n_0": n, "n_1": t}
+        maybe = _screen(keys)
+        for _, hashes, before, word, _, target in _flushes(batches, known, packed):
+            at = np.flatnonzero((_find(names, hashes) < len(names))[word])
+            key = _keys(hashes[before[at]], hashes[word[at]])
+            found = np.flatnonzero(maybe[key >> _SCREEN])
+            place, at = _find(keys, key[found]), at[found]
+            n = np.bincount(place, minlength=len(keys) + 1)[:-1]
+            t = np.bincount(place[target[at]], minlength=len(keys) + 1)[:-1]
+            there = np.flatnonzero(n)
+            yield {"key": keys[there].view(np.int64), "n_0": n[there], "n_1": t[there]}
 
     found = flat_texts(marked, ["lm__mark"], "key long, n_0 long, n_1 long", work)
     return found.groupBy("key").agg(F.sum("n_0").alias("n_0"), F.sum("n_1").alias("n_1"))
@@ -326,10 +375,14 @@ def _sent(rows: DataFrame, shared, packed, kept: list[str], counted: bool, asked
         known, totals, types, names, singles, contexts, keys, pairs = shared.value
         flush = (TaskContext.get().partitionId() * 2 + counted) << 32
         code = np.uint16 if len(names) < 1 << 16 else np.uint32
-        for held, before, word, size, target in _flushes(batches, _Hashes(known), ids.value):
-            doc = np.repeat(np.arange(len(size)), size)
-            of_word, of_before, key = _find(names, word), _find(names, before), _keys(before, word)
-            place = np.where(of_word < len(names), _find(keys, key), len(keys))
+        maybe = _screen(keys)
+        for held, hashes, before, word, size, target in _flushes(batches, known, ids.value):
+            doc = np.repeat(np.arange(len(size), dtype=np.uint32), size)
+            name = _find(names, hashes)
+            of_word, of_before, key = name[word], name[before], _keys(hashes[before], hashes[word])
+            place = np.full(len(word), len(keys))
+            found = np.flatnonzero((of_word < len(names)) & maybe[key >> _SCREEN])
+            place[found] = _find(keys, key[found])
             looked, given = place < len(keys), of_before < len(names)
             out = {"bucket": [], "flush": [], "head": [], "blob": []}
             if asked:
@@ -346,19 +399,21 @@ def _sent(rows: DataFrame, shared, packed, kept: list[str], counted: bool, asked
                 out = {"bucket": [flush % buckets], "flush": [flush], "head": [True], "blob": [sink.getvalue().to_pybytes()]}
             flags = target * 1 + _ends(size) * 2 + counted * 4 + asked * 8
             # a word that is not busy goes to one bucket with all its bigrams and as a context
-            mixed = np.where(of_word < len(names), key, word) * _MIX
-            bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             # a busy word as a context is known here, and its busy bigrams too
             rest = np.flatnonzero(~looked)
-            rest = rest[np.lexsort((doc[rest], word[rest], of_word[rest], bucket[rest]))]
-            cuts = np.searchsorted(bucket[rest], np.arange(buckets + 1))
+            mixed = np.where(of_word[rest] < len(names), key[rest], hashes[word[rest]]) * _MIX
+            bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            # within a bucket busy words by name, then others by hash
+            rank = np.where(name < len(names), name, np.unique(hashes, return_inverse=True)[1] + len(names))
+            order = _order(bucket, rank[word[rest]])
+            rest, cuts = rest[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 at = rest[cuts[b] : cuts[b + 1]]
-                rare = word[at][of_word[at] == len(names)]
+                rare = hashes[word[at[of_word[at] == len(names)]]]
                 fresh = np.flatnonzero(np.append(True, rare[1:] != rare[:-1])) if len(rare) else np.zeros(0, np.int64)
                 blob = _packed(
-                    doc[at].astype(np.uint32), flags[at].astype(np.uint8), of_word[at].astype(code), of_before[at].astype(code),
-                    rare[fresh], np.diff(np.append(fresh, len(rare))).astype(np.uint32), before[at][of_before[at] == len(names)],
+                    doc[at], flags[at].astype(np.uint8), of_word[at].astype(code), of_before[at].astype(code),
+                    rare[fresh], np.diff(np.append(fresh, len(rare))).astype(np.uint32), hashes[before[at[of_before[at] == len(names)]]],
                 )
                 out["bucket"].append(b)
                 out["flush"].append(flush)
@@ -408,7 +463,7 @@ def _answers(sent: DataFrame, shared) -> DataFrame:
             del before
             own = _per_key(word, counted, target, counted & ~last, target & ~last)
             ask = np.flatnonzero(flags & 8 > 0)
-            ask = ask[np.lexsort((doc[ask], part[ask]))]
+            ask = ask[_order(part[ask], doc[ask])]
             cuts = np.flatnonzero(np.append(True, np.diff(part[ask]) != 0)) if len(ask) else []
             for i, j in zip(cuts, [*cuts[1:], len(ask)]):
                 at = ask[i:j]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import string
 from collections import Counter
 
@@ -153,6 +154,24 @@ def test_links_with_crowded_buckets(spark, monkeypatch, bucket):
     assert {frozenset(r) for r in got} == {frozenset((prints[i], prints[j])) for i, j in near(prints)}
 
 
+def joins_of(df):
+    """The join operators of the plan of ``df`` as it ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return re.findall(r"(\w+Join)\b.*?(Inner|LeftOuter|LeftAnti|LeftSemi)", plan)
+
+
+@pytest.mark.parametrize("bucket", [256, 4])
+def test_links_broadcast_no_explode(spark, monkeypatch, tmp_path, bucket):
+    """Small files explode to 34 probes a fingerprint: they are not broadcast, whatever Spark takes their size for."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(3)
+    prints = {(rng.randrange(1 << 20) << 32) | rng.randrange(40) for _ in range(400)}
+    spark.createDataFrame([(p,) for p in prints], "fp long").write.parquet(str(tmp_path / "prints"))
+    met = joins_of(simhash.links(spark.read.parquet(str(tmp_path / "prints"))))
+    assert ("SortMergeJoin", "Inner") in met and ("BroadcastHashJoin", "Inner") not in met
+
+
 def test_simhash_edges(edge, none):
     got = {r["doc_id"]: r for r in simhash.simhash_dedup(edge).collect()}
     assert got[5]["component_id"] == got[6]["component_id"] == got[8]["component_id"] == 5

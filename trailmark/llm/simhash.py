@@ -61,7 +61,11 @@ def _close(a: Column, b: Column) -> Column:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different fingerprints of ``prints`` (fp, distinct) at distance 1 to 3."""
+    """Pairs (a, b) of different fingerprints of ``prints`` (fp, distinct) at distance 1 to 3.
+
+    A fingerprint has 2 entries and about 34 probes, but Spark sizes an explode like its input and would
+    broadcast the probes of a small file: these joins are never broadcast.
+    """
     entries = _entries(prints)
     sizes = entries.groupBy("at", "v").agg(F.count("*").alias("n"))
     crowded = staged(sizes.where(F.col("n") > BUCKET).select("at", "v"), "crowded")
@@ -70,7 +74,7 @@ def links(prints: DataFrame) -> DataFrame:
     )
     lookup = listed.unionByName(crowded.withColumn("fps", F.lit(None).cast("array<long>")))
     probes = entries.select("at", F.col("fp").alias("a"), F.explode(_ball(F.col("v"), 32)).alias("v"))
-    met = probes.join(lookup, ["at", "v"])
+    met = probes.hint("merge").join(lookup, ["at", "v"])
     plain = met.where("fps is not null").select(
         "a", F.explode(F.filter("fps", lambda x: _close(x, F.col("a")))).alias("b")
     )
@@ -80,14 +84,14 @@ def links(prints: DataFrame) -> DataFrame:
     # differs by at most one. The key becomes segment, bucket, half and the half's value.
     other = F.lit(32) - F.col("at")
     halves = F.explode(F.array(other, other + 16)).alias("sub")
-    inner = entries.join(crowded, ["at", "v"]).select("at", "v", F.col("fp").alias("b"), halves)
+    inner = entries.hint("merge").join(crowded, ["at", "v"]).select("at", "v", F.col("fp").alias("b"), halves)
     inner = inner.withColumn("sv", F.expr("shiftrightunsigned(b, sub) & 65535L"))
     outer = met.where("fps is null").select("at", "v", "a", halves)
     outer = outer.withColumn("sv", F.expr("shiftrightunsigned(a, sub) & 65535L"))
     # both directions of the flip: the pair may have met by a flip in the other segment already
     flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(16)])
     outer = outer.select("at", "v", "a", "sub", F.explode(F.transform(flips, lambda f: F.col("sv").bitwiseXOR(f))).alias("sv"))
-    deep = outer.join(inner, ["at", "v", "sub", "sv"]).where(_close(F.col("a"), F.col("b"))).select("a", "b")
+    deep = outer.hint("merge").join(inner, ["at", "v", "sub", "sv"]).where(_close(F.col("a"), F.col("b"))).select("a", "b")
     return plain.unionByName(deep)
 
 
@@ -109,12 +113,13 @@ def simhash_dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
     rows = staged(fingerprints(docs, keep), "fingerprints")
     prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     roots = components(staged(links(prints.select("fp")), "links"))
-    named = prints.join(roots, prints["fp"] == roots["id"], "left").select(
+    # as many rows as different fingerprints: never broadcast
+    named = prints.hint("merge").join(roots, prints["fp"] == roots["id"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select(*keep, "fp", "root", "component_id")
+    named = named.hint("merge").join(least, "root").select("fp", "root", "component_id")
+    return rows.hint("merge").join(named, "fp").select(*keep, "fp", "root", "component_id")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,17 @@ def test_exact_dedup_matches_sql(spark):
     assert compare(registry.QUERIES["op10_exact_dedup"](spark, SF), con, registry.CHECKS["op10_exact_dedup"]) == []
 
 
+def test_exact_dedup_broadcasts_no_documents(spark, monkeypatch):
+    """Digests and groups are as many as documents: no join broadcasts them, however small their files."""
+    docs = spark.createDataFrame([(i, f"text {i % 70}") for i in range(100)], "doc_id long, text string")
+    seen = []
+    stage = exact_dedup.staged
+    monkeypatch.setattr(exact_dedup, "staged", lambda df, name: seen.append((name, joins_of(df))) or stage(df, name))
+    assert exact_dedup.exact_dedup(docs, exact_dedup.by_hash()).where("kept").count() == 70
+    met = {kind for name, joins in seen if name in ("groups", "members", "suspects", "collisions") for kind, _ in joins}
+    assert met == {"SortMergeJoin"}
+
+
 def test_exact_dedup_edges(edge, none):
     got = exact_dedup.exact_dedup(edge, exact_dedup.by_hash(3)).collect()
     assert len(got) == len(EDGE)

@@ -159,20 +159,20 @@ def exact_dedup(
         .cogroup(filters.groupBy("bucket"))
         .applyInPandas(_screen, "digest binary, snapshot int")
     )
-    # false positives of the filters end here
+    # false positives of the filters end here; entries are as many as texts: never broadcast
     across = (
-        positives.join(entries.select("digest", F.col("batch").alias("snapshot")), ["digest", "snapshot"])
+        positives.hint("merge").join(entries.select("digest", F.col("batch").alias("snapshot")), ["digest", "snapshot"])
         .select("digest")
         .distinct()
     )
     repeated = across.unionByName(entries.where("n > 1").select("digest")).distinct()
     groups = staged(
-        entries.join(repeated, "digest")
+        entries.hint("merge").join(repeated, "digest")
         .groupBy("digest")
         .agg(F.max("top").alias("top"), F.sum("n").alias("n")),
         "groups",
     )
-    members = rows.select("doc_id", "row", "digest", *carried).join(
+    members = rows.hint("merge").select("doc_id", "row", "digest", *carried).join(
         groups.select("digest", "top", "n"), "digest", "left"
     )
     members = staged(members, "members")
@@ -193,7 +193,7 @@ def exact_dedup(
     leaders = leaders.select("digest", "lead", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     copies = texts.withColumn("salt", F.pmod(F.xxhash64("row"), salts).cast("int"))
     odd = (
-        copies.join(leaders, ["digest", "salt"])
+        copies.hint("merge").join(leaders, ["digest", "salt"])
         .groupBy("row")
         .agg(F.min(F.when(F.col("normal") != F.col("lead"), F.col("normal"))).alias("other"),
              F.max((F.col("normal") == F.col("lead")).cast("int")).alias("same"))

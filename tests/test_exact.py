@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trailmark.operators import hotkeys, ranking, recommend, similarity
+from trailmark.operators import hotkeys, overlap, ranking, recommend, similarity
 
 
 @pytest.fixture(scope="module")
@@ -205,6 +205,27 @@ def test_leave_one_out_hides_the_purchase(spark):
     assert got["evaluated_users"] == 5 and got["usercf_hits"] == 0
 
 
+def test_leave_one_out_writes_purchases_once_a_user(spark, monkeypatch):
+    """Purchases, training rows and hidden items are one table: none is written or shuffled to be told apart.
+    A purchase counts at its last date; of equal dates the larger item is hidden, of one purchase none."""
+    names = []
+    for module in (recommend, similarity, overlap):
+        monkeypatch.setattr(module, "staged", lambda df, name, f=module.staged: names.append(name) or f(df, name))
+    day = datetime.date(2024, 1, 1)
+    # user 1's last purchase is item 3, bought again; user 4 has one purchase, user 5 none with a date
+    buys = [(1, 3, 0), (1, 1, 4), (1, 2, 4), (1, 3, 5), (2, 1, 0), (2, 2, 0), (2, 3, 1), (3, 1, 9), (3, 3, 9), (4, 3, 1)]
+    rows = [(u, i, 1, "buy", day + datetime.timedelta(days=d)) for u, i, d in buys]
+    rows += [(5, 1, 1, "buy", None), (5, 2, 1, "buy", None), (None, 1, 1, "buy", day), (1, None, 1, "buy", day)]
+    ub = spark.createDataFrame(rows, "user_id long, item_id long, category_id long, behavior_type string, date date")
+    baskets = recommend._with_hidden(recommend.active_matrix(ub, 1, last="date"))
+    assert {r["user_id"]: (sorted(r["items"]), r["hidden"]) for r in baskets.collect()} == {
+        1: ([1, 2, 3], 3), 2: ([1, 2, 3], 3), 3: ([1, 3], 3), 4: ([3], None), 5: ([1, 2], 2)
+    }
+    names.clear()
+    assert recommend.leave_one_out_eval(ub, min_cnt=1).first()["evaluated_users"] == 4
+    assert not {"left", "right", "entries", "lists"} & set(names) and names.count("baskets") == 1
+
+
 def test_neighbours_do_not_depend_on_the_switch(spark):
     """Partners with nearly equal buyer counts, met in one basket that is hot or not."""
     n = {1: 3001, 2: 3000, 3: 3000, 4: 3000}

@@ -75,6 +75,19 @@ def test_two_sides_match_brute_force(spark, tuning):
     assert all(r["n"] == own[r["i"]] for r in got)
 
 
+@pytest.mark.parametrize("tuning", PATHS[:1] + PATHS[3:4] + PATHS[6:], ids=str)
+def test_part_of_the_rows_is_asked(spark, tuning):
+    """The left side is the rows that are marked; there are no entries of both sides to put together."""
+    right = skewed(6)
+    left = {x for k, x in enumerate(right) if k % 5}
+    rows = spark.createDataFrame([(*x, x in left) for x in right], "i long, u long, asked boolean")
+    got = similarity.nearest_to_part(rows, 4, **tuning).collect()
+    assert {(r["i"], r["j"], r["together"], r["rank"]) for r in got} == brute_nearest(left, right, 4)
+    text = rows.select(F.format_string("%05d", "i").alias("i"), "u", "asked")
+    got = similarity.nearest_to_part(text, 4, **tuning).collect()
+    assert {(int(r["i"]), int(r["j"]), r["together"], r["rank"]) for r in got} == brute_nearest(left, right, 4)
+
+
 @pytest.mark.parametrize("tuning", [{}, dict(max_large=2, large_basket=10), dict(busy=100), dict(visits=300)], ids=str)
 def test_top_pairs_match_brute_force(spark, tuning):
     rows = skewed(3)
@@ -145,6 +158,19 @@ def test_lists_travel_packed():
         assert (sent < 0.85 * 500 * 10 * 40) == later
 
 
+def test_packed_bytes_take_as_many_bits_as_they_need():
+    """Small numbers and the high bytes of gaps take less than a byte each; numbers come back as they were."""
+    rng = np.random.default_rng(2)
+    n, gaps = rng.poisson(40, 30_000), rng.geometric(1 / 180_000, 30_000)
+    for values, most in ((n, 0.75), (gaps, 2.8), (np.zeros(30_000, int), 0.0), (np.full(30_000, 7), 0.01)):
+        planes = overlap._planes(values)
+        assert len(planes) <= most * len(values)
+        assert (overlap._numbers(planes, len(values)) == values).all()
+    mixed = np.array([0, -1, 5, np.iinfo(np.int64).min, np.iinfo(np.int64).max])
+    assert (overlap._numbers(overlap._planes(mixed), 5) == mixed).all()
+    assert overlap._planes(mixed[:0]) == b"" and len(overlap._numbers(b"", 0)) == 0
+
+
 def test_lists_go_to_few_blocks(spark):
     """A list is sent to the blocks of the items it is the largest of, not to all blocks."""
     rows = frame(spark, [(i, i // 500) for i in range(5000)])
